@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import bpe, embed_dedup, simhash, toxicity, url_filter
+from sluice.llm import bpe, embed_dedup, line_dedup, simhash, substring_dedup, toxicity, url_filter, warc
+from sluice.llm.shared import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), distance=4)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")), sample=8192)
@@ -38,6 +45,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -45,12 +63,45 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
+        , links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93)
+        , reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        , lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        , counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM lowest LEFT JOIN counted USING (vec_id)
+    """,
+    "op3_substring_dedup": r"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+        , each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split)
+        , windows AS (
+            SELECT doc_id, i, word, CASE WHEN count(*) OVER ahead = 13 THEN array_to_string(list(word) OVER ahead, ' ') END AS w
+            FROM each WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING))
+        , firsts AS (SELECT w, min(doc_id) AS first FROM windows WHERE w IS NOT NULL GROUP BY w)
+        , covered AS (
+            SELECT doc_id, i, word, coalesce(bool_or(first < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM windows LEFT JOIN firsts USING (w))
+        , kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
+    "op9_warc": """
+        WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages)
+        , judged AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM payloads)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> response THEN response END AS refers_to FROM judged
+    """,
     "op7_url_filter": """
         WITH parts AS (
             SELECT page_id,
