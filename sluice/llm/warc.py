@@ -10,6 +10,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -208,6 +210,37 @@ class Warc(DataSource):
         return WarcWriter(dict(self.options))
 
 
+def range_ends(rows: DataFrame, shards: int) -> list[int]:
+    """The largest page_id of each shard but the last, so that shards get about as many bytes of html each.
+
+    Sums of bytes by leading bits of the id, finer where a group holds over a shard's worth; they don't depend on
+    the order in which tasks end, so a second run has the same shards. At most 1024 groups a shard reach the driver.
+    """
+    sized = rows.where("page_id is not null").select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).cast("long").alias("size"))
+    span = sized.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum("size").alias("size")).first()
+    if shards < 2 or span.size is None:
+        return []
+    step = max(0, (span.high - span.low).bit_length() - 10)
+    share = -(-span.size // shards)
+    weights: dict[tuple[int, int], int] = {}  # by a group's leading bits, and how many bits follow
+    inside = sized
+    while True:
+        found = {(r.lead, step): r.size for r in inside.groupBy(F.shiftright("page_id", step).alias("lead")).agg(F.sum("size").alias("size")).collect()}
+        heavy = sorted(k for k, size in found.items() if size > share and step > 0)
+        weights |= {k: v for k, v in found.items() if k not in set(heavy)}
+        if not heavy:
+            break
+        few = rows.sparkSession.createDataFrame([(lead,) for lead, _ in heavy], "lead long")
+        inside = sized.join(F.broadcast(few), F.shiftright("page_id", step) == F.col("lead"), "left_semi")
+        step = max(0, step - 10)
+    ends, total = [], 0
+    for (lead, bits), size in sorted(weights.items(), key=lambda x: x[0][0] << x[0][1]):
+        if total + size > share * (len(ends) + 1) and len(ends) < shards - 1 and total:
+            ends.append((lead << bits) - 1)
+        total += size
+    return ends
+
+
 def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll: int = ROLL, short: int = SHORT) -> None:
     """Writes a record for every row of pages (page_id, url, html) below path, in the order of page_id.
 
@@ -218,7 +251,7 @@ def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll:
     manifest.
 
     Payloads are shuffled once, by ranges of page_id; the digests of equal ones are joined without them. Files are
-    the same bytes for the same rows, input files and ``shards``.
+    the same bytes for the same rows and ``shards``.
     """
     spark = pages.sparkSession
     spark.dataSource.register(Warc)
@@ -231,7 +264,13 @@ def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll:
     both = rows.select("page_id", "url", "html", "payload_digest", F.lit(None).cast("long").alias("refers_to"), none.alias("known_digest")).union(
         revisits.select("page_id", none, none, none, "refers_to", "payload_digest")
     )
-    dealt = both.repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", F.col("known_digest").isNull(), "known_digest", "payload_digest", "url")
+    ends = range_ends(rows, shards or partitions(spark))
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.where(page_id.isna(), 0, np.searchsorted(np.array(ends, np.int64), page_id.fillna(0).astype("int64"))).astype("int32"))
+
+    dealt = both.repartitionById(len(ends) + 1, shard("page_id")).sortWithinPartitions("page_id", F.col("known_digest").isNull(), "known_digest", "payload_digest", "url")
     dealt.write.format("warc").mode("append").option("path", path).option("roll", str(roll)).save()
 
 
