@@ -19,6 +19,8 @@ SAMPLE = 8192
 #: Cells of one codebook, at most; the grid has the square of it.
 MOST_CELLS = 1024
 CELLS = MOST_CELLS**2
+#: Vectors of one label that a cell is meant to hold: comparing them costs about what taking one more row there does.
+CELL = 400
 
 
 class Index(NamedTuple):
@@ -59,11 +61,11 @@ def bounds(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own, gap**2
 
 
-def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, cells: int | None = None) -> Index:
-    """Codebooks of about sqrt(rows / 50) cells a half, and the radius within which a share ``recall`` of vectors
+def fit(sample: np.ndarray, rows: float, cosine: float, recall: float, cells: int | None = None) -> Index:
+    """Codebooks of about sqrt(rows / CELL) cells a half, and the radius within which a share ``recall`` of vectors
     at just ``cosine`` from a sampled one have their cell (and the same of the sample's own links)."""
     rng = np.random.default_rng(7)
-    k = cells or int(np.clip(2 ** round(np.log2(max(1, rows / 50)) / 2), 2, MOST_CELLS))
+    k = cells or int(np.clip(2 ** round(np.log2(max(1, rows / CELL)) / 2), 2, MOST_CELLS))
     books = tuple(k_means(h, k, rng) for h in halves(sample))
     picked = sample[rng.permutation(len(sample))[:2048]]
     turn = rng.standard_normal((4, *picked.shape))
@@ -127,7 +129,7 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sample: int = SAMPLE, block: int = 256) -> DataFrame:
+def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sample: int = SAMPLE, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vec_id.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is at least
@@ -172,7 +174,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0
 def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: float, sample: int, block: int, tasks: int) -> DataFrame:
     """(rep, n, other): n vectors more that link with rep, or a link (rep, other) of a forest."""
     chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column("embedding")
-    index = fit(units(matrix(chosen, width)), rows, cosine, recall)
+    labels = max(1, classes.agg(F.approx_count_distinct("label").alias("n")).first().n)
+    index = fit(units(matrix(chosen, width)), rows // labels, cosine, recall)
     grid = len(index.books[0]), len(index.books[1])
 
     def places(unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
