@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, simhash, toxicity
+from sluice.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from sluice.llm.queries import table, vocabulary
 from sluice.llm.shared import fresh_path
 
@@ -15,17 +15,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs across them; a document that loses all lines stays, empty."""
+    return line_dedup.drop_recurring(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
     return simhash.keep_first(docs, simhash.simhash_groups(docs, distance=4))
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.drop_leaks(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and the text that they decode to."""
     return bpe.encode(docs, vocabulary())
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash_dedup", drop_near_copies), ("bpe", tokens)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("simhash_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", tokens),
+]
 
 #: SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
