@@ -173,8 +173,8 @@ def field_probe(df: DataFrame, known: dict[str, Profile]) -> list[dict[str, Any]
     """What a classifier is shown of each column: a first value, up to five distinct ones, their number, and hints."""
     names = [f for f in df.schema.fields if f.name != PLACE][:PROBES]
     texts = [_as_text(F.col(quoted(f.name)), f.dataType) for f in names]
-    place = F.col(PLACE) if PLACE in df.columns else F.monotonically_increasing_id()
-    row = df.agg(*(F.min_by(F.substring(t, 1, 80), place).alias(f"f{k}") for k, t in enumerate(texts)), *(F.slice(F.array_sort(F.collect_set(F.when(scalar(t) != "", scalar(t)))), 1, 5).alias(f"s{k}") for k, t in enumerate(texts))).first()
+    first = (lambda t: F.min_by(t, PLACE)) if PLACE in df.columns else F.first
+    row = df.agg(*(first(F.substring(t, 1, 80)).alias(f"f{k}") for k, t in enumerate(texts)), *(F.slice(F.array_sort(F.collect_set(F.when(scalar(t) != "", scalar(t)))), 1, 5).alias(f"s{k}") for k, t in enumerate(texts))).first()
     out = []
     for k, f in enumerate(names):
         p = known.get(key_of(f.name))

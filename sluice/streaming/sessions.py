@@ -23,7 +23,7 @@ def expiry(events: DataFrame, ttl_seconds: int, now: str, key: str = "user_id",
 
 def windows(events: DataFrame, ttl_seconds: int, late: str = "1 hour", key: str = "user_id", at: str = "ts") -> DataFrame:
     """(key, started, ended, n_events) of each session; on a stream the watermark ``late`` bounds the state."""
-    seen = events.withWatermark(at, late) if events.isStreaming else events
+    seen = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
     grouped = seen.groupBy(F.session_window(at, f"{ttl_seconds} seconds").alias("w"), key).agg(F.count("*").alias("n_events"))
     return grouped.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
 
