@@ -16,18 +16,25 @@ ANY = "<*>"
 VARIABLE = r"(?<!\S)(?=\S*(?:[0-9@]|://))\S+"
 
 
-def line_words(line: Column) -> Column:
-    """The words of a line with ANY for those that are variable by their form; one empty word for a blank line."""
-    return F.split(F.btrim(F.regexp_replace(line, VARIABLE, ANY), F.lit(" \t\r\f\v")), r"\s+")
+#: What a line holds if its words aren't all of fixed form with one space between.
+ODD = r"[0-9@:\t\x0B\f\r]|^ | $|  "
+#: Leaves that are sent to every task, at most; beyond it lines are shuffled to them.
+BROADCAST = 1_000_000
+
+
+def plain(line: Column) -> Column:
+    """The words of a line with one space between, and ANY for those that are variable by their form."""
+    tidy = F.btrim(F.regexp_replace(F.regexp_replace(line, VARIABLE, ANY), r"\s+", " "))
+    return F.when(line.rlike(ODD), tidy).otherwise(line)
 
 
 def parsed(docs: DataFrame, depth: int, *more: str) -> DataFrame:
     """(doc_id, at, leaf, form, ...) of every line that isn't blank: its place, its leaf in the tree, which is its
     number of words and the first ``depth`` of them, and the hash of all its words."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.select("doc_id", "at", line_words(F.col("line")).alias("words")).where("words[0] <> ''")
-    leaf = F.xxhash64(F.size("words"), *(F.get("words", F.lit(k)) for k in range(depth)))
-    return lines.select("doc_id", "at", leaf.alias("leaf"), F.xxhash64("words").alias("form"), *more)
+    lines = lines.select("doc_id", "at", plain(F.col("line")).alias("line")).where("line <> ''")
+    count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    return lines.select("doc_id", "at", F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), *more)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_children: int = 8, similarity: float = 0.5) -> DataFrame:
@@ -36,7 +43,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
     lines = cut(parsed(docs, depth))
     # a template is within a leaf, so only leaves in that many documents can have one that recurs
     leaves = cut(lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    forms = cut(parsed(docs, depth, "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.min("words").alias("words")))
+    few = F.broadcast(leaves) if leaves.count() <= BROADCAST else leaves
+    forms = cut(parsed(docs, depth, "line").join(few, "leaf", "left_semi").groupBy("leaf", "form").agg(F.split(F.min("line"), " ").alias("words")))
     # a place in a leaf's lines that takes more words than max_children is variable
     places = (
         forms.select("leaf", F.posexplode("words").alias("place", "word"))
