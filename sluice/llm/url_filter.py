@@ -94,7 +94,8 @@ class GlobAutomaton:
             up = now << np.uint64(1)
             up[:, 1:] |= now[:, :-1] >> np.uint64(63)
             state[rows] = up & self.move[byte] | now & self.stay[byte]
-        return np.stack([state[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1) for bit in self.final], axis=1).astype(bool)
+        final = np.array(self.final, np.int64)
+        return (state[:, final // 64] >> (final % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
