@@ -19,7 +19,7 @@ DELTA = "source string, lang string, version string, n_docs long, n_tokens long,
 class TokenLedger:
     """Token counts of documents, and their totals, in a folder of Parquet that batches are committed to.
 
-    ``state/<batch>`` holds each document's count as of a batch, ``delta/<batch>`` what the batch adds to the totals,
+    ``change/<batch>`` holds what a batch asks for, ``state/<batch>`` each document's count as of a batch, ``delta/<batch>`` what the batch adds to the totals,
     with a sign; ``log/<batch>`` appears last and names the batch before it. Only logged batches count, so a batch
     that a lost driver left half done is written anew, and one that was committed changes nothing when it comes again.
     """
@@ -65,11 +65,10 @@ class TokenLedger:
         if batch in log:
             return False
         rank = F.struct((F.col("op") == "upsert").alias("up"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n_tokens"), "source", "lang")
-        new = (
-            changes.where("doc_id is not null and version is not null and op in ('upsert', 'delete')")
-            .groupBy("doc_id", "version")
-            .agg(F.max(rank).alias("new"))
-        )
+        asked = changes.where("doc_id is not null and version is not null and op in ('upsert', 'delete')").groupBy("doc_id", "version").agg(F.max(rank).alias("new"))
+        # written out once: state and delta both read it, and counts can be dear
+        asked.write.mode("overwrite").parquet(f"{self.path}/change/{batch}")
+        new = self.spark.read.schema(asked.schema).parquet(f"{self.path}/change/{batch}")
         old = self.state().select("doc_id", "version", F.struct("source", "lang", "n_tokens").alias("old"))
         both = old.join(new, ["doc_id", "version"], "full")
         stays = F.col("new").isNull()
