@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import time
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -64,7 +64,8 @@ class Result:
 
 class Engine:
     """tables: for each target the paths of its Parquet tables, or DataFrames. Each target has a session of its own,
-    in which they are views; classifier: asked for the kinds of columns, see operators/classify.py."""
+    in which they are views; classifier: asked for the kinds of columns, see operators/classify.py; scratch: where the
+    new versions of written tables go, by default below the warehouse, which all machines share."""
 
     def __init__(self, spark: SparkSession, registry: Registry, tables: Mapping[str, Mapping[str, str | DataFrame]], env: Mapping[str, str] | None = None, classifier: classify.Classifier | None = None, audit: Audit | None = None, scratch: str | None = None):
         self.spark, self.registry, self.tables = spark, registry, tables
@@ -232,7 +233,7 @@ class Engine:
             self.audit.emit("query_in", log | {"sql": sql, "parameters": parameters})
             target = self._target(target_id)
             store = self._sessions[target_id][1]
-            store.folder = store.folder or tempfile.mkdtemp(prefix="sluice-")
+            store.folder = store.folder or f"{store.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sluice-{uuid.uuid4().hex}"
             affected = store.apply(change)
             took = int(1000 * (time.time() - began))
             self.audit.emit("query_out", log | {"rows_affected": affected, "row_count": 0, "truncated": False})
