@@ -18,9 +18,9 @@ from sluice.llm.shared import partitions, words
 #: Words of the pieces whose smallest hash is a window's minimiser.
 PIECE = 3
 #: Bytes of text of a chunk of documents, at most (but for a single document).
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of packed strings that a bucket is meant to get, at most.
-BUCKET = 32 << 20
+BUCKET = 12 << 20
 
 
 class Packed(NamedTuple):
@@ -113,7 +113,8 @@ def send(table: pa.Table, width: int, buckets: int) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     kept, bucket = kept[order], bucket[order]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    blobs = [press(least[kept[a:b]], most[kept[a:b]], b"\n".join(strings[k] for k in kept[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:])]
+    tags = (found.minimisers >> np.uint64(32)).astype(np.uint32)
+    blobs = [press(least[kept[a:b]], most[kept[a:b]], tags[kept[a:b]], b"\n".join(strings[k] for k in kept[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:])]
     chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
     return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
@@ -121,15 +122,21 @@ def send(table: pa.Table, width: int, buckets: int) -> pa.Table:
 def judge(table: pa.Table, width: int) -> pa.Table:
     """(chunk, blob) from a bucket's (bucket, chunk, blob): for each chunk the super-k-mers, by their digests, of which
     a smaller doc_id has a window, with the smallest doc_id of each of their windows."""
-    least, most, chunk, at = [], [], [], []
-    place: dict[bytes, int] = {}
+    least, most, tags, chunk, strings = [], [], [], [], []
     for home, blob in zip(table.column("chunk").to_pylist(), table.column("blob")):
-        a, b, joined = unpress(blob.as_py(), 3)
-        least.append(np.frombuffer(a, np.int64))
-        most.append(np.frombuffer(b, np.int64))
-        chunk.append(np.full(len(least[-1]), home))
-        at.append(np.fromiter((place.setdefault(s, len(place)) for s in joined.split(b"\n")), np.int64, len(least[-1])))
-    least, most, chunk, at = (np.concatenate(x) for x in (least, most, chunk, at))
+        a, b, c, joined = unpress(blob.as_py(), 4)
+        for column, x in zip((least, most, tags, chunk), (np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint32), np.full(len(a) // 8, home))):
+            column.append(x)
+        strings += joined.split(b"\n")
+    least, most, tags, chunk = (np.concatenate(x) for x in (least, most, tags, chunk))
+    # equal windows have one minimiser: where a minimiser is in one string of one document, there is nothing to compare
+    _, which, often = np.unique(tags, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero((often[which] > 1) | (least < most))
+    if not len(kept):
+        return pa.table({"chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+    least, most, chunk = least[kept], most[kept], chunk[kept]
+    place: dict[bytes, int] = {}
+    at = np.fromiter((place.setdefault(strings[k], len(place)) for k in kept.tolist()), np.int64, len(kept))
     strings = list(place)
     own = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(own, at, least)
@@ -233,7 +240,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, piece_bytes: int = CHUNK)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     tasks = partitions(spark)
-    chunks, buckets = max(4 * tasks, -(-size // piece_bytes)), max(2 * tasks, -(-3 * size // BUCKET))
+    chunks, buckets = max(2 * tasks, -(-size // piece_bytes)), max(tasks, -(-3 * size // BUCKET))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     sent = rows.groupBy("chunk").applyInArrow(lambda table: send(table, width, buckets), "bucket long, chunk long, blob binary")
     told = sent.groupBy("bucket").applyInArrow(lambda table: judge(table, width), "chunk long, blob binary")
