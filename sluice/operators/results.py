@@ -48,11 +48,19 @@ def row_cap(requested: int | None, limit: int) -> int:
 
 
 def js_number(value: Column) -> Column:
-    """A double as JavaScript prints it, for numbers of 1e-6 up to 1e21 and zero; others as Spark does."""
-    size = F.abs(value)
-    wide = F.regexp_replace(F.regexp_replace(F.when(size >= 1e7, value.cast("decimal(38,16)").cast("string")).otherwise(F.format_string("%.24f", value)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = F.regexp_replace(value.cast("string"), r"\.0$", "")
-    return F.when(value == 0, F.lit("0")).when((size >= 1e-3) & (size < 1e7), plain).when((size >= 1e7) & (size < 1e21), wide).otherwise(plain)
+    """A double as JSON text of JavaScript has it: no zero fraction, plain digits from 1e-6 up to 1e21, ``1e+21`` and
+    ``1.5e-7`` beyond, null for NaN and the infinities."""
+    size, shown = F.abs(value), value.cast("string")
+    wide = F.when(size >= 1e7, value.try_cast("decimal(38,16)")).otherwise(shown.try_cast("decimal(38,24)")).cast("string")
+    wide = F.regexp_replace(F.regexp_replace(wide, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(shown, r"\.0(?=E|$)", ""), r"E(?!-)", "e+")
+    return (
+        F.when(F.isnan(value) | (size == float("inf")), F.lit("null"))
+        .when(value == 0, F.lit("0"))
+        .when((size >= 1e-3) & (size < 1e7), short)
+        .when((size >= 1e-6) & (size < 1e21), wide)
+        .otherwise(F.replace(short, F.lit("E-"), F.lit("e-")))
+    )
 
 
 def json_bytes(df: DataFrame) -> Column:

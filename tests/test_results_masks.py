@@ -26,7 +26,7 @@ def test_cells(spark):
     assert results.columns_of(df)[3] == {"name": "l", "nullable": False, "type": "bigint"}
 
 
-@pytest.mark.parametrize("value,shown", [(1.0, "1"), (0.5, "0.5"), (0.0, "0"), (1e7, "10000000"), (123456789.25, "123456789.25"), (1e20, "100000000000000000000"), (-2.5, "-2.5"), (None, None)])
+@pytest.mark.parametrize("value,shown", [(1.0, "1"), (0.5, "0.5"), (0.0, "0"), (1e7, "10000000"), (123456789.25, "123456789.25"), (1e20, "100000000000000000000"), (-2.5, "-2.5"), (None, None), (5e-4, "0.0005"), (1.5e-6, "0.0000015"), (1.5e-7, "1.5e-7"), (1e21, "1e+21"), (-2.5e30, "-2.5e+30"), (0.1 + 0.2, "0.30000000000000004"), (float("nan"), "null"), (float("inf"), "null")])
 def test_numbers_as_in_json(spark, value, shown):
     assert spark.createDataFrame([(value,)], "x double").select(results.js_number(F.col("x"))).first()[0] == shown
 
