@@ -18,7 +18,7 @@ VARIABLE = r"(?<!\S)(?=\S*(?:[0-9@]|://))\S+"
 
 #: What a line holds if its words aren't all of fixed form with one space between.
 ODD = r"[0-9@:\t\x0B\f\r]|^ | $|  "
-#: Leaves that are sent to every task, at most; beyond it lines are shuffled to them.
+#: Rows of a few numbers each that are sent to every task, at most; beyond it both sides of a join are shuffled.
 BROADCAST = 1_000_000
 
 
@@ -28,6 +28,14 @@ def plain(line: Column) -> Column:
     return F.when(line.rlike(ODD), tidy).otherwise(line)
 
 
+def joined_to(lines: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of lines to the few keys that some have: keys are written out and counted, and sent to the lines up to
+    BROADCAST of them, so that a line that many documents share isn't dealt to one task. Beyond it adaptive execution
+    splits such a key."""
+    keys = cut(keys)
+    return lines.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, on, how)
+
+
 def parsed(docs: DataFrame, depth: int, *more: str) -> DataFrame:
     """(doc_id, at, leaf, form, ...) of every line that isn't blank: its place, its leaf in the tree, which is its
     number of words and the first ``depth`` of them, and the hash of all its words."""
@@ -42,9 +50,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
     not in a document with a smaller doc_id only here. See drop_recurring()."""
     lines = cut(parsed(docs, depth))
     # a template is within a leaf, so only leaves in that many documents can have one that recurs
-    leaves = cut(lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    few = F.broadcast(leaves) if leaves.count() <= BROADCAST else leaves
-    forms = cut(parsed(docs, depth, "line").join(few, "leaf", "left_semi").groupBy("leaf", "form").agg(F.split(F.min("line"), " ").alias("words")))
+    leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    forms = cut(joined_to(parsed(docs, depth, "line"), leaves, ["leaf"], "left_semi").groupBy("leaf", "form").agg(F.split(F.min("line"), " ").alias("words")))
     # a place in a leaf's lines that takes more words than max_children is variable
     places = (
         forms.select("leaf", F.posexplode("words").alias("place", "word"))
@@ -64,9 +71,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
         .where("says")
         .drop("says")
     )
-    found = cut(lines.join(templates, ["leaf", "form"]).select("doc_id", "at", "leaf", "template"))
+    found = cut(joined_to(lines, templates, ["leaf", "form"]).select("doc_id", "at", "leaf", "template"))
     spread = found.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return found.join(spread.where(F.col("n") >= min_docs), ["leaf", "template"]).where("doc_id <> first").select("doc_id", "at", "leaf", "template")
+    return joined_to(found, spread.where(F.col("n") >= min_docs), ["leaf", "template"]).where("doc_id <> first").select("doc_id", "at", "leaf", "template")
 
 
 def deduplicated(docs: DataFrame, **settings: float) -> DataFrame:
