@@ -110,6 +110,27 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM split LEFT JOIN kept USING (doc_id)
     """,
+    "op8_line_dedup": r"""
+        WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+        , parsed AS (
+            SELECT doc_id, pos, list_transform(list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w
+            FROM lines)
+        , leaves AS (SELECT len(w) AS n, w[1:3] AS lead FROM parsed WHERE len(w) > 0 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 8)
+        , forms AS (SELECT doc_id, pos, w, n, lead FROM parsed JOIN leaves ON len(w) = n AND w[1:3] = lead)
+        , places AS (SELECT n, lead, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT DISTINCT n, lead, w FROM forms))
+        , several AS (SELECT n, lead, list(k) AS open FROM (SELECT n, lead, k FROM places WHERE k > 3 GROUP BY n, lead, k HAVING count(DISTINCT word) > 8) GROUP BY n, lead)
+        , closed AS (
+            SELECT doc_id, pos, n, lead, w, CASE WHEN open IS NULL THEN w ELSE list_transform(w, lambda x, i: CASE WHEN list_contains(open, i) THEN '<*>' ELSE x END) END AS c
+            FROM forms LEFT JOIN several USING (n, lead))
+        , counted AS (SELECT *, len(list_filter(c, lambda x: x <> '<*>')) AS fixed FROM closed)
+        , templates AS (SELECT doc_id, pos, n, lead, 2 * fixed >= n AS general, CASE WHEN 2 * fixed >= n THEN c ELSE w END AS template FROM counted WHERE fixed > 0)
+        , recurring AS (SELECT n, lead, general, template, min(doc_id) AS first FROM templates GROUP BY ALL HAVING count(DISTINCT doc_id) >= 8)
+        , gone AS (SELECT DISTINCT doc_id, pos FROM templates JOIN recurring USING (n, lead, general, template) WHERE doc_id <> first)
+        , kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, string_agg(line, chr(10) ORDER BY lines.pos) FILTER (gone.pos IS NULL) AS text
+            FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+    """,
     "op9_warc": """
         WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages)
         , judged AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM payloads)
