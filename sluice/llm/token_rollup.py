@@ -19,9 +19,10 @@ DELTA = "source string, lang string, version string, n_docs long, n_tokens long,
 class TokenLedger:
     """Token counts of documents, and their totals, in a folder of Parquet that batches are committed to.
 
-    ``change/<batch>`` holds what a batch asks for, ``state/<batch>`` each document's count as of a batch, ``delta/<batch>`` what the batch adds to the totals,
-    with a sign; ``log/<batch>`` appears last and names the batch before it. Only logged batches count, so a batch
-    that a lost driver left half done is written anew, and one that was committed changes nothing when it comes again.
+    ``change/<batch>`` holds what a batch asks for, ``state/<batch>`` each document's count as of it, ``delta/<batch>``
+    what it adds to the totals, with a sign; ``log/<batch>`` appears last and gives its place in the order. Only logged
+    batches count, so one that a lost driver left half done is written anew, and one that was committed changes nothing
+    when it comes again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
