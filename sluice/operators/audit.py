@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.text import sql_hash, sql_hash_column, sql_preview, sql_preview_column
@@ -56,6 +56,12 @@ class Audit:
             print(line, file=sys.stderr if severity == "error" else sys.stdout)
 
 
+def table(spark: SparkSession, events: list[dict[str, Any]]) -> DataFrame:
+    """Events as rows (timestamp, level, event, payload as JSON, request_id, session_id), to append to a log's Parquet."""
+    rows = [(e["timestamp"], e["level"], e["event"], json.dumps(e["payload"], default=str), e.get("request_id"), e.get("session_id")) for e in events]
+    return spark.createDataFrame(rows, "timestamp string, level string, event string, payload string, request_id string, session_id string")
+
+
 def redacted_log(events: DataFrame, level: str = "info") -> DataFrame:
     """query_in events (tool, target_id, sql, parameters map, max_rows) as redacted() shows them."""
     keys = F.array_sort(F.map_keys("parameters"))

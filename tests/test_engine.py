@@ -4,8 +4,9 @@ import pytest
 
 from sluice import queries
 from sluice.engine import Engine, ToolError
+from sluice.operators import audit
 from sluice.operators.audit import Audit, redacted, shown
-from sluice.sources import registry
+from sluice.sources import registry, tables
 from sluice.streaming import sessions
 
 
@@ -24,6 +25,7 @@ def test_read(engine):
     assert [x["c_custkey"] for x in r.rows] == list("01234") and r.columns[0]["type"] == "bigint"
     assert r.result_bytes == len(json.dumps(r.rows, separators=(",", ":")).encode())
     assert [e["event"] for e in engine.audit.events] == ["query_in", "db_driver_start", "db_driver_done", "query_out"]
+    assert [r.event for r in audit.table(engine.spark, engine.audit.events).collect()][-1] == "query_out"
     assert "SELECT" in engine.audit.events[0]["payload"]["sql_preview"] and "Customer#" not in json.dumps(engine.audit.events)
 
 
@@ -42,6 +44,7 @@ def test_refusals(engine, target, sql, code):
 
 
 def test_missing_binding(spark):
+    assert tables.parquet("/a/", ["t"]) == {"t": "/a/t.parquet"}
     e = Engine(spark, queries.registry(), {}, env={})
     with pytest.raises(ToolError, match='Missing runtime environment variable "DB_MAIN"'):
         e.read("dev-main", "SELECT 1 AS a")
