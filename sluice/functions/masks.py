@@ -10,7 +10,7 @@ PREFIXES = {"address": ("ADDRESS_", 8), "city": ("CITY_", 8), "name": ("NAME_",
 KINDS = ("email", "phone", *sorted(PREFIXES))
 #: E-mail addresses and telephone numbers within a text.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-PHONE = r"(?=.*[+\s().-])(\+?\d[\d\s().-]{6,}\d)"
+PHONE = r"(?=[+\d])(?=.*[+\s().-])(\+?\d[\d\s().-]{6,}\d)"
 
 
 class SaltError(ValueError):
