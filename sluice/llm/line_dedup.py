@@ -52,22 +52,27 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
     # a template is within a leaf, so only leaves in that many documents can have one that recurs
     leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     forms = cut(joined_to(parsed(docs, depth, "line"), leaves, ["leaf"], "left_semi").groupBy("leaf", "form").agg(F.split(F.min("line"), " ").alias("words")))
-    # a place in a leaf's lines that takes more words than max_children is variable
+    # a place in a leaf's lines that takes more words than max_children is variable, but for a word that most lines have there
     places = (
         forms.select("leaf", F.posexplode("words").alias("place", "word"))
-        .distinct()
-        .groupBy("leaf", "place")
+        .where(F.col("place") >= depth)
+        .groupBy("leaf", "place", "word")
         .agg(F.count("*").alias("n"))
-        .where((F.col("n") > max_children) & (F.col("place") >= depth))
+        .groupBy("leaf", "place")
+        .agg(F.count("*").alias("n"), F.sum("n").alias("all"), F.max(F.struct("n", "word")).alias("top"))
+        .where(F.col("n") > max_children)
         .groupBy("leaf")
-        .agg(F.collect_list("place").alias("open"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("place", F.when(2 * F.col("top.n") > F.col("all"), F.col("top.word")).otherwise("")))).alias("open"))
     )
-    closed = F.transform("words", lambda word, place: F.when(F.array_contains("open", place), ANY).otherwise(word))
+    closed = F.transform("words", lambda word, place: F.when(F.element_at("open", place) != word, ANY).otherwise(word))
     fixed = F.size(F.filter("closed", lambda word: word != ANY))
+    # the leading words are alike in all of a leaf: only those after them tell that lines with opened places are of one template
+    after = F.size(F.filter("closed", lambda word, place: (place >= depth) & (word != ANY)))
+    alike = (F.col("closed") == F.col("words")) | (2 * after > F.size("words") - depth)
     templates = (
         forms.join(places, "leaf", "left")
         .withColumn("closed", F.when(F.col("open").isNull(), F.col("words")).otherwise(closed))
-        .select("leaf", "form", F.when(fixed >= similarity * F.size("words"), F.xxhash64("closed")).otherwise(F.col("form")).alias("template"), (fixed > 0).alias("says"))
+        .select("leaf", "form", F.when((fixed >= similarity * F.size("words")) & alike, F.xxhash64("closed")).otherwise(F.col("form")).alias("template"), (fixed > 0).alias("says"))
         .where("says")
         .drop("says")
     )
@@ -94,8 +99,10 @@ def drop_recurring(docs: DataFrame, **settings: float) -> DataFrame:
     """The rows of docs with the lines gone whose template recurs across documents; columns and other text as they were.
 
     A line's template is its words, with ANY for words with digits, addresses, and places where lines of its leaf
-    (as many words, the same first ``depth``) have over ``max_children`` different words; if under the share
-    ``similarity`` of its words stays fixed, only the former. A template in at least ``min_docs`` documents recurs;
+    (as many words, the same first ``depth``) have over ``max_children`` different words, but for a word that over half
+    of the leaf's different lines have there; if under the share ``similarity`` of its words stays fixed, or not over
+    half of those after the first ``depth``, only the former. So lines that have but their beginning in common stay,
+    however many fill a leaf. A template in at least ``min_docs`` documents recurs;
     its lines stay in the document with the smallest doc_id alone, so that no text is lost as a whole.
 
     Blank lines, lines of variable words only, and rows with a null doc_id or text stay as they are. Rows that

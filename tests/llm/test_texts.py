@@ -112,6 +112,17 @@ def test_lines(spark):
     assert not [n for n in out._jdf.queryExecution().executedPlan().toString().split() if "Python" in n or "Arrow" in n]
 
 
+def test_full_leaves_keep_clean_lines(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    clean = [f"I do not {word()}\nI do not {word()} {word()} {word()}\nThe end of the {word()}" for _ in range(60)]
+    # most lines of a full leaf are of one template: its words stay fixed, and its lines recur
+    mixed = ["Signed in as {} from the office".format(word()) if k % 3 else "Signed in as {} {} {} {}".format(*(word() for _ in range(4))) for k in range(60)]
+    rows = [(k, f"{a}\n{b}") for k, (a, b) in enumerate(zip(clean, mixed))]
+    left = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
+    assert left == {k: a if k % 3 and k > 1 else f"{a}\n{b}" for k, (a, b) in enumerate(zip(clean, mixed))}
+
+
 # decontamination
 
 
