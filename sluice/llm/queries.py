@@ -43,7 +43,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     counter = token_rollup.tiktoken_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ledger = token_rollup.refresh(spark, fresh_path(spark, "tokens"), table(spark, sf_dir, "documents"), counter, "byte_bpe_50k")
+    ledger = token_rollup.refresh(spark, fresh_path(spark, "tokens"), table(spark, sf_dir, "documents"), counter, "byte_bpe_50k", blanks=True)
     return ledger.totals()
 
 

@@ -124,16 +124,18 @@ def tiktoken_counter(path: str, pattern: str) -> Callable[[], Callable[[list[str
     return make
 
 
-def refresh(spark: SparkSession, path: str, docs: DataFrame, count: Callable[[], Callable[[list[str]], list[int]]], version: str) -> TokenLedger:
+def refresh(spark: SparkSession, path: str, docs: DataFrame, count: Callable[[], Callable[[list[str]], list[int]]], version: str, blanks: bool = False) -> TokenLedger:
     """A ledger that took in docs: first all rows with a count from n_chars (four characters a token), so totals are
-    there at once; then the counts of the whole texts; then documents without any token leave. The counts come a
-    second time, as after a lost driver, and change nothing."""
+    there at once; then the counts of the whole texts; then documents without any token leave, unless ``blanks`` keeps
+    them, so that n_docs counts all documents. The counts come a second time, as after a lost driver, and change
+    nothing."""
     ledger = TokenLedger(spark, path)
     estimate = docs.select(F.col("doc_id").cast("long"), "source", "lang", F.ceil(F.col("n_chars") / 4).cast("long").alias("n_tokens"), F.lit(version).alias("version"), F.lit("upsert").alias("op"))
     ledger.commit("estimate", estimate)
     counts = token_counts(docs, count, version)
     ledger.commit("counts", counts)
-    blank = ledger.state().where("n_tokens = 0").select("doc_id", "version", F.lit("delete").alias("op"), "source", "lang", "n_tokens")
-    ledger.commit("blanks", blank)
+    if not blanks:
+        blank = ledger.state().where("n_tokens = 0").select("doc_id", "version", F.lit("delete").alias("op"), "source", "lang", "n_tokens")
+        ledger.commit("blanks", blank)
     ledger.commit("counts", counts)
     return ledger

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import bpe, decontaminate, line_dedup, substring_dedup, token_rollup, toxicity, url_filter
+from sluice.llm import bpe, decontaminate, line_dedup, queries, substring_dedup, token_rollup, toxicity, url_filter
 from sluice.llm.url_filter import GlobAutomaton, Rule
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -202,6 +202,13 @@ def test_rollup_counts_tokens(spark, tmp_path):
     assert empty.totals().count() == 0
 
 
+def test_token_counts_are_over_all_documents(spark, tmp_path):
+    rows = [(1, "Hello there", "s", "en", 11), (2, None, "s", "en", None), (3, "", None, "de", 0), (4, "", "s", "en", 0)]
+    spark.createDataFrame(rows, DOCS + ", source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en"): (3, len(Tokenizer.from_file(PATH).encode("Hello there", add_special_tokens=False).ids)), (None, "de"): (1, 0)}
+
+
 # toxicity
 
 
