@@ -21,8 +21,11 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
-    return simhash.keep_first(docs, simhash.simhash_groups(docs, distance=4))
+    """One document of each group of near copies, that with the smallest doc_id; of what is left, without the lines of
+    20 words or more that an earlier document has."""
+    path = fresh_path(spark, "pipeline-first")
+    simhash.keep_first(docs, simhash.simhash_groups(docs, distance=4)).write.parquet(path)
+    return line_dedup.drop_passages(spark.read.parquet(path), least=20)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,23 @@ def drop_recurring(docs: DataFrame, **settings: float) -> DataFrame:
     places = recurring_lines(docs, **settings).groupBy("doc_id").agg(F.collect_set("at").alias(gone))
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
     return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+
+
+def drop_passages(docs: DataFrame, least: int = 20) -> DataFrame:
+    """The rows of docs without the lines of ``least`` words or more that a document with a smaller doc_id has too, with
+    the same words (digits too, whatever the space between); columns and other text as they were.
+
+    It takes two documents, where drop_recurring() takes more; so near copies should have left before, else a copy is
+    emptied rather than dropped. Rows with a null doc_id or text stay as they are; rows that repeat a doc_id count as
+    one document. Hashes of long lines alone are shuffled for the counts; each text is shuffled once.
+    """
+    gone = next(f"gone{k}" for k in range(len(docs.columns) + 1) if f"gone{k}" not in docs.columns)
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    # a line of so many words has so many characters at least
+    lines = lines.where(F.octet_length("line") >= 2 * least - 1).select("doc_id", "at", F.when(F.col("line").rlike(ODD), F.btrim(F.regexp_replace("line", r"\s+", " "))).otherwise(F.col("line")).alias("line"))
+    lines = lines.where(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1 >= least)
+    lines = cut(lines.select("doc_id", "at", F.xxhash64("line").alias("one"), F.xxhash64(F.lit("two"), "line").alias("two")))
+    copies = lines.select("one", "two", "doc_id").distinct().groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2").drop("n")
+    places = joined_to(lines, copies, ["one", "two"]).where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("at").alias(gone))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
+    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(docs.columns)

@@ -123,6 +123,18 @@ def test_full_leaves_keep_clean_lines(spark):
     assert left == {k: a if k % 3 and k > 1 else f"{a}\n{b}" for k, (a, b) in enumerate(zip(clean, mixed))}
 
 
+def test_long_lines_recur_from_two_documents_on(spark, monkeypatch):
+    passage = " ".join(f"word{chr(97 + k % 26)}" for k in range(60))
+    short = " ".join(passage.split()[:19])
+    rows = [(1, f"a\n{passage} 5"), (2, f"b\n {passage}  5\nc\n{short}"), (3, f"{passage} 6\n{short}"), (3, f"{passage} 6\n{short}"), (4, "1 " * 20), (5, "1 " * 20), (6, None), (None, f"{passage} 5")]
+    df = spark.createDataFrame([(d, t, 0, 1) for d, t in rows], DOCS + ", gone0 int, at int")
+    want = sorted([r for r in rows if r[0] not in (2, 5)] + [(2, f"b\nc\n{short}"), (5, "")], key=str)
+    for bound in (line_dedup.BROADCAST, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST", bound)
+        out = line_dedup.drop_passages(df)
+        assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+
+
 # decontamination
 
 

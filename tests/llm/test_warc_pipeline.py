@@ -116,3 +116,13 @@ def test_pipeline_drops_what_it_should(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {*range(40), 52} and "footer" in got[0] and not any("footer" in got[k] for k in range(1, 40))
+
+
+def test_pipeline_drops_passages(spark, tmp_path):
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    docs = [(k, f"{words(k, 300)}\n{words('same', 55)}\n{words(k + 10, 300)}") for k in range(3)]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2} and [k for k in got if "wsamex54" in got[k]] == [0] and all(f"w{k}x299" in got[k] for k in got)
