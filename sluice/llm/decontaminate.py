@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Scripts without spaces between words, whose characters are tokens: Thai, Lao, Myanmar, Khmer, kana and Chinese characters.
+DENSE = r"\u0E01-\u0E4E\u0E81-\u0ECD\u1000-\u103F\u1780-\u17D3\u3005-\u3007\u3041-\u30FA\u30FC-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\U00020000-\U0003FFFF"
 #: Tokens: words, numbers, and the marks that end a sentence.
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]+")
+TOKEN = re.compile(rf"[^\W\d_{DENSE}]+|\d+(?:[.,]\d+)*|[.!?。！？\n]+|[{DENSE}]")
 LITERAL, NUMBER, NAME, UNIT, MARK = range(5)
 #: Words that count as numbers, and words that are units where they follow a number.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -43,28 +45,28 @@ class Reader:
             self.code.update(zip(fresh, range(start, start + len(fresh))))
             numbers, units = set(NUMBER_WORDS), set(UNIT_WORDS)
             low = [t.lower() for t in fresh]
-            kinds = [MARK if t[0] in ".!?\n" else NUMBER if t[0].isdigit() or x in numbers else NAME if t[0].isupper() and not t.isupper() else UNIT if x in units else LITERAL for t, x in zip(fresh, low)]
+            kinds = [MARK if t[0] in ".!?。！？\n" else NUMBER if t[0].isdigit() or x in numbers else NAME if t[0].isupper() and not t.isupper() else UNIT if x in units else LITERAL for t, x in zip(fresh, low)]
             self.hashes = np.append(self.hashes, np.array([xxhash.xxh64_intdigest(x) for x in low], np.uint64))
             self.kinds = np.append(self.kinds, np.array(kinds, np.int8))
         return np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(owner, hash, kind, token) of each token but marks. A capital makes a name only within a sentence, and
-        not in a word all of capitals; a unit is one only after a number; placeholders of a kind have one hash."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(owner, hash, own hash, kind, token) of each token but marks. A capital makes a name only within a sentence, and
+        not in a word all of capitals; a unit is one only after a number; placeholders of a kind have one hash beside their own."""
         found = [TOKEN.findall(t) if t else [] for t in texts]
         tokens = [t for f in found for t in f]
         owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         code = self.codes(tokens)
         hashes, kinds = self.hashes[code], self.kinds[code].copy()
         if not len(tokens):
-            return owner, hashes, kinds, tokens
+            return owner, hashes, hashes, kinds, tokens
         first = np.append(True, owner[1:] != owner[:-1])
         before = np.append(np.int8(MARK), kinds[:-1])
         kinds[(kinds == NAME) & (first | (before == MARK))] = LITERAL
         kinds[(kinds == UNIT) & (first | (before != NUMBER))] = LITERAL
-        hashes = np.where(kinds == LITERAL, hashes, kinds.astype(np.uint64))
+        typed = np.where(kinds == LITERAL, hashes, kinds.astype(np.uint64))
         real = np.flatnonzero(kinds != MARK)
-        return owner[real], hashes[real], kinds[real], [tokens[k] for k in real.tolist()] if len(texts) < 64 else _Picked(tokens, real)
+        return owner[real], typed[real], hashes[real], kinds[real], [tokens[k] for k in real.tolist()] if len(texts) < 64 else _Picked(tokens, real)
 
 
 class _Picked:
@@ -91,6 +93,12 @@ def window_hashes(owner: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, widt
     return at, roll[at]
 
 
+def exact_hashes(owner: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each window of ``width`` tokens of one text by what its tokens are; never a template's hash."""
+    at, values = window_hashes(owner, own, np.zeros(len(owner), np.int8), width, 0)
+    return at, values ^ np.uint64(0xA5A5A5A55A5A5A5A)
+
+
 def slots(kinds: np.ndarray, tokens: list[str] | _Picked, start: int, width: int) -> list[str]:
     return [f"{kinds[k]}{tokens[k].lower()}" for k in range(start, start + width) if kinds[k] != LITERAL]
 
@@ -103,16 +111,22 @@ def item_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                owner, hashes, kinds, tokens = reader.read([text])
+                owner, hashes, own, kinds, tokens = reader.read([text])
                 n = len(owner)
                 size = min(n, width)
-                if n < least:
+                if not n:
                     continue
-                found = [(start, value, slots(kinds, tokens, start, size)) for start, value in zip(*(x.tolist() for x in window_hashes(owner, hashes, kinds, size, (size + 1) // 2)))]
+                plain = (size + 1) // 2
+                found = []
+                if n >= least:
+                    found += [(start, value, slots(kinds, tokens, start, size)) for start, value in zip(*(x.tolist() for x in window_hashes(owner, hashes, kinds, size, plain)))]
+                # windows without enough plain words, were one more of them a name, count as they are
+                count = np.append(0, np.cumsum(kinds == LITERAL))
+                found += [(start, value, []) for start, value in zip(*(x.tolist() for x in exact_hashes(owner, own, size))) if n < least or count[start + size] - count[start] <= plain]
                 # a capital at the item's start may be within a sentence of a document, where it makes a name
-                _, hashes, kinds, tokens = (x[1 : size + 1] for x in reader.read(["x " + text]))
-                if kinds[0] == NAME:
-                    found += [(0, value, slots(kinds, tokens, 0, size)) for value in window_hashes(np.zeros(size), hashes, kinds, size, (size + 1) // 2)[1].tolist()]
+                _, hashes, _, kinds, tokens = (x[1 : size + 1] for x in reader.read(["x " + text]))
+                if kinds[0] == NAME and n >= least:
+                    found += [(0, value, slots(kinds, tokens, 0, size)) for value in window_hashes(np.zeros(size), hashes, kinds, size, plain)[1].tolist()]
                 for start, value, fill in found:
                     for column, x in zip(rows, (item, n, size, start, value - (1 << 64 if value >> 63 else 0), fill)):
                         column.append(x)
@@ -136,17 +150,19 @@ def hits(docs: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 ids = batch.column(0).to_pylist()
-                owner, hashes, kinds, tokens = reader.read(batch.column(1).to_pylist())
+                owner, hashes, own, kinds, tokens = reader.read(batch.column(1).to_pylist())
                 begin = np.searchsorted(owner, np.arange(len(ids)))
                 out: list[list] = [[] for _ in range(5)]
                 for size, values in known.items():
-                    at, found = window_hashes(owner, hashes, kinds, size, (size + 1) // 2)
-                    maybe = quick[size][found >> np.uint64(44)]
-                    at, found = at[maybe], found[maybe]
-                    sure = values[np.minimum(np.searchsorted(values, found), len(values) - 1)] == found
-                    for start, value in zip(at[sure].tolist(), found[sure].view(np.int64).tolist()):
-                        for column, x in zip(out, (ids[owner[start]], start - int(begin[owner[start]]), size, value, slots(kinds, tokens, start, size))):
-                            column.append(x)
+                    for exact in (False, True):
+                        at, found = exact_hashes(owner, own, size) if exact else window_hashes(owner, hashes, kinds, size, (size + 1) // 2)
+                        maybe = quick[size][found >> np.uint64(44)]
+                        at, found = at[maybe], found[maybe]
+                        sure = values[np.minimum(np.searchsorted(values, found), len(values) - 1)] == found
+                        for start, value in zip(at[sure].tolist(), found[sure].view(np.int64).tolist()):
+                            fill = [] if exact else slots(kinds, tokens, start, size)
+                            for column, x in zip(out, (ids[owner[start]], start - int(begin[owner[start]]), size, value, fill)):
+                                column.append(x)
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "at", "width", "hash", "fill"])
 
@@ -158,7 +174,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
 
     A text's template is its words in lower case, with typed placeholders for numbers, names (capitals within a
     sentence) and units (after a number). Windows of ``width`` tokens, half of them or more in their own form, are
-    joined by hash; an item of fewer tokens is one window, one of under ``least`` none. Windows of a document that
+    joined by hash; an item of fewer tokens is one window. Windows with fewer plain words, and items of under ``least``
+    tokens as a whole, are joined by what their tokens are, so verbatim copies of any item are found (of a single word
+    too: such items belong in no benchmark). Characters of scripts without spaces are tokens. Windows of a document that
     lie as the item's do form an alignment; in it the same filler must stand for the same filler, for a share
     ``agree`` of the slots at least (agreement), else it doesn't count. A document has an item if its alignments
     cover a share ``share`` of the item's tokens (covered), or ``run_tokens`` (or all) of them in a row (longest).

@@ -158,6 +158,14 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_of_items_with_few_plain_words(spark):
+    bench = [(1, "What is 2+2?"), (2, "3 4 7 11 18 29 47 76 123 199"), (3, "The Great Gatsby Meets Captain Ahab Near Moby Dick Island Tonight"), (4, "東京から大阪まで電車で何時間かかりますか"), (5, "เมืองหลวงของประเทศไทย"), (6, "Add 5 kg 7 kg 9 kg 4 kg 2 kg"), (7, "12 + 13")]
+    docs = [(10 * k, f"it was asked: {t} and so on") for k, t in bench] + [(11, "What is 2+3?"), (21, "3 4 7 11 18 30 47 76 123 199"), (31, bench[2][1].lower()), (41, "東京から京都まで"), (51, "ประเทศ"), (61, "Add 6 kg 8 kg 10 kg 3 kg 1 kg"), (71, "12 and 13")]
+    b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, DOCS)
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.leaks(d, b).collect()}
+    assert set(got) == {(10 * k, k) for k, _ in bench} | {(31, 3)} and all(got.values())
+
+
 def test_leaks_of_the_tables(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", (t or "").lower()))
