@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ UNIT_WORDS = (
     "ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur gbp percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres kmh mph"
 ).split()
+#: The share of an item's tokens that an alignment covers if numbers no longer count against it.
+NEARLY = 0.9
 #: Benchmark windows that one scan of the documents is held against, at most.
 BLOCK = 500_000
 
@@ -177,8 +180,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
     joined by hash; an item of fewer tokens is one window. Windows with fewer plain words, and items of under ``least``
     tokens as a whole, are joined by what their tokens are, so verbatim copies of any item are found (of a single word
     too: such items belong in no benchmark). Characters of scripts without spaces are tokens. Windows of a document that
-    lie as the item's do form an alignment; in it the same filler must stand for the same filler, for a share
-    ``agree`` of the slots at least (agreement), else it doesn't count. A document has an item if its alignments
+    lie as the item's do form an alignment; in it the same filler of the item must have the same filler in the
+    document (for a number, the most frequent one counts as that), for a share ``agree`` of the pairs at least
+    (agreement), else it doesn't count. If it covers nearly the whole item, only names and units must agree so.
+    Different fillers of the item may have one filler. A document has an item if its alignments
     cover a share ``share`` of the item's tokens (covered), or ``run_tokens`` (or all) of them in a row (longest).
     exact: all slots are filled as in the item, otherwise it is a question with other parameters.
 
@@ -214,14 +219,18 @@ def judged(aligned: DataFrame, run_tokens: int, share: float, agree: float) -> D
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                pairs = {(p["fill"], p["filled"]) for p in r["pairs"]}
-                by: dict[str, int] = {}
-                back: dict[str, int] = {}
-                for a, b in pairs:
-                    by[a], back[b] = by.get(a, 0) + 1, back.get(b, 0) + 1
-                fit = sum(by[a] == 1 and back[b] == 1 for a, b in pairs) / len(pairs) if pairs else 1.0
-                if fit >= agree:
-                    covered = sorted({p + k for p in r["places"] for k in range(r["width"])})
+                pairs = Counter((p["fill"], p["filled"]) for p in r["pairs"])
+                by = Counter(a for a, _ in pairs)
+                # a number may become several: those that are its most frequent filler fit
+                most: dict[str, int] = {}
+                for (a, _), n in pairs.items():
+                    most[a] = max(n, most.get(a, 0))
+                number = str(NUMBER)
+                fits = {(a, b): by[a] == 1 or a[0] == number and n == most[a] for (a, b), n in pairs.items()}
+                fit = sum(fits.values()) / len(fits) if fits else 1.0
+                covered = sorted({p + k for p in r["places"] for k in range(r["width"])})
+                firm = [x for (a, _), x in fits.items() if a[0] != number]
+                if fit >= agree or len(covered) >= NEARLY * r["tokens"] and sum(firm) >= agree * len(firm):
                     rows.append((r["doc_id"], r["item_id"], r["tokens"], covered, fit, all(a == b for a, b in pairs)))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "tokens", "covered", "agreement", "exact"])

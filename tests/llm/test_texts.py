@@ -166,6 +166,13 @@ def test_leaks_of_items_with_few_plain_words(spark):
     assert set(got) == {(10 * k, k) for k, _ in bench} | {(31, 3)} and all(got.values())
 
 
+def test_leaks_with_coincident_numbers(spark):
+    bench = [(1, "yesterday Tom buys 12 apples for 3 dollars in the shop"), (2, "we are told that Ann has 4 apples and also 4 pears in the old basket")]
+    docs = [(10, "yesterday Mary buys 5 apples for 5 dollars in the shop"), (20, "we are told that Bob has 4 apples and also 6 pears in the old basket"), (21, "we are told that Bob has 4 apples and also 6 cars in a new garage")]
+    b, d = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame(docs, DOCS)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(10, 1), (20, 2)}
+
+
 def test_leaks_of_the_tables(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", (t or "").lower()))
