@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Chunks kept with their ids in each Python worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO = 600_000
+MEMO = 300_000
 #: Characters beyond which a chunk isn't kept.
 LONG = 100
 #: Characters of text after which a worker hands its rows on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 NONE = 1 << 62
-ODD_SPACE = re.compile(r"[^\S \n]")
 PAIRS = ["  ", " \n", "\n ", "\n\n"]
 CHUNKS = re.compile(r" ?[^ \n]+|\n")
 
+# The classes that the library's word pattern tells apart are those of Unicode 16.0, which are the
+# general categories L and N of Unicode 15.1 (Python's own table) with the letters and numbers that 16.0 added.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS_SINCE = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_SINCE = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: What stands for a letter, a number, a white character and any other beyond ASCII when a text's shape is read.
+LETTER, NUMBER, SPACE, OTHER = "\xaa", "\xb2", "\x85", "\xa1"
+#: The vocabulary's word pattern, over shapes.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa]+| ?[0-9\xb2]+| ?[^\t\n\v\f\r \x85A-Za-z\xaa0-9\xb2]+|[\t\n\v\f\r \x85]+(?![^\t\n\v\f\r \x85])|[\t\n\v\f\r \x85]+")
+#: White space but the space and the newline.
+ODD = [c for c in WHITE if c not in " \n"]
+
+
+class Shapes(dict):
+    """For str.translate: what stands for each character, found when it is first met."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        if point < 128:
+            shape = c
+        elif c in WHITE:
+            shape = SPACE
+        elif any(a <= point <= b for a, b in LETTERS_SINCE) or unicodedata.category(c)[0] == "L":
+            shape = LETTER
+        elif any(a <= point <= b for a, b in NUMBERS_SINCE) or unicodedata.category(c)[0] == "N":
+            shape = NUMBER
+        else:
+            shape = OTHER
+        self[point] = shape
+        return shape
+
+
+SHAPES = Shapes()
+
+
+def pieces(text: str) -> list[str]:
+    """The pieces of a text that are merged by themselves."""
+    if text.isascii():
+        return WORDS.findall(text)
+    shape = text.translate(SHAPES)
+    return [text[m.start() : m.end()] for m in WORDS.finditer(shape)]
+
 
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte: printable Latin-1 stands for itself, others from 256 on."""
@@ -42,22 +86,22 @@ def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list
 
     The tree's leaf i holds rank * n + i for the pair that starts at symbol i (a large value if it has no rank or
     the symbol is gone), an inner node the smaller of its children; the root thus names the next merge. A merge
-    sets three leaves.
+    sets three leaves. Arrays of numbers, not lists: at most 48 bytes for each symbol, however long a piece is.
     """
     n = len(ids)
     if n < 2:
         return ids
-    ids, get = list(ids), ranks.get
+    ids, get = array("i", ids), ranks.get
     none = NONE
     width = 1 << (n - 1).bit_length()
-    tree = [none] * (2 * width)
+    tree = array("q", [none]) * (2 * width)
     for i in range(n - 1):
         if found := get((ids[i], ids[i + 1])):
             tree[width + i] = found[0] * n + i
     for k in range(width - 1, 0, -1):
         x, y = tree[2 * k], tree[2 * k + 1]
         tree[k] = x if x < y else y
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
 
     def put(i: int) -> None:
         j = after[i]
@@ -108,9 +152,7 @@ class Bpe:
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.table |= {i: s.encode() for s, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        # fixed values: the vocabulary's word pattern, with white space as Unicode defines it
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of pairs (a, b); NONE where a pair has none or a symbol is gone (negative)."""
@@ -127,7 +169,7 @@ class Bpe:
         for width, members in classes.items():
             if width > 64:
                 for k in members:
-                    out[k] = merge([int(x) for x in self.first[list(pieces[k])]], self.ranks)
+                    out[k] = merge(self.first[np.frombuffer(pieces[k], np.uint8)].tolist(), self.ranks)
                 continue
             flat = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in members]), np.uint8).reshape(-1, width)
             n, m = np.array([len(pieces[k]) for k in members]), len(members)
@@ -173,12 +215,12 @@ class Bpe:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of chunks into the memo."""
-        split = {c: [] if c in self.added else [c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self.pattern.findall(c) for c in chunks}
-        pieces = list({p for ps in split.values() for p in ps})
-        ids = dict(zip(pieces, self.merge_all([p.encode() for p in pieces])))
+        """Puts the ids of chunks, as little-endian 32-bit numbers, into the memo."""
+        split = {c: [] if c in self.added else pieces(c) for c in chunks}
+        distinct = list({p for ps in split.values() for p in ps})
+        ids = dict(zip(distinct, (np.array(x, "<i4").tobytes() for x in self.merge_all([p.encode() for p in distinct]))))
         for c, ps in split.items():
-            self.memo[c] = [self.added[c]] if c in self.added else ids[ps[0]] if len(ps) == 1 else [i for p in ps for i in ids[p]]
+            self.memo[c] = np.array([self.added[c]], "<i4").tobytes() if c in self.added else ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of a text that the word pattern treats alike apart and together: a space that one word follows
@@ -187,31 +229,32 @@ class Bpe:
         for k, part in enumerate(self.split_added.split(text) if self.added else [text]):
             if k % 2:
                 out.append(part)
-            elif not part.replace("\n", " ").isprintable() and ODD_SPACE.search(part) or any(x in part for x in PAIRS) or part[-1:] == " ":
-                out += self.pattern.findall(part)
+            elif part[-1:] == " " or any([x in part for x in PAIRS]) or any([x in part for x in ODD]):
+                out += pieces(part)
             elif part:
                 out += CHUNKS.findall(part)
         return out
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         chunks = [self.chunks(text or "") for text in texts]
         fresh = set().union(*chunks).difference(self.memo)
+        long = [c for c in fresh if len(c) > LONG]
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = set().union(*chunks)
         if fresh:
-            long = {c for c in fresh if len(c) > LONG}
-            if len(self.memo) + len(fresh) > MEMO:
-                self.memo.clear()
-                fresh = set().union(*chunks)
             self.learn(fresh)
-        memo = self.memo
-        out = [list(chain.from_iterable(map(memo.__getitem__, c))) for c in chunks]
-        if fresh:
-            for c in long:
-                del memo[c]
+        of = self.memo.__getitem__
+        out = [np.frombuffer(b"".join(map(of, c)), "<i4") for c in chunks]
+        for c in long:
+            del self.memo[c]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -235,7 +278,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        gc.disable()  # many small lists and no cycles
         for batch in batches:
             start, size, texts = 0, 0, []
             for k, text in enumerate(batch.column(1)):
@@ -244,8 +286,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if size >= FLUSH or k == batch.num_rows - 1:
                     ids = bpe.encode_all(texts)
                     offsets = np.cumsum([0, *map(len, ids)])
-                    flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), lists, pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "token_ids", "decoded"])
                     start, size, texts = k + 1, 0, []
 
