@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.shared import cut
-
 WORD = re.compile(r"[^\W\d_]+")
+#: Columns of the feature matrix; words that share one (few do) share a weight.
+WIDTH = 1 << 20
+#: Words whose columns a worker remembers, at most.
+MEMO = 200_000
 
 
 def features(text: str | None) -> set[str]:
@@ -23,60 +27,108 @@ def features(text: str | None) -> set[str]:
     return words.union([w[:4] + "*" for w in words if len(w) > 4], [w[:5] + "*" for w in words if len(w) > 5])
 
 
+class Columns(dict):
+    """The column of each word, found when it is first met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        column = self[word] = xxhash.xxh64_intdigest(word) % WIDTH
+        return column
+
+
+_columns = Columns()
+
+
+def columns_of(text: str | None) -> set[int]:
+    """The columns that hold a one for a text."""
+    return set(map(_columns.__getitem__, features(text)))
+
+
 @dataclass
 class OrdinalModel:
-    """P(grade > k) = sigmoid(weights . words - cuts[k]): one weight for each word, shared by all the ordered cuts."""
+    """P(grade > k) = sigmoid(weights . columns - cuts[k]): one weight for each column, shared by all the ordered cuts."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     cuts: tuple[float, ...] = (np.inf,)
 
-    def exceed(self, texts: list[str | None]) -> np.ndarray:
+    def exceed(self, texts: Iterable[str | None]) -> np.ndarray:
         """A row for each text: P(grade > k) for each cut."""
         known, get = self.weights.keys(), self.weights.__getitem__
-        score = np.array([sum(map(get, known & features(t))) for t in texts], float)
+        score = np.array([math.fsum(map(get, known & columns_of(t))) for t in texts], float)
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - score[:, None], -500, 500)))
 
 
-def fit_matrix(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, levels: int, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts by accelerated proximal gradient descent on the mean of the cumulative logistic losses.
+def fit_matrix(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, levels: int, l1: float, rounds: int = 60, more: int = 500, steps: int = 400, slack: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts that minimise the mean of the cumulative logistic losses plus l1 times the weights' size.
 
-    rows, columns: where the binary feature matrix holds ones. The penalty l1 keeps words without evidence at zero.
-    The cuts are kept in order, each at least as high as the one below.
+    rows, columns: where the binary feature matrix holds ones. The penalty keeps words without evidence at zero, so the
+    descent runs over a working set: in each round the ``more`` columns join it whose slope exceeds the penalty the
+    most, until none exceeds it by over the share ``slack``, which is the condition of the minimum; every column is
+    looked at in every round.
     """
-    n = len(grades)
     over = (grades[:, None] > np.arange(levels - 1)).astype(float)
     rate = np.clip(over.mean(0), 1e-4, 1 - 1e-4)
-    cuts = -np.log(rate / (1 - rate))
-    weight = np.zeros(width)
-    most = max(1, np.bincount(rows, minlength=n).max())
-    often = np.bincount(columns, minlength=width)
-    step_w = 4.0 / (np.maximum(1, often) * np.sqrt(most / max(1, np.bincount(rows, minlength=n).mean())) * (levels - 1)) * n * 0.05
-    step_w = np.minimum(step_w, 50.0)
-    w_old, c_old, momentum = weight, cuts, 1.0
-    look_w, look_c = weight, cuts
-    for _ in range(steps):
-        score = np.bincount(rows, weights=look_w[columns], minlength=n)
-        p = 1 / (1 + np.exp(np.clip(look_c[None, :] - score[:, None], -500, 500)))
-        error = (p - over) / n
+    weight, cuts, score = np.zeros(width), -np.log(rate / (1 - rate)), np.zeros(len(grades))
+    for _ in range(rounds):
+        error = (1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -500, 500))) - over) / len(grades)
         slope = np.bincount(columns, weights=error.sum(1)[rows], minlength=width)
-        new = look_w - step_w * slope
-        new = np.sign(new) * np.maximum(0, np.abs(new) - step_w * l1)
-        cut = np.maximum.accumulate(look_c + error.sum(0))
+        beyond = np.where(weight != 0, np.abs(slope + l1 * np.sign(weight)), np.abs(slope) - l1)
+        if not width or beyond.max() <= slack * l1:
+            break
+        inside = weight != 0
+        worst = np.argsort(-beyond, kind="stable")[:more]
+        inside[worst[beyond[worst] > 0]] = True
+        place = np.cumsum(inside) - 1
+        some = inside[columns]
+        own, cuts, score = descend(rows[some], place[columns[some]], over, weight[inside], cuts, l1, steps)
+        weight[inside] = own
+    return weight, cuts
+
+
+def descend(rows: np.ndarray, columns: np.ndarray, over: np.ndarray, weight: np.ndarray, cuts: np.ndarray, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, cuts and the rows' scores after accelerated proximal gradient descent from weight and cuts. The cuts are
+    kept in order. A step that would raise the loss is taken anew from the last point, shorter."""
+    n, levels = len(over), over.shape[1] + 1
+    step_w = np.minimum(50.0, 0.8 * n / (np.maximum(1, np.bincount(columns, minlength=len(weight))) * (levels - 1)))
+    shorter = 1.0
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, weights=w[columns], minlength=n)
+
+    def loss(score: np.ndarray, c: np.ndarray, w: np.ndarray) -> float:
+        x = score[:, None] - c[None, :]
+        return float((np.logaddexp(0, x) - over * x).sum() / n + l1 * np.abs(w).sum())
+
+    w_old, c_old, s_old, momentum = weight, cuts, scores(weight), 1.0
+    look_w, look_c, look_s, best = w_old, c_old, s_old, loss(s_old, c_old, w_old)
+    for _ in range(steps):
+        error = (1 / (1 + np.exp(np.clip(look_c[None, :] - look_s[:, None], -500, 500))) - over) / n
+        step = shorter * step_w
+        new = look_w - step * np.bincount(columns, weights=error.sum(1)[rows], minlength=len(weight))
+        new = np.sign(new) * np.maximum(0, np.abs(new) - step * l1)
+        cut = np.maximum.accumulate(look_c + shorter * error.sum(0))
+        score = scores(new)
+        now = loss(score, cut, new)
+        if now > best + 1e-13:
+            if momentum == 1.0:  # a plain step that leads up is too long
+                shorter /= 2
+            look_w, look_c, look_s, momentum = w_old, c_old, s_old, 1.0
+            continue
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        turn = ((look_w - new) * (new - w_old)).sum() > 0
-        beta = 0.0 if turn else (momentum - 1) / later
-        look_w, look_c = new + beta * (new - w_old), cut + beta * (cut - c_old)
-        w_old, c_old, momentum = new, cut, 1.0 if turn else later
-    return w_old, c_old
+        beta = (momentum - 1) / later
+        look_w, look_c, look_s = new + beta * (new - w_old), cut + beta * (cut - c_old), score + beta * (score - s_old)
+        w_old, c_old, s_old, momentum, best = new, cut, score, later, now
+    return w_old, c_old, s_old
 
 
-def fit(docs: DataFrame, graded: DataFrame, sample: int = 8192, min_docs: int = 5, max_words: int = 50_000, l1: float = 2e-4, steps: int = 300, levels: int | None = None) -> OrdinalModel:
+def fit(docs: DataFrame, graded: DataFrame, sample: int = 8192, l1: float = 2e-4, levels: int | None = None) -> OrdinalModel:
     """A model from graded (doc_id, grade), grades 0, 1, 2, ...
 
-    sample: how many graded rows it is fitted on at most, those whose doc_id hashes lowest; this bounds what the
-    driver gets (ids, and the places of known words), as do min_docs and max_words: only words in so many of the
-    sampled texts, the commonest first, have weights. A null doc_id or grade counts as no label; of repeated labels
-    the highest grade counts. Without usable labels the model predicts grade 0 for all.
+    sample: how many graded rows it is fitted on at most, those whose doc_id hashes lowest; all their words count. The
+    driver gets their columns, at most WIDTH for each. A null doc_id or grade counts as no label; of repeated labels
+    the highest grade counts, and copies of one text count once. A null text has no words. Without usable labels the
+    model predicts grade 0 for all. Extra columns aren't read.
     """
     spark = docs.sparkSession
     labels = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max(F.greatest("grade", F.lit(0))).cast("int").alias("grade"))
@@ -88,31 +140,22 @@ def fit(docs: DataFrame, graded: DataFrame, sample: int = 8192, min_docs: int =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, grade in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([grade], pa.int32()), pa.array([sorted(features(text))], pa.list_(pa.string()))], names=["doc_id", "grade", "words"])
+            found = [np.sort(np.fromiter(columns_of(t.as_py()), np.int32)) for t in batch.column(2)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lists], names=["doc_id", "grade", "key", "ones"])
 
     # copies of one text count once, or a large group of copies would be most of the sample
-    bags = cut(picked.groupBy(F.sha2("text", 256).alias("key")).agg(F.max("grade").alias("grade"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "grade").mapInArrow(split, "doc_id long, grade int, words array<string>"))
-    counts = bags.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= min_docs)
-    vocab = sorted(r.word for r in counts.orderBy(F.desc("count"), "word").limit(max_words).collect())
-    place = {w: i for i, w in enumerate(vocab)}
-    known = spark.createDataFrame([(w, i) for w, i in place.items()], "word string, place int")
-    data = (
-        bags.select("doc_id", "grade", F.explode_outer("words").alias("word"))
-        .join(F.broadcast(known), "word", "left")
-        .groupBy("doc_id", "grade")
-        .agg(F.collect_list("place").alias("places"))
-        .orderBy("doc_id")
-        .toArrow()
-    )
+    bags = picked.select("doc_id", "grade", "text", F.sha2("text", 256).alias("key")).mapInArrow(split, "doc_id long, grade int, key string, ones array<int>")
+    data = bags.groupBy("key").agg(F.max("grade").alias("grade"), F.min("doc_id").alias("doc_id"), F.first("ones").alias("ones")).drop("key").toArrow().sort_by("doc_id")
+    if not data.num_rows:
+        return OrdinalModel()
     grades = data.column("grade").to_numpy()
-    lists = data.column("places").combine_chunks()
-    columns = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.repeat(np.arange(len(grades)), np.diff(lists.offsets.to_numpy()))
+    lists = data.column("ones").combine_chunks()
+    known, columns = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    rows = np.repeat(np.arange(len(grades)), lists.value_lengths().to_numpy(zero_copy_only=False))
     levels = levels or max(2, int(grades.max(initial=0)) + 1)
-    order = np.lexsort((columns, rows))
-    weight, cuts = fit_matrix(rows[order], columns[order], grades, len(vocab), levels, l1, steps)
-    return OrdinalModel({w: float(x) for w, x in zip(vocab, weight) if abs(x) > 1e-9}, tuple(float(c) for c in cuts))
+    weight, cuts = fit_matrix(rows, columns, grades, len(known), levels, l1)
+    return OrdinalModel({int(k): float(x) for k, x in zip(known, weight) if abs(x) > 1e-9}, tuple(float(c) for c in cuts))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -133,19 +176,20 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = model.exceed(batch.column(1).to_pylist())
+                p = model.exceed(t.as_py() for t in batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= threshold)], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score() does not reject; columns as they were. No shuffle."""
+    """The rows of docs that score() does not reject; columns as they were, whatever their names. Null and empty texts are
+    judged by the cuts alone; repeated rows and null ids are judged each; an empty table gives no rows. No shuffle."""
     text = docs.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(model.exceed(batch.column(text).to_pylist())[:, 0] < threshold))
+                yield batch.filter(pa.array(model.exceed(t.as_py() for t in batch.column(text))[:, 0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

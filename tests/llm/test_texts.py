@@ -264,12 +264,75 @@ def test_ordinal_model_on_held_out_texts(spark):
     assert mean[0] < 0.2 < 0.8 < mean[1] < mean[2]
 
 
+def by_coordinates(x, grades, levels, l1, sweeps):
+    """The same minimum, a coordinate at a time over a dense matrix."""
+    n, over = len(x), (grades[:, None] > np.arange(levels - 1)).astype(float)
+    w, cuts, score = np.zeros(x.shape[1]), np.zeros(levels - 1), np.zeros(n)
+    curve = 0.25 * (levels - 1) * x.sum(0) / n
+    where = [np.flatnonzero(column) for column in x.T]
+    for _ in range(sweeps):
+        for k, at in enumerate(where):
+            slope = (1 / (1 + np.exp(cuts - score[at, None])) - over[at]).sum() / n
+            raw = w[k] - slope / curve[k]
+            new = np.sign(raw) * max(0, abs(raw) - l1 / curve[k])
+            score[at] += new - w[k]
+            w[k] = new
+        for _ in range(4):
+            cuts = np.maximum.accumulate(cuts + 4 * (1 / (1 + np.exp(cuts - score[:, None])) - over).mean(0))
+    z = score[:, None] - cuts
+    return w, cuts, (np.logaddexp(0, z) - over * z).sum() / n + l1 * np.abs(w).sum()
+
+
+def test_fit_finds_the_minimum():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 40)) < 0.2).astype(float)
+    grades = np.clip((x[:, :4] @ [2.0, 1.5, -1.0, 1.0] + rng.normal(size=200)).round().astype(int), 0, 2)
+    rows, columns = np.nonzero(x)
+    w, cuts = toxicity.fit_matrix(rows, columns, grades, 40, 3, 2e-3, slack=1e-4)
+    best, best_cuts, lowest = by_coordinates(x, grades, 3, 2e-3, 600)
+    z = (x @ w)[:, None] - cuts[None, :]
+    over = (grades[:, None] > np.arange(2)).astype(float)
+    assert (np.logaddexp(0, z) - over * z).sum() / 200 + 2e-3 * np.abs(w).sum() <= lowest + 1e-6 and np.abs(w - best).max() < 0.02 and np.abs(cuts - best_cuts).max() < 0.02
+
+
+def test_toxicity_query_by_brute_force(spark, tmp_path):
+    rows, labels = toxic_rows(300, 5)
+    labels = [(d, random.randrange(3) if random.random() < 0.2 else g) for d, g in labels]  # words alone can't tell these
+    rows += [(9000, None), (9001, ""), (9002, "12 34")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(g < 2), int(g > 0)) for d, g in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, str(tmp_path)).collect()}
+
+    def bag(text):
+        words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+        return words | {w[:4] + "*" for w in words if len(w) >= 5} | {w[:5] + "*" for w in words if len(w) >= 6}
+
+    graded, unique = dict(labels), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        if d in graded:
+            unique[t] = max(unique.get(t, 0), graded[d])
+    vocab = sorted(set().union(*(bag(t) for t in unique)))
+    place = {w: k for k, w in enumerate(vocab)}
+    x = np.zeros((len(unique), len(vocab)))
+    for k, t in enumerate(unique):
+        x[k, [place[w] for w in bag(t)]] = 1
+    w, cuts, _ = by_coordinates(x, np.array(list(unique.values())), 3, 2e-4, 1500)
+    assert len(got) == len(rows)
+    near = 0
+    for d, t in rows:
+        p = 1 / (1 + np.exp(cuts - sum(w[place[z]] for z in bag(t) if z in place)))
+        near += abs(p.sum() - got[d].expected_severity) < 0.1
+        if abs(p[0] - 0.5) > 0.2:
+            assert got[d].rejected == (p[0] >= 0.5), (d, p, got[d])
+    assert near >= 0.95 * len(rows)
+
+
 def test_toxicity_cases(spark):
     rows = [(1, "you idiot idiot"), (2, None), (3, ""), (4, "12 !!"), (1, "you idiot idiot"), (None, "fox"), (5, "fox " * 50_000)]
     docs = spark.createDataFrame([(d, t, 0.5, True) for d, t in rows], DOCS + ", expected_severity double, rejected boolean")
     none = toxicity.fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, grade int"))
     assert [r.rejected for r in toxicity.score(docs, none).collect()] == [False] * 7 and toxicity.keep_clean(docs, none).count() == 7
-    model = toxicity.OrdinalModel({"idiot": 9.0}, (3.0, 8.0))
+    model = toxicity.OrdinalModel({toxicity._columns["idiot"]: 9.0}, (3.0, 8.0))
     got = toxicity.score(docs, model).collect()
     assert [r.rejected for r in got] == [True, False, False, False, True, False, False] and got[0].grade == 2 and got[1].expected_severity == pytest.approx(1 / (1 + np.e**3) + 1 / (1 + np.e**8))
     kept = toxicity.keep_clean(docs, model)
