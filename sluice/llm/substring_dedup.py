@@ -11,7 +11,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.llm.shared import partitions, words
 
@@ -21,6 +20,8 @@ PIECE = 3
 CHUNK = 8 << 20
 #: Bytes of packed strings that a bucket is meant to get, at most.
 BUCKET = 12 << 20
+#: One in so many documents tells which minimisers are hot. It decides where windows are compared, not what is found.
+SHARE = 64
 
 
 class Packed(NamedTuple):
@@ -32,7 +33,7 @@ class Packed(NamedTuple):
     offsets: np.ndarray  # where each word begins in it
     starts: np.ndarray  # the first word of each super-k-mer
     counts: np.ndarray  # its windows
-    minimisers: np.ndarray
+    routes: np.ndarray  # its minimiser; windows of a hot minimiser travel one by one, by their own hash
     owner: np.ndarray  # the document of each super-k-mer
 
     def strings(self, width: int) -> list[bytes]:
@@ -52,7 +53,7 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
-def pack(texts: list[str | None], width: int) -> Packed:
+def pack(texts: list[str | None], width: int, hot: np.ndarray) -> Packed:
     split = [words(t) for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     flat = [w for ws in split for w in ws]
@@ -79,7 +80,18 @@ def pack(texts: list[str | None], width: int) -> Packed:
     new = np.append(True, (low[1:] != low[:-1]) | (owner[1 : n - width + 1] != owner[: n - width]) | ~whole[:-1])
     starts = np.flatnonzero(new & whole)
     ends = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True)) + 1
-    return Packed(flat, sizes, buffer, offsets, starts, ends - starts, low[starts], owner[starts])
+    counts, routes = ends - starts, low[starts]
+    single = np.isin(routes, hot)
+    if single.any():
+        copies = np.where(single, counts, 1)
+        at = np.repeat(np.arange(len(starts)), copies)
+        starts = starts[at] + np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+        counts, routes, single = np.where(single, 1, counts)[at], routes[at], single[at]
+        roll = np.zeros(single.sum(), np.uint64)
+        for k in range(width):
+            roll = roll * np.uint64(0xD6E8FEB86659FD93) + h[starts[single] + k]
+        routes[single] = mixed(roll)
+    return Packed(flat, sizes, buffer, offsets, starts, counts, routes, owner[starts])
 
 
 def press(*arrays: np.ndarray | bytes) -> bytes:
@@ -96,11 +108,31 @@ def unpress(blob: bytes, parts: int) -> list[bytes]:
     return out
 
 
-def send(table: pa.Table, width: int, buckets: int) -> pa.Table:
+def hot_minimisers(rows: DataFrame, width: int) -> np.ndarray:
+    """The minimisers whose distinct super-k-mers are over a bucket's worth of bytes, by what one in SHARE documents
+    holds. There are at most as many as buckets."""
+    schema = "route long, string long, bytes long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pack(batch.column(0).to_pylist(), width, np.zeros(0, np.uint64))
+            strings = found.strings(width)
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
+            _, at = np.unique(digests, return_index=True)
+            size = np.fromiter(map(len, strings), np.int64, len(strings))
+            yield pa.RecordBatch.from_arrays([pa.array(found.routes[at].view(np.int64)), pa.array(digests[at].view(np.int64)), pa.array(size[at])], names=["route", "string", "bytes"])
+
+    some = rows.where("doc_id is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0)
+    distinct = some.select("text").mapInArrow(run, schema).groupBy("route", "string").agg(F.first("bytes").alias("bytes"))
+    large = distinct.groupBy("route").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") * SHARE > BUCKET)
+    return np.sort(np.array([r.route for r in large.collect()], np.int64).view(np.uint64))
+
+
+def send(table: pa.Table, width: int, buckets: int, hot: np.ndarray) -> pa.Table:
     """(bucket, chunk, blob) from a chunk's (chunk, doc_id, text): for each bucket the distinct super-k-mers, each
     with the smallest and the largest doc_id that has it."""
     table = table.filter(table.column("doc_id").is_valid())
-    docs, found = table.column("doc_id").to_numpy(), pack(table.column("text").to_pylist(), width)
+    docs, found = table.column("doc_id").to_numpy(), pack(table.column("text").to_pylist(), width, hot)
     first: dict[bytes, int] = {}
     strings = found.strings(width)
     at = np.fromiter((first.setdefault(s, k) for k, s in enumerate(strings)), np.int64, len(strings))
@@ -109,11 +141,11 @@ def send(table: pa.Table, width: int, buckets: int) -> pa.Table:
     np.minimum.at(least, at, own)
     np.maximum.at(most, at, own)
     kept = np.fromiter(first.values(), np.int64, len(first))
-    bucket = (found.minimisers[kept] % np.uint64(buckets)).astype(np.int64)
+    bucket = (found.routes[kept] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     kept, bucket = kept[order], bucket[order]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    tags = (found.minimisers >> np.uint64(32)).astype(np.uint32)
+    tags = (found.routes >> np.uint64(32)).astype(np.uint32)
     blobs = [press(least[kept[a:b]], most[kept[a:b]], tags[kept[a:b]], b"\n".join(strings[k] for k in kept[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:])]
     chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
     return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
@@ -129,7 +161,7 @@ def judge(table: pa.Table, width: int) -> pa.Table:
             column.append(x)
         strings += joined.split(b"\n")
     least, most, tags, chunk = (np.concatenate(x) for x in (least, most, tags, chunk))
-    # equal windows have one minimiser: where a minimiser is in one string of one document, there is nothing to compare
+    # equal windows have one route: where a route is in one string of one document, there is nothing to compare
     _, which, often = np.unique(tags, return_inverse=True, return_counts=True)
     kept = np.flatnonzero((often[which] > 1) | (least < most))
     if not len(kept):
@@ -182,10 +214,10 @@ def judge(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"chunk": pa.array(homes, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def erase(docs: pa.Table, told: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+def erase(docs: pa.Table, told: pa.Table, width: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
     """Each document's words, words removed, and the text of those kept."""
     texts = docs.column("text").to_pylist()
-    found = pack(texts, width)
+    found = pack(texts, width, hot)
     owners: dict[bytes, np.ndarray] = {}
     for blob in told.column("blob"):
         digests, counts, values = unpress(blob.as_py(), 3)
@@ -234,20 +266,24 @@ def substring_dedup(docs: DataFrame, width: int = 13, piece_bytes: int = CHUNK)
     Documents are dealt into chunks of bounded size; each sends its distinct super-k-mers once to their minimisers'
     buckets, however many of its documents have them, and gets back the smallest doc_id of those windows that an
     earlier document has. So a passage that a third of all documents share takes a bucket a string for each chunk,
-    not for each document.
+    not for each document. The windows of a hot minimiser (a frequent piece in ever new company) are dealt one by one,
+    by their own hash. Rows alike in doc_id and text are counted where they meet, and are one row in a chunk.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     tasks = partitions(spark)
     chunks, buckets = max(2 * tasks, -(-size // piece_bytes)), max(tasks, -(-3 * size // BUCKET))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    sent = rows.groupBy("chunk").applyInArrow(lambda table: send(table, width, buckets), "bucket long, chunk long, blob binary")
+    hot = hot_minimisers(rows, width)
+    # dealt by chunk alone, which serves the count, both groupings and the way back: texts are shuffled once
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk").groupBy("chunk", "doc_id", "text").agg(F.count("*").alias("copies"))
+    sent = rows.groupBy("chunk").applyInArrow(lambda table: send(table, width, buckets, hot), "bucket long, chunk long, blob binary")
     told = sent.groupBy("bucket").applyInArrow(lambda table: judge(table, width), "chunk long, blob binary")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = "doc_id long, n_words long, n_removed long, kept string, copies long"
 
     def finish(own: pa.Table, news: pa.Table) -> pa.Table:
-        sizes, removed, kept = erase(own, news, width)
-        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())})
+        sizes, removed, kept = erase(own, news, width, hot)
+        return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string()), "copies": own.column("copies")})
 
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    found = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")

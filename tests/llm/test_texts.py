@@ -57,6 +57,19 @@ def test_substrings(spark, width):
     assert substring_dedup.substring_dedup(df.limit(0), width).count() == 0
 
 
+def test_substrings_of_hot_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET", 100)
+    monkeypatch.setattr(substring_dedup, "SHARE", 1)
+    rows = substring_rows() + [(70, "z " * 5000)] * 300
+    df = spark.createDataFrame([(d, t, 0, b"x") for d, t in rows], DOCS + ", copies int, blob binary")
+    assert len(substring_dedup.hot_minimisers(df, 5)) > 2
+    found = substring_dedup.substring_dedup(df, 5)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()), key=str) == windows_gone(rows, 5)
+    # texts cross one exchange, which both ways use
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Scan ExistingRDD") == 1
+
+
 # line dedup
 
 
