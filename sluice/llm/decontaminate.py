@@ -11,24 +11,33 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sluice.llm.shared import cut
 
 #: Scripts without spaces between words, whose characters are tokens: Thai, Lao, Myanmar, Khmer, kana and Chinese characters.
 DENSE = r"\u0E01-\u0E4E\u0E81-\u0ECD\u1000-\u103F\u1780-\u17D3\u3005-\u3007\u3041-\u30FA\u30FC-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\U00020000-\U0003FFFF"
 #: Tokens: words, numbers, and the marks that end a sentence.
 TOKEN = re.compile(rf"[^\W\d_{DENSE}]+|\d+(?:[.,]\d+)*|[.!?。！？\n]+|[{DENSE}]")
 LITERAL, NUMBER, NAME, UNIT, MARK = range(5)
-#: Words that count as numbers, and words that are units where they follow a number.
+#: Words that count as numbers (English, German, French, Spanish), and words that are units where they follow a number.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+NUMBER_WORDS += "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend".split()
+NUMBER_WORDS += "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante mille".split()
+NUMBER_WORDS += "dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien mil".split()
 UNIT_WORDS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds lb lbs ounce ounces oz "
     "ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-    "dollar dollars cent cents euro euros usd eur gbp percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres kmh mph"
+    "dollar dollars cent cents euro euros usd eur gbp percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres kmh mph "
+    "stunde stunden tag tage woche wochen monat monate jahr jahre heure heures jour jours semaine semaines mois an ans hora horas día días semana semanas mes meses año años"
 ).split()
 #: The share of an item's tokens that an alignment covers if numbers no longer count against it.
 NEARLY = 0.9
-#: Benchmark windows that one scan of the documents is held against, at most.
-BLOCK = 500_000
+#: Benchmark windows that one scan of the documents is held against, at most: 8 bytes each in every task.
+BLOCK = 4_000_000
+#: Rows of benchmark windows that are sent to every task, at most; beyond it both sides of a join are shuffled.
+BROADCAST = 200_000
+#: Tokens whose hashes a worker remembers, at most.
+TOKENS = 200_000
 
 
 class Reader:
@@ -40,7 +49,7 @@ class Reader:
 
     def codes(self, tokens: list[str]) -> np.ndarray:
         fresh = set(tokens).difference(self.code)
-        if len(self.code) + len(fresh) > 1_000_000:
+        if len(self.code) + len(fresh) > TOKENS:
             self.__init__()
             fresh = set(tokens)
         if fresh:
@@ -106,13 +115,21 @@ def slots(kinds: np.ndarray, tokens: list[str] | _Picked, start: int, width: int
     return [f"{kinds[k]}{tokens[k].lower()}" for k in range(start, start + width) if kinds[k] != LITERAL]
 
 
+def pattern(fills: list[list[str]]) -> list[tuple[str, int]]:
+    """Which slots have the same filler: each slot's kind and the first slot with its filler."""
+    first: dict[str, int] = {}
+    return [(x[0], first.setdefault(x, len(first))) for fill in fills for x in fill]
+
+
 def item_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """(item_id, tokens, width, place, hash, fill) of every template window of every item."""
+    """(item_id, class, text, tokens, width, place, hash, fill) of every template window of every item. class: alike for
+    items with the same template (and the same own words where a window has no template) and the same pattern of equal
+    fillers; text: a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(8)]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 owner, hashes, own, kinds, tokens = reader.read([text])
                 n = len(owner)
@@ -123,6 +140,7 @@ def item_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
                 found = []
                 if n >= least:
                     found += [(start, value, slots(kinds, tokens, start, size)) for start, value in zip(*(x.tolist() for x in window_hashes(owner, hashes, kinds, size, plain)))]
+                shaped = len(found)
                 # windows without enough plain words, were one more of them a name, count as they are
                 count = np.append(0, np.cumsum(kinds == LITERAL))
                 found += [(start, value, []) for start, value in zip(*(x.tolist() for x in exact_hashes(owner, own, size))) if n < least or count[start + size] - count[start] <= plain]
@@ -130,13 +148,16 @@ def item_windows(benchmark: DataFrame, width: int, least: int) -> DataFrame:
                 _, hashes, _, kinds, tokens = (x[1 : size + 1] for x in reader.read(["x " + text]))
                 if kinds[0] == NAME and n >= least:
                     found += [(0, value, slots(kinds, tokens, 0, size)) for value in window_hashes(np.zeros(size), hashes, kinds, size, plain)[1].tolist()]
+                typed = {f[0] for f in found[:shaped]}
+                alike = xxhash.xxh3_128_hexdigest(repr((n, [f[:2] for k, f in enumerate(found) if k < shaped or f[0] not in typed], pattern([f[2] for f in found]))))
+                digest = xxhash.xxh3_64_hexdigest(text)
                 for start, value, fill in found:
-                    for column, x in zip(rows, (item, n, size, start, value - (1 << 64 if value >> 63 else 0), fill)):
+                    for column, x in zip(rows, (item, alike, digest, n, size, start, value - (1 << 64 if value >> 63 else 0), fill)):
                         column.append(x)
-            kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds_)], names=["item_id", "tokens", "width", "place", "hash", "fill"])
+            kinds_ = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds_)], names=["item_id", "class", "text", "tokens", "width", "place", "hash", "fill"])
 
-    schema = "item_id long, tokens int, width int, place int, hash long, fill array<string>"
+    schema = "item_id long, class string, text string, tokens int, width int, place int, hash long, fill array<string>"
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").mapInArrow(run, schema)
 
 
@@ -173,7 +194,7 @@ def hits(docs: DataFrame, known: dict[int, np.ndarray]) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int = 13, share: float = 0.5, agree: float = 0.8, least: int = 5, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, covered, longest, agreement, exact) for each document with passages of a benchmark item.
+    """(doc_id, item_id, n_items, covered, longest, agreement, exact) for each document with passages of benchmark items.
 
     A text's template is its words in lower case, with typed placeholders for numbers, names (capitals within a
     sentence) and units (after a number). Windows of ``width`` tokens, half of them or more in their own form, are
@@ -185,35 +206,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
     (agreement), else it doesn't count. If it covers nearly the whole item, only names and units must agree so.
     Different fillers of the item may have one filler. A document has an item if its alignments
     cover a share ``share`` of the item's tokens (covered), or ``run_tokens`` (or all) of them in a row (longest).
-    exact: all slots are filled as in the item, otherwise it is a question with other parameters.
 
-    Null ids and texts have no windows; rows that repeat an id count together; empty tables give no rows; extra
-    columns aren't read. The benchmark's windows are taken in blocks of ``block``, so what is broadcast is bounded;
-    each block scans the documents once, and only windows that match are shuffled.
+    Items that differ in nothing but what fills their slots are judged as one class, so that many questions of one
+    template don't meet many documents of it pair by pair: item_id is the smallest id of the class, n_items how many ids
+    it has. exact: the slots of each window of an alignment are filled as in some item of the class, otherwise it is a
+    question with other parameters.
+
+    Null ids and texts have no windows; rows that repeat an id count together (an item_id with several texts counts for
+    each); empty tables give no rows; extra columns aren't read. The documents are scanned once for each ``block`` of the
+    benchmark's windows, whose hashes go to all tasks; only windows of documents that match are shuffled.
     """
-    spark = docs.sparkSession
-    windows = item_windows(benchmark, width, least).persist()
+    windows = cut(item_windows(benchmark, width, least))
     count = windows.count()
+    few = F.broadcast if count <= BROADCAST else lambda df: df
+    lead = F.min(F.struct("item_id", "text", "tokens", "fill"))
+    items = windows.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    leading = windows.groupBy("class", "width", "place", "hash").agg(lead.alias("lead")).select("class", "width", "place", "hash", "lead.tokens", "lead.fill")
+    fills = windows.select("class", "place", "hash", F.xxhash64("fill").alias("by"), F.lit(True).alias("same")).distinct()
     blocks = max(1, -(-count // block))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     found = None
     for k in range(blocks):
-        mine = windows.where(F.col("block") == k).drop("block")
         known: dict[int, np.ndarray] = {}
-        for r in mine.groupBy("width").agg(F.collect_set("hash").alias("hashes")).collect():
+        for r in windows.where(F.pmod("hash", F.lit(blocks)) == k).groupBy("width").agg(F.collect_set("hash").alias("hashes")).collect():
             known[r.width] = np.sort(np.array(r.hashes, np.int64).view(np.uint64))
-        joined = hits(docs, known).withColumnRenamed("fill", "filled").join(F.broadcast(mine), ["width", "hash"])
-        # an alignment has each of the item's windows once at most
-        aligned = joined.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
-            F.first("tokens").alias("tokens"), F.first("width").alias("width"), F.collect_set("place").alias("places"), F.flatten(F.collect_list(F.arrays_zip("fill", "filled"))).alias("pairs")
-        )
-        part = judged(aligned, run_tokens, share, agree)
+        part = hits(docs, known)
         found = part if found is None else found.union(part)
-    return found
+    joined = found.withColumnRenamed("fill", "filled").join(few(leading), ["width", "hash"]).withColumn("by", F.xxhash64("filled")).join(few(fills), ["class", "place", "hash", "by"], "left")
+    joined = joined.withColumn("shift", F.col("at") - F.col("place")).select("doc_id", "class", "shift", "place", "tokens", "width", "fill", "filled", "same").distinct()
+    # an alignment has each of the item's windows once at most, however often rows repeat
+    aligned = joined.groupBy("doc_id", "class", "shift").agg(
+        F.first("tokens").alias("tokens"), F.first("width").alias("width"), F.collect_set("place").alias("places"), F.flatten(F.collect_list(F.arrays_zip("fill", "filled"))).alias("pairs"), F.every(F.coalesce("same", F.lit(False))).alias("exact")
+    )
+    return judged(aligned, run_tokens, share, agree).join(few(items), "class").select("doc_id", "item_id", "n_items", "covered", "longest", "agreement", "exact")
 
 
 def judged(aligned: DataFrame, run_tokens: int, share: float, agree: float) -> DataFrame:
-    """leaks() from its alignments."""
+    """(doc_id, class, covered, longest, agreement, exact) from the alignments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,13 +259,13 @@ def judged(aligned: DataFrame, run_tokens: int, share: float, agree: float) -> D
                 covered = sorted({p + k for p in r["places"] for k in range(r["width"])})
                 firm = [x for (a, _), x in fits.items() if a[0] != number]
                 if fit >= agree or len(covered) >= NEARLY * r["tokens"] and sum(firm) >= agree * len(firm):
-                    rows.append((r["doc_id"], r["item_id"], r["tokens"], covered, fit, all(a == b for a, b in pairs)))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "tokens", "covered", "agreement", "exact"])
+                    rows.append((r["doc_id"], r["class"], r["tokens"], covered, fit, r["exact"]))
+            types = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "class", "tokens", "covered", "agreement", "exact"])
 
-    good = aligned.mapInArrow(run, "doc_id long, item_id long, tokens int, covered array<int>, agreement double, exact boolean")
+    good = aligned.mapInArrow(run, "doc_id long, class string, tokens int, covered array<int>, agreement double, exact boolean")
     spots = F.array_sort(F.array_distinct(F.flatten(F.collect_set("covered"))))
-    whole = good.groupBy("doc_id", "item_id").agg(F.first("tokens").alias("tokens"), spots.alias("spots"), F.max("agreement").alias("agreement"), F.max("exact").alias("exact"))
+    whole = good.groupBy("doc_id", "class").agg(F.first("tokens").alias("tokens"), spots.alias("spots"), F.max("agreement").alias("agreement"), F.max("exact").alias("exact"))
     # the longest row of spots: those that have one value of spot - place are next to each other
     runs = F.aggregate(
         F.col("spots"),
@@ -247,11 +275,11 @@ def judged(aligned: DataFrame, run_tokens: int, share: float, agree: float) -> D
         ),
         lambda s: s["best"],
     )
-    scored = whole.select("doc_id", "item_id", (F.size("spots") / F.col("tokens")).alias("covered"), runs.alias("longest"), "agreement", "exact", "tokens")
+    scored = whole.select("doc_id", "class", (F.size("spots") / F.col("tokens")).alias("covered"), runs.alias("longest"), "agreement", "exact", "tokens")
     return scored.where((F.col("covered") >= share) | (F.col("longest") >= F.least(F.lit(run_tokens), F.col("tokens")))).drop("tokens")
 
 
 def drop_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that have no item of the benchmark; columns as they were."""
+    """The rows of docs whose doc_id has no item of the benchmark, null doc_ids among them; columns as they were."""
     gone = found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -39,7 +39,7 @@ def substring_rows():
     word = lambda: random.choice(["a", "b", "Ç", "dd", "\x1ce"])
     passage = [word() for _ in range(30)]
     rows = []
-    for k in range(60):
+    for k in range(120):
         w = [word() for _ in range(random.randint(0, 40))]
         if k % 3 == 0:
             w[k % 5 : k % 5] = passage
@@ -186,13 +186,110 @@ def test_leaks_with_coincident_numbers(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(10, 1), (20, 2)}
 
 
+def read_plainly(text):
+    """[(word, what stands for it, kind)] of a text in scripts with spaces, token by token."""
+    out, sentence, before = [], True, None
+    for t in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]+", text or ""):
+        low = t.lower()
+        if t[0] in ".!?\n":
+            sentence, before = True, None
+            continue
+        if t[0].isdigit() or low in decontaminate.NUMBER_WORDS:
+            kind = "number"
+        elif t[0].isupper() and not t.isupper():
+            kind = "word" if sentence else "name"
+        else:
+            kind = "unit" if low in decontaminate.UNIT_WORDS and before == "number" else "word"
+        out.append((low, low if kind == "word" else f"<{kind}>", kind))
+        sentence, before = False, kind
+    return out
+
+
+def leaks_by_brute_force(docs, items):
+    """{(doc_id, item_id): (covered, longest, exact)}, pair by pair."""
+    found = {}
+    texts = [(d, read_plainly(t)) for d, t in docs if d is not None and t is not None]
+    for i, text in items:
+        item = read_plainly(text)
+        size, n = min(8, len(item)), len(item)
+        plain = (size + 1) // 2
+        inside = read_plainly("x " + (text or ""))[1:]  # the item as it reads within a sentence
+        for d, doc in texts if n else []:
+            shifts, covered, exact = defaultdict(lambda: ([], set(), [])), set(), False
+            for at in range(len(doc) - size + 1):
+                window = doc[at : at + size]
+                words = sum(x[2] == "word" for x in window)
+                for p in range(n - size + 1):
+                    for own in ([item, inside] if p == 0 else [item]):
+                        mine = own[p : p + size]
+                        if n >= 5 and words >= plain and [x[1] for x in window] == [x[1] for x in mine]:
+                            pairs, places, same = shifts[at - p]
+                            pairs += [(x[2], x[0], y[0]) for x, y in zip(mine, window) if x[2] != "word"]
+                            places.update(range(p, p + size))
+                            same.append([x[0] for x in window] == [x[0] for x in mine])
+                            break
+                    own = sum(x[2] == "word" for x in item[p : p + size])
+                    if (n < 5 or own <= plain) and [x[0] for x in window] == [x[0] for x in item[p : p + size]]:
+                        shifts[at - p][1].update(range(p, p + size))
+                        shifts[at - p][2].append(True)
+            for pairs, places, same in shifts.values():
+                fits = {}
+                for kind, a, b in set(pairs):
+                    others = [y for k, x, y in pairs if (k, x) == (kind, a)]
+                    fits[kind, a, b] = len(set(others)) == 1 or kind == "number" and others.count(b) == max(map(others.count, others))
+                firm = [x for k, x in fits.items() if k[0] != "number"]
+                if sum(fits.values()) >= 0.8 * len(fits) or len(places) >= 0.9 * n and sum(firm) >= 0.8 * len(firm):
+                    covered |= places
+                    exact |= all(same)
+            longest = max((len(r) for r in "".join("x" if k in covered else " " for k in range(n)).split()), default=0)
+            if 2 * len(covered) >= n or longest >= min(13, n):
+                found[d, i] = (len(covered) / n, longest, exact)
+    return found
+
+
+def test_leaks_by_brute_force(spark):
+    random.seed(6)
+    word = lambda: random.choice(["a", "the", "red", "tree", "of", "and", "in", "sees", "old", "house", "Tom", "Mary", "5", "7", "seven", "kg", "apples.", "Who"])
+    items = [(k, " ".join(word() for _ in range(random.randint(1, 30)))) for k in range(25)]
+    docs = []
+    for k in range(120):
+        w = [word() for _ in range(random.randint(0, 20))]
+        part = random.choice(items)[1].split()
+        if k % 2:
+            start = random.randint(0, len(part) // 2)
+            part = part[start:]
+        swap = {x: word() for x in ("5", "7", "Tom", "Mary")} if k % 5 else {}
+        swap = {x: y if y[0].isdigit() == x[0].isdigit() and y[0].isupper() == x[0].isupper() else x for x, y in swap.items()}
+        w[k % 7 : k % 7] = [swap.get(x, x) for x in part]
+        docs.append((k, " ".join(w)))
+    docs += [(170, None), (171, ""), (None, items[0][1]), (172, items[0][1].upper())]
+    b, d = spark.createDataFrame(items + [(90, None), (None, "x")], "item_id long, text string"), spark.createDataFrame([(x, t, 0) for x, t in docs], DOCS + ", place int")
+    want = leaks_by_brute_force(docs, items)
+    got = {(r.doc_id, r.item_id): (r.covered, r.longest, r.exact) for r in decontaminate.leaks(d, b).collect()}
+    assert len(want) > 40 and not all(x[2] for x in want.values()) and got == want
+
+
+def test_items_of_one_template_are_one_class(spark):
+    ask = "If {} buys {} apples for {} dollars each, how much money does {} spend on all of the apples today?"
+    names = ["Tom", "Ann", "Bob", "Eve", "Kim"]
+    fill = lambda k: ask.format(names[k % 5], k + 4, k + 400, names[k % 5])
+    bench = [(k, fill(k)) for k in range(100)] + [(200, ask.format("Tom", 3, 3, "Tom"))]
+    docs = [(k, "He asks. " + fill(2 * k)) for k in range(100)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).where("item_id < 200").collect()
+    assert {(r.doc_id, r.item_id, r.n_items) for r in found} == {(k, 0, 100) for k in range(100)} and len(found) == 100
+    assert all(r.exact for r in found if r.doc_id < 50)
+
+
 def test_leaks_of_the_tables(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", (t or "").lower()))
     texts, items = {r.doc_id: plain(r.text) for r in docs.collect()}, {r.item_id: plain(r.text) for r in bench.collect()}
     want = {(d, i) for d, t in texts.items() for i, x in items.items() if len(x.split()) >= 5 and x in t}
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
-    assert want and want <= got and len(got - want) <= 0.1 * len(want)
+    assert want and want <= got
+    few = [(d.doc_id, d.text) for d in docs.collect() if d.doc_id in {x for x, _ in got ^ want} or d.doc_id % 40 == 0]
+    sure = leaks_by_brute_force(few, [(r.item_id, r.text) for r in bench.collect()])
+    assert {x for x in got if x[0] in dict(few)} == set(sure)
 
 
 # token counts
