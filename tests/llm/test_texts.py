@@ -323,8 +323,28 @@ def test_ledger(spark, tmp_path):
     ledger.commit("odd", change((None, "v", "upsert", "a", "en", 5), (50, None, "upsert", "a", "en", 5), (51, "v", "what", "a", "en", 5), (52, "v", "upsert", "a", "en", -3), (52, "v", "delete", None, None, None), (99, "v", "delete", None, None, None)))
     assert ledger.totals().agg(F.sum("n_docs")).first()[0] == total + 1
     # a batch whose files are there but which isn't logged was lost on the way: it is written anew
-    change((60, "v", "upsert", "a", "en", 1)).write.parquet(str(tmp_path / "l/state/late"))
-    assert ledger.commit("late", change((61, "v", "upsert", "a", "en", 7))) and {r.doc_id for r in ledger.state().collect()} >= {61}
+    change((60, "v", "upsert", "a", "en", 1)).write.parquet(str(tmp_path / "l/record/late"))
+    assert ledger.commit("late", change((61, "v", "upsert", "a", "en", 7))) and {r.doc_id for r in ledger.state().collect()} & {60, 61} == {61}
+    # folding changes nothing but how many files are read
+    before, sums = set(ledger.state().collect()), set(ledger.totals().collect())
+    assert ledger.fold() and set(ledger.state().collect()) == before and set(ledger.totals().collect()) == sums and len(ledger._log()[1]) == 1
+    assert not ledger.commit("late", change((62, "v", "upsert", "a", "en", 7))) and ledger.commit("after", change((61, "v", "delete", None, None, None)))
+    assert 61 not in {r.doc_id for r in ledger.state().collect()}
+
+
+def test_writers_at_one_time(spark, tmp_path, monkeypatch):
+    ledger, other = (token_rollup.TokenLedger(spark, str(tmp_path / "l")) for _ in range(2))
+    change = lambda n: spark.createDataFrame([(1, "v", "upsert", "a", "en", n)], "doc_id long, version string, op string, source string, lang string, n_tokens long")
+    enter, done = ledger._enter, []
+
+    def late(place, batch, folded=None):
+        if not done:
+            done.append(other.commit("other", change(5)))
+        return enter(place, batch, folded)
+
+    monkeypatch.setattr(ledger, "_enter", late)
+    assert ledger.commit("one", change(7)) and done == [True]
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(1, 7)] and [r["batch"] for r in ledger._log()[1]] == ["other", "one"]
 
 
 def test_rollup_counts_tokens(spark, tmp_path):
@@ -334,7 +354,7 @@ def test_rollup_counts_tokens(spark, tmp_path):
     got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_rollup.refresh(spark, str(tmp_path / "r"), docs, counter, "v").totals().collect()}
     t = Tokenizer.from_file(PATH)
     n = lambda x: len(t.encode(x, add_special_tokens=False).ids)
-    assert got == {("s", "en"): (2, 2 * n("Hello there")), ("t", None): (1, n("x " * 30_000))}
+    assert got == {("s", "en"): (3, 2 * n("Hello there")), (None, "en"): (1, 0), ("t", None): (1, n("x " * 30_000))}
     empty = token_rollup.refresh(spark, str(tmp_path / "e"), docs.limit(0), counter, "v")
     assert empty.totals().count() == 0
 
