@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.pairs import LEFT, RIGHT, compare, deal, hot_keys
 from sluice.llm.shared import components, cut, forest, partitions
@@ -106,14 +107,15 @@ def traverse(first: np.ndarray, second: np.ndarray, radius: float) -> Iterator[t
 
 def key_of(label: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """A bucket's key. Labels that share one are told apart when pairs are verified."""
-    return (label.astype(np.int64) & 0x7FFFF) * CELLS + cell
+    mixed = label.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)
+    return mixed.astype(np.int64) * CELLS + cell
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that can link: a label, and a vector of finite components that aren't all zero."""
     e = F.col("embedding")
     return vectors.where(
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
+        F.col("vec_id").isNotNull() & F.col("group").isNotNull() & e.isNotNull() & (F.size(e) > 0)
         & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     )
 
@@ -134,8 +136,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is at least
     ``cosine``. Those without a usable vector or label link nothing: n_links 0, component_id their own id, kept.
-    Vectors of other lengths don't link either (each length is compared by itself). Rows that repeat a vec_id count
-    once, the one with the smallest label and vector; a null vec_id is left out. Extra columns aren't read; an empty
+    Vectors of other lengths don't link either (each length is compared by itself). Labels of any type that can be
+    compared will do. Rows that repeat a vec_id count once: of those that can link, the one with the smallest label, or
+    with equal labels the smallest digest of the vector; a null vec_id is left out. Extra columns aren't read; an empty
     table gives no rows.
 
     The index is fitted on a bounded sample, every vector is in it. A vector is compared with its own cell and with
@@ -144,13 +147,20 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0
     is dealt into tiles.
     """
     spark = vectors.sparkSession
-    narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    once = cut(narrow.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", "x.label", "x.embedding"))
-    good = usable(once)
-    classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    contributions, edges = None, None
-    for width in [r.width for r in classes.groupBy(F.size("embedding").alias("width")).count().where("count > 1").orderBy("width").collect()]:
-        part = classes.where(F.size("embedding") == width)
+    kind = vectors.schema["embedding"].dataType.elementType
+    values = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"  # floats travel as floats
+    rows = numbered(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast(values).alias("embedding")).where("vec_id is not null"))
+    # vectors are told apart by 128 bits, so that they themselves are shuffled for one of each class alone
+    digest = [F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit("two"), "embedding").alias("two")]
+    once = cut(
+        usable(rows).select("vec_id", "group", *digest).groupBy("vec_id").agg(F.min(F.struct("group", "one", "two")).alias("x")).select("vec_id", "x.*")
+    )
+    classes = cut(once.groupBy("group", "one", "two").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
+    held = usable(rows).select("vec_id", "group", "embedding", *digest).join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", "group", "one", "two"])
+    held = cut(held.select(F.col("vec_id").alias("rep"), F.col("group").alias("label"), "size", "embedding").dropDuplicates(["rep"]))
+    contributions = None
+    for width in [r.width for r in held.groupBy(F.size("embedding").alias("width")).count().where("count > 1").orderBy("width").collect()]:
+        part = held.where(F.size("embedding") == width)
         found = cut(linked(part, part.count(), width, cosine, recall, sample, block, partitions(spark)))
         contributions = found if contributions is None else contributions.union(found)
     if contributions is None:
@@ -160,10 +170,10 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0
     of_class = (
         classes.join(counts, "rep", "left")
         .join(components(edges), F.col("rep") == F.col("node"), "left")
-        .select("label", "embedding", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("group", "one", "two", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    members = good.join(of_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    return once.select("vec_id").join(members, "vec_id", "left").select(
+    members = once.join(of_class, ["group", "one", "two"]).select("vec_id", "n_links", "component_id")
+    return rows.select("vec_id").distinct().join(members, "vec_id", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
@@ -171,12 +181,21 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, recall: float = 0
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, label, ...) with a column group: a long for each label, null for none. Integers are their own,
+    labels of other types have their 64-bit hash."""
+    if isinstance(rows.schema["label"].dataType, T.IntegralType):
+        return rows.withColumn("group", F.col("label").cast("long"))
+    return rows.withColumn("group", F.when(F.col("label").isNotNull(), F.xxhash64("label")))
+
+
 def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: float, sample: int, block: int, tasks: int) -> DataFrame:
     """(rep, n, other): n vectors more that link with rep, or a link (rep, other) of a forest."""
     chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column("embedding")
     labels = max(1, classes.agg(F.approx_count_distinct("label").alias("n")).first().n)
     index = fit(units(matrix(chosen, width)), rows // labels, cosine, recall)
     grid = len(index.books[0]), len(index.books[1])
+    narrow = isinstance(classes.schema["embedding"].dataType.elementType, T.FloatType)
 
     def places(unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's cell, and each half's distances."""
@@ -194,7 +213,7 @@ def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: flo
     occupied = np.zeros(grid, bool)
     occupied.reshape(-1)[[r.cell for r in counts.select((F.col("key") % CELLS).alias("cell")).distinct().collect()]] = True
     hot = hot_keys(counts, max(block, rows // 4096))
-    schema = "tile long, kind int, label int, rep long, size long, embedding binary"
+    schema = "tile long, kind int, label long, rep long, size long, embedding binary"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -216,7 +235,7 @@ def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: flo
                 spot = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 copy, tile, kind, _ = deal(key, np.arange(len(key)) >= len(cell), spot[at], hot)
                 at = at[copy]
-                binary = np.array([r.tobytes() for r in raw], object)
+                binary = np.array([r.tobytes() for r in (raw.astype(np.float32) if narrow else raw)], object)
                 for s in range(0, len(at), 20_000):
                     a = at[s : s + 20_000]
                     columns = [pa.array(tile[s : s + 20_000]), pa.array(kind[s : s + 20_000].astype(np.int32)), *(pa.array(c[a]) for c in (label, rep, size)), pa.array(binary[a], pa.binary())]
@@ -224,7 +243,7 @@ def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: flo
 
     def links(table: pa.Table, starts: np.ndarray, kind: np.ndarray, again: bool) -> Iterator[pa.RecordBatch]:
         rep, size, label = (table.column(c).to_numpy() for c in ("rep", "size", "label"))
-        unit = units(np.frombuffer(b"".join(table.column("embedding").to_pylist()), np.float64).reshape(-1, width))
+        unit = units(np.frombuffer(b"".join(table.column("embedding").to_pylist()), np.float32 if narrow else np.float64).astype(np.float64).reshape(-1, width))
         n = np.zeros(len(rep), np.int64)
         found_a, found_b = [], []
         for lo, hi in zip(starts[:-1], starts[1:]):

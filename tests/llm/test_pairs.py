@@ -180,3 +180,28 @@ def test_recall_on_vectors_at_the_threshold(spark):
     rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([x, z]))]
     got = embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
     assert got.n_links.sum() >= 0.98 * 2 * len(brute_links(rows))
+
+
+@pytest.mark.parametrize("kind, labels", [("string", ["x", "y"]), ("long", [1 << 40, 7]), ("decimal(20,2)", [1.25, 1.5]), ("boolean", [True, False])])
+def test_labels_of_any_type(spark, kind, labels):
+    from decimal import Decimal
+
+    made = [Decimal(str(x)) for x in labels] if kind.startswith("dec") else labels
+    rows = [(k, [1.0, 0.01 * k, 0.0], made[k % 2]) for k in range(8)] + [(8, [1.0, 0.0, 0.0], None), (9, [1.0, 0.0], made[0]), (10, [1.0, 0.01], made[0])]
+    got = embed_dedup.embedding_groups(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (3, k % 2) for k in range(8)} | {8: (0, 8), 9: (1, 9), 10: (1, 9)}
+
+
+def test_recall_of_a_fine_grid(spark, monkeypatch):
+    """64 cells a half, fitted on a part of the vectors: links of vectors outside the sample are found too."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((500, 16))
+    near = base[rng.integers(0, 500, 1500)] + 0.08 * rng.standard_normal((1500, 16))
+    x = np.concatenate([base, near]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    real = (np.triu(unit @ unit.T, 1) >= 0.93).sum()
+    fit = embed_dedup.fit
+    monkeypatch.setattr(embed_dedup, "fit", lambda sample, rows, cosine, recall: fit(sample, rows, cosine, recall, 64))
+    got = embed_dedup.embedding_groups(spark.createDataFrame(pd.DataFrame({"vec_id": range(2000), "embedding": x.tolist(), "label": 1}), "vec_id long, embedding array<float>, label int"), sample=400)
+    found = got.toPandas().n_links.sum() / 2
+    assert real > 1000 and 0.98 * real <= found <= real
