@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from sluice.llm.shared import partitions
+from sluice.llm.shared import cut, partitions
 
 MANIFEST = "_manifest.json"
 TEMPORARY = "_temporary"
@@ -68,16 +68,21 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return record("revisit", headers, http)
 
 
-def records(stream, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each gzip member of a file."""
-    data = b""
-    while data or (data := stream.read(size)):
+def records(stream, size: int = 1 << 20, bite: int = 1 << 14) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each gzip member of a file, read ``size`` bytes at a time and unpacked in small bites."""
+    data, at = stream.read(size), 0
+    while data:
         unpress, parts = zlib.decompressobj(31), []
         while not unpress.eof:
-            if not data and not (data := stream.read(size)):
-                raise ValueError("the archive ends within a record")
-            parts.append(unpress.decompress(data))
-            data = unpress.unused_data if unpress.eof else b""
+            if at == len(data):
+                data, at = stream.read(size), 0
+                if not data:
+                    raise ValueError("the archive ends within a record")
+            piece = data[at : at + bite]
+            parts.append(unpress.decompress(piece))
+            at += len(piece) - len(unpress.unused_data)
+        if at == len(data):
+            data, at = stream.read(size), 0
         head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
@@ -142,6 +147,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, top = fs.FileSystem.from_uri(self.path)
         store.create_dir(top)
+        if store.get_file_info(f"{top}/{MANIFEST}").type == fs.FileType.File:
+            raise FileExistsError(f"{self.path} has an archive already; write to a path of its own")
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f[1])
         for temporary, name, *_ in files:
             store.move(f"{top}/{temporary}", f"{top}/{name}")
@@ -210,13 +217,14 @@ class Warc(DataSource):
         return WarcWriter(dict(self.options))
 
 
-def range_ends(rows: DataFrame, shards: int) -> list[int]:
-    """The largest page_id of each shard but the last, so that shards get about as many bytes of html each.
+def range_ends(sized: DataFrame, shards: int) -> list[int]:
+    """The largest page_id of each shard but the last, from (page_id, size), so that shards get about as many bytes each;
+    an id that holds over a shard's worth stands there for as many shards, which its rows are dealt to.
 
     Sums of bytes by leading bits of the id, finer where a group holds over a shard's worth; they don't depend on
     the order in which tasks end, so a second run has the same shards. At most 1024 groups a shard reach the driver.
     """
-    sized = rows.where("page_id is not null").select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).cast("long").alias("size"))
+    sized = sized.where("page_id is not null")
     span = sized.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum("size").alias("size")).first()
     if shards < 2 or span.size is None:
         return []
@@ -230,7 +238,7 @@ def range_ends(rows: DataFrame, shards: int) -> list[int]:
         weights |= {k: v for k, v in found.items() if k not in set(heavy)}
         if not heavy:
             break
-        few = rows.sparkSession.createDataFrame([(lead,) for lead, _ in heavy], "lead long")
+        few = sized.sparkSession.createDataFrame([(lead,) for lead, _ in heavy], "lead long")
         inside = sized.join(F.broadcast(few), F.shiftright("page_id", step) == F.col("lead"), "left_semi")
         step = max(0, step - 10)
     ends, total = [], 0
@@ -238,6 +246,8 @@ def range_ends(rows: DataFrame, shards: int) -> list[int]:
         if total + size > share * (len(ends) + 1) and len(ends) < shards - 1 and total:
             ends.append((lead << bits) - 1)
         total += size
+        if bits == 0:
+            ends += [lead] * min(size // share - 1, shards - 1 - len(ends))
     return ends
 
 
@@ -250,31 +260,42 @@ def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll:
     header; control characters in one are percent-encoded. Extra columns aren't read; an empty table gives an empty
     manifest.
 
-    Payloads are shuffled once, by ranges of page_id; the digests of equal ones are joined without them. Files are
-    the same bytes for the same rows and ``shards``.
+    Payloads are shuffled once, by ranges of page_id; the digests of equal ones are joined without them, and rows with a
+    null page_id are dealt by digest. The table is read twice: for sizes and digests, and for the payloads. Files are
+    the same bytes for the same rows and ``shards``. A path that holds an archive is refused, so none is ever replaced.
     """
     spark = pages.sparkSession
     spark.dataSource.register(Warc)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("payload_digest", F.sha1(F.coalesce(F.col("html").cast("binary"), F.lit(b""))))
-    keys = rows.where((F.octet_length("html") >= short) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    length = F.coalesce(F.octet_length("html"), F.lit(0))
+    sized = cut(rows.select("page_id", (length + 512).cast("long").alias("size"), (length >= short).alias("long"), "payload_digest"))
+    keys = sized.where(F.col("long") & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     response = keys.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least <> refers_to")
     revisits = keys.join(response, "payload_digest").where("page_id <> refers_to").distinct()
     none = F.lit(None).cast("string")
     both = rows.select("page_id", "url", "html", "payload_digest", F.lit(None).cast("long").alias("refers_to"), none.alias("known_digest")).union(
         revisits.select("page_id", none, none, none, "refers_to", "payload_digest")
     )
-    ends = range_ends(rows, shards or partitions(spark))
+    ends = range_ends(sized, shards or partitions(spark))
 
     @F.pandas_udf("int")
-    def shard(page_id: pd.Series) -> pd.Series:
-        return pd.Series(np.where(page_id.isna(), 0, np.searchsorted(np.array(ends, np.int64), page_id.fillna(0).astype("int64"))).astype("int32"))
-
-    dealt = both.repartitionById(len(ends) + 1, shard("page_id")).sortWithinPartitions("page_id", F.col("known_digest").isNull(), "known_digest", "payload_digest", "url")
+    def shard(page_id: pd.Series, spot: pd.Series) -> pd.Series:
+        of = np.array(ends, np.int64)
+        known, ids = page_id.notna().to_numpy(), page_id.fillna(0).astype("int64")
+        low = np.where(known, np.searchsorted(of, ids), 0)
+        high = np.where(known, np.searchsorted(of, ids, side="right"), len(of))
+        # rows of an id that is an end go to its shard or those after, in order with the ids around it either way
+        return pd.Series((low + spot.to_numpy() % (high - low + 1)).astype("int32"))
+
+    spot = F.pmod(F.xxhash64(F.coalesce("known_digest", "payload_digest")), F.lit(1 << 31))
+    dealt = both.repartitionById(len(ends) + 1, shard("page_id", spot)).sortWithinPartitions("page_id", F.col("known_digest").isNull(), "known_digest", "payload_digest", "url")
     dealt.write.format("warc").mode("append").option("path", path).option("roll", str(roll)).save()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, file) of every record that the manifest's files hold."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, file) of every record that the manifest's files
+    hold, a row for each, whatever repeats; an empty manifest gives no rows, a path without one fails, and so does a record
+    whose length or digests aren't as its headers say. page_id and url are null where they were."""
     spark.dataSource.register(Warc)
     return spark.read.format("warc").option("path", path).load()
