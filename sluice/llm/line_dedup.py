@@ -18,6 +18,8 @@ VARIABLE = r"(?<!\S)(?=\S*(?:[0-9@]|://))\S+"
 
 #: What a line holds if its words aren't all of fixed form with one space between.
 ODD = r"[0-9@:\t\x0B\f\r]|^ | $|  "
+#: Lines whose places are looked up together.
+BLOCK = 256
 #: Rows of a few numbers each that are sent to every task, at most; beyond it both sides of a join are shuffled.
 BROADCAST = 1_000_000
 
@@ -81,17 +83,30 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
     return joined_to(found, spread.where(F.col("n") >= min_docs), ["leaf", "template"]).where("doc_id <> first").select("doc_id", "at", "leaf", "template")
 
 
+def by_blocks(places: DataFrame, name: str) -> DataFrame:
+    """(doc_id, n, name) from (doc_id, at): how many places a document has, and an array that has for each BLOCK lines
+    the places among them, so that looking one up doesn't take longer the more there are."""
+    blocks = places.groupBy("doc_id", F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.collect_set("at").alias("ats"))
+    whole = blocks.groupBy("doc_id").agg(F.sum(F.size("ats")).alias("n"), F.max("block").alias("most"), F.map_from_entries(F.collect_list(F.struct("block", "ats"))).alias("by"))
+    return whole.select("doc_id", "n", F.transform(F.sequence(F.lit(0), "most"), lambda k: F.element_at("by", k)).alias(name))
+
+
+def without(text: str, gone: str) -> Column:
+    """The text without the lines at the places that by_blocks() has."""
+    stays = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.coalesce(F.array_contains(F.get(gone, F.floor(at / BLOCK).cast("int")), at), F.lit(False)))
+    return F.array_join(stays, "\n")
+
+
 def deduplicated(docs: DataFrame, **settings: float) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row: the text that drop_recurring() leaves, and its line counts.
     A null text has no lines and stays null."""
-    gone = recurring_lines(docs, **settings).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    gone = by_blocks(recurring_lines(docs, **settings), "gone")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("gone", at)), "\n")
     return docs.select("doc_id", "text").join(gone, "doc_id", "left").select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(without("text", "gone")).alias("text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.col("n")), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -112,9 +127,8 @@ def drop_recurring(docs: DataFrame, **settings: float) -> DataFrame:
     Hashes, not texts, are shuffled for the counts, with a document counted once before; each text is shuffled once.
     """
     gone = next(f"gone{k}" for k in range(len(docs.columns) + 1) if f"gone{k}" not in docs.columns)
-    places = recurring_lines(docs, **settings).groupBy("doc_id").agg(F.collect_set("at").alias(gone))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
-    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    places = by_blocks(recurring_lines(docs, **settings), gone).drop("n")
+    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(without("text", gone))).select(docs.columns)
 
 
 def drop_passages(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -132,6 +146,5 @@ def drop_passages(docs: DataFrame, least: int = 20) -> DataFrame:
     lines = lines.where(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1 >= least)
     lines = cut(lines.select("doc_id", "at", F.xxhash64("line").alias("one"), F.xxhash64(F.lit("two"), "line").alias("two")))
     copies = lines.select("one", "two", "doc_id").distinct().groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2").drop("n")
-    places = joined_to(lines, copies, ["one", "two"]).where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("at").alias(gone))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, at: ~F.array_contains(gone, at)), "\n")
-    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    places = by_blocks(joined_to(lines, copies, ["one", "two"]).where("doc_id <> first"), gone).drop("n")
+    return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(without("text", gone))).select(docs.columns)

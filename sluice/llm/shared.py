@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, within one machine alone, one of our own
+    where it is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else ""
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         path = f"file://{tempfile.mkdtemp(prefix='spark-sluice-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
