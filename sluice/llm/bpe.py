@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Chunks kept with their ids in each Python worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO = 300_000
+MEMO = 500_000
 #: Characters beyond which a chunk isn't kept.
 LONG = 100
 #: Characters of text after which a worker hands its rows on.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\W\d_]+")
 #: Columns of the feature matrix; words that share one (few do) share a weight.
 WIDTH = 1 << 20
-#: Words whose columns a worker remembers, at most.
+#: Words without weight that a worker remembers, at most (but for those of one text).
 MEMO = 200_000
 
 
@@ -27,22 +27,13 @@ def features(text: str | None) -> set[str]:
     return words.union([w[:4] + "*" for w in words if len(w) > 4], [w[:5] + "*" for w in words if len(w) > 5])
 
 
-class Columns(dict):
-    """The column of each word, found when it is first met."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        column = self[word] = xxhash.xxh64_intdigest(word) % WIDTH
-        return column
-
-
-_columns = Columns()
+def column(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) % WIDTH
 
 
 def columns_of(text: str | None) -> set[int]:
     """The columns that hold a one for a text."""
-    return set(map(_columns.__getitem__, features(text)))
+    return set(map(column, features(text)))
 
 
 @dataclass
@@ -51,12 +42,20 @@ class OrdinalModel:
 
     weights: dict[int, float] = field(default_factory=dict)
     cuts: tuple[float, ...] = (np.inf,)
+    plain: set[str] = field(default_factory=set, repr=False, compare=False)  # words met whose columns have no weight
 
     def exceed(self, texts: Iterable[str | None]) -> np.ndarray:
         """A row for each text: P(grade > k) for each cut."""
-        known, get = self.weights.keys(), self.weights.__getitem__
-        score = np.array([math.fsum(map(get, known & columns_of(t))) for t in texts], float)
-        return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - score[:, None], -500, 500)))
+        score, weights, plain = [], self.weights, self.plain
+        for text in texts:
+            fresh = features(text).difference(plain)
+            found = {w: column(w) for w in fresh}
+            heavy = {c for c in found.values() if c in weights}
+            score.append(math.fsum(weights[c] for c in heavy))
+            plain.update(fresh if not heavy else [w for w, c in found.items() if c not in weights])
+            if len(plain) > MEMO:
+                plain.clear()
+        return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - np.array(score, float)[:, None], -500, 500)))
 
 
 def fit_matrix(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, levels: int, l1: float, rounds: int = 60, more: int = 500, steps: int = 400, slack: float = 0.1) -> tuple[np.ndarray, np.ndarray]:

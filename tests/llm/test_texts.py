@@ -462,7 +462,7 @@ def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(d, t, 0.5, True) for d, t in rows], DOCS + ", expected_severity double, rejected boolean")
     none = toxicity.fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, grade int"))
     assert [r.rejected for r in toxicity.score(docs, none).collect()] == [False] * 7 and toxicity.keep_clean(docs, none).count() == 7
-    model = toxicity.OrdinalModel({toxicity._columns["idiot"]: 9.0}, (3.0, 8.0))
+    model = toxicity.OrdinalModel({toxicity.column("idiot"): 9.0}, (3.0, 8.0))
     got = toxicity.score(docs, model).collect()
     assert [r.rejected for r in got] == [True, False, False, False, True, False, False] and got[0].grade == 2 and got[1].expected_severity == pytest.approx(1 / (1 + np.e**3) + 1 / (1 + np.e**8))
     kept = toxicity.keep_clean(docs, model)
