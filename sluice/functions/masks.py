@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a token looks like, and how many hex digits of the digest it has.
 PREFIXES = {"address": ("ADDRESS_", 8), "city": ("CITY_", 8), "name": ("NAME_", 8), "org": ("ORG_", 8), "text": ("TEXT_", 10)}
 KINDS = ("email", "phone", *sorted(PREFIXES))
-#: E-mail addresses and telephone numbers within a text.
-EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-PHONE = r"(?=[+\d])(?=.*[+\s().-])(\+?\d[\d\s().-]{6,}\d)"
+#: E-mail addresses within a text; they begin where a run of such characters does, or the last one ended.
+EMAIL = r"(?i)(?:\G|(?<![A-Z0-9._%+-]))[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+#: White space, and telephone numbers within a text.
+SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+PHONE = rf"\+?[0-9][0-9{SPACES}().-]{{6,}}[0-9]"
+#: The text up to its last sign or white space, and digits after it: a number counts only if such a character stands in
+#: it or anywhere behind it.
+SIGNED = rf"^([\s\S]*[+{SPACES}().-][0-9]*)"
 
 
 class SaltError(ValueError):
@@ -46,14 +53,27 @@ def masked(kind: str, salt: str, key: str, value: Column) -> Column:
     return F.concat(F.lit(prefix), digest(salt, key, value, length))
 
 
-def replaced_inline(value: Column, pattern: str, token) -> Column:
-    """The text with each match of the pattern replaced by token(match): the parts between matches, zipped with tokens."""
-    tokens = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), token)
-    return F.array_join(F.zip_with(F.split(value, pattern, -1), tokens, lambda part, t: F.concat(part, F.coalesce(t, F.lit("")))), "")
+def replaced_inline(value: Column, pattern: str, token: Callable[[Column], Column], kept: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The text with each match of the pattern replaced by token(match): the parts between matches, zipped with tokens.
+    kept(match, behind): which matches stay, by themselves and by the part behind them."""
+    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+    parts = F.split(value, pattern, -1)
+
+    def one(match: Column, behind: Column) -> Column:
+        return F.concat(token(match) if kept is None else F.when(kept(match, behind), match).otherwise(token(match)), behind)
+
+    # the first part, then each match with the part behind it
+    rest = F.zip_with(found, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
 def inline(salt: str, value: Column) -> Column:
-    """The text with e-mail addresses, then telephone numbers, replaced by tokens of their own."""
+    """The text with e-mail addresses, then telephone numbers, replaced by tokens of their own. Time grows with the
+    length of a text: no pattern looks farther than its match."""
     salt = salt_of(salt)
     value = replaced_inline(value, EMAIL, lambda m: email(salt, "inline_email", m))
-    return replaced_inline(value, PHONE, lambda m: phone(salt, "inline_phone", m))
+    signed = F.regexp_extract(value, SIGNED, 1)
+    # of bare digits only those at the very end have no sign behind them
+    bare = lambda m, behind: (behind == "") & m.rlike(r"^[0-9]+\z")
+    masked_part = replaced_inline(signed, PHONE, lambda m: phone(salt, "inline_phone", m), lambda m, behind: bare(m, behind))
+    return F.concat(masked_part, F.substring(value, F.length(signed) + 1, F.length(value)))
