@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from collections import deque
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -21,6 +22,8 @@ from sluice.plans import dialect, guard, policy
 from sluice.sources.registry import Registry, Target
 from sluice.sources.settings import Settings
 
+#: Results of reads that stay persisted.
+KEPT = 16
 #: Settings of a caller's session that a target's session takes over.
 INHERITED = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")
 
@@ -64,8 +67,9 @@ class Result:
 
 class Engine:
     """tables: for each target the paths of its Parquet tables, or DataFrames. Each target has a session of its own,
-    in which they are views; classifier: asked for the kinds of columns, see operators/classify.py; scratch: where the
-    new versions of written tables go, by default below the warehouse, which all machines share."""
+    in which they are views; classifier: asked for the kinds of columns, see operators/classify.py; scratch: the folder of
+    written tables' versions: engines that are given the same one, later processes too, see what was written. Without it
+    they are below the warehouse, which all machines share, in a folder of this engine's own that close() deletes."""
 
     def __init__(self, spark: SparkSession, registry: Registry, tables: Mapping[str, Mapping[str, str | DataFrame]], env: Mapping[str, str] | None = None, classifier: classify.Classifier | None = None, audit: Audit | None = None, scratch: str | None = None):
         self.spark, self.registry, self.tables = spark, registry, tables
@@ -75,6 +79,7 @@ class Engine:
         self.audit = audit or Audit(self.settings.log_level, self.settings.log_format, silent=True)
         self.scratch = scratch
         self._sessions: dict[str, tuple[SparkSession, writes.Store]] = {}
+        self._kept: deque[DataFrame] = deque()
 
     # what callers may know
 
@@ -114,20 +119,26 @@ class Engine:
             for name in INHERITED:
                 own.conf.set(name, self.spark.conf.get(name))
             own.conf.set("spark.sql.runSQLOnFiles", "false")  # a table is only what the target names
-            store = writes.Store(own, self.scratch or "")
+            store = writes.Store(own, f"{self.scratch.rstrip('/')}/{target.target_id}" if self.scratch else "")
             for name, table in self.tables.get(target.target_id, {}).items():
                 if isinstance(table, str):
-                    own.read.parquet(table).createOrReplaceTempView(name)
-                    store.paths[name.lower()] = [table]
+                    store.open(name, table)
                 else:
                     writes.frame(own, table._jdf.queryExecution().logical()).createOrReplaceTempView(name)
             self._sessions[target.target_id] = own, store
         return self._sessions[target.target_id][0]
 
     def close(self) -> None:
-        for own, _ in self._sessions.values():
+        """Lets go of the targets' sessions, the results kept for them, and tables that were written for this engine alone."""
+        for own, store in self._sessions.values():
             for view in own.catalog.listTables():
                 own.catalog.dropTempView(view.name)
+            if store.folder and not self.scratch:
+                files, path = store._file("")
+                files.delete(path, True)
+        for frame in self._kept:
+            frame.unpersist()
+        self._kept.clear()
         self._sessions.clear()
 
     def _admit(self, target_id: str, tool: str, sql: Any) -> tuple[Target, str]:
@@ -177,7 +188,7 @@ class Engine:
             self.audit.emit("query_in", log | {"sql": sql, "parameters": parameters, "max_rows": max_rows})
             self.audit.emit("db_driver_start", log)
             cap = results.row_cap(max_rows, target.max_rows)
-            first = results.capped(results.normalized(whole), cap).persist()
+            first = self._keep(results.capped(results.normalized(whole), cap))
             kept = results.bounded(first, target.max_result_bytes)
             n, size = kept.agg(F.count("*"), F.coalesce(F.max("result_bytes"), F.lit(2))).first()
             had = first.count()
@@ -197,6 +208,13 @@ class Engine:
                 raise
             raise ToolError("db_read_failed", str(error).splitlines()[0] if str(error) else "", target_id=target_id) from error
 
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        """Capped rows, persisted until KEPT later reads have been made; after that they are worked out anew if asked for."""
+        self._kept.append(rows.persist())
+        while len(self._kept) > KEPT:
+            self._kept.popleft().unpersist()
+        return rows
+
     def _mask(self, target: Target, out: Result, log: dict[str, Any]) -> None:
         """Replaces a result's rows by masked ones and bounds them anew; the columns stay as the source's."""
         self.audit.emit("anonymizer_start", log | {"provider": target.llm_provider, "mode": target.anonymization_mode})
@@ -229,9 +247,12 @@ class Engine:
         began = time.time()
         log = {"tool": "db_write", "target_id": target_id}
         try:
+            target = self._target(target_id)
+            if target_id in self._sessions:
+                for name in self.tables.get(target_id, {}):
+                    self._sessions[target_id][1].refresh(name)
             change = self.plan_write(target_id, sql, parameters)
             self.audit.emit("query_in", log | {"sql": sql, "parameters": parameters})
-            target = self._target(target_id)
             store = self._sessions[target_id][1]
             store.folder = store.folder or f"{store.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sluice-{uuid.uuid4().hex}"
             affected = store.apply(change)

@@ -53,27 +53,40 @@ def masked(kind: str, salt: str, key: str, value: Column) -> Column:
     return F.concat(F.lit(prefix), digest(salt, key, value, length))
 
 
-def replaced_inline(value: Column, pattern: str, token: Callable[[Column], Column], kept: Callable[[Column, Column], Column] | None = None) -> Column:
-    """The text with each match of the pattern replaced by token(match): the parts between matches, zipped with tokens.
-    kept(match, behind): which matches stay, by themselves and by the part behind them."""
-    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
-    parts = F.split(value, pattern, -1)
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def one(match: Column, behind: Column) -> Column:
-        return F.concat(token(match) if kept is None else F.when(kept(match, behind), match).otherwise(token(match)), behind)
 
-    # the first part, then each match with the part behind it
-    rest = F.zip_with(found, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+def replaced_inline(value: Column, pattern: str, token: Callable[[Column], Column], kept: Callable[[Column], Column] | None = None) -> Column:
+    """The text with each match of the pattern replaced by token(match): the parts between matches, and tokens between
+    them. kept(match): whether the last match stays, if it ends the text."""
+
+    def joined(x: Column) -> Column:
+        found, parts = x["found"], x["parts"]
+
+        def one(match: Column, k: Column) -> Column:
+            behind = F.get(parts, k + 1)
+            stays = F.lit(False) if kept is None else (k == F.size(found) - 1) & (behind == "") & kept(match)
+            return F.concat(F.when(stays, match).otherwise(token(match)), behind)
+
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(found, one), ""))
+
+    return with_value(F.struct(F.split(value, pattern, -1).alias("parts"), F.regexp_extract_all(value, F.lit(pattern), F.lit(0)).alias("found")), joined)
 
 
 def inline(salt: str, value: Column) -> Column:
     """The text with e-mail addresses, then telephone numbers, replaced by tokens of their own. Time grows with the
     length of a text: no pattern looks farther than its match."""
     salt = salt_of(salt)
-    value = replaced_inline(value, EMAIL, lambda m: email(salt, "inline_email", m))
-    signed = F.regexp_extract(value, SIGNED, 1)
-    # of bare digits only those at the very end have no sign behind them
-    bare = lambda m, behind: (behind == "") & m.rlike(r"^[0-9]+\z")
-    masked_part = replaced_inline(signed, PHONE, lambda m: phone(salt, "inline_phone", m), lambda m, behind: bare(m, behind))
-    return F.concat(masked_part, F.substring(value, F.length(signed) + 1, F.length(value)))
+
+    def addresses(text: Column) -> Column:
+        return F.when(text.contains("@"), replaced_inline(text, EMAIL, lambda m: email(salt, "inline_email", m))).otherwise(text)
+
+    def bare(match: Column) -> Column:  # of bare digits only those at the very end have no sign behind them
+        return match.rlike(r"^[0-9]+\z")
+
+    def numbers(text: Column) -> Column:
+        return with_value(F.regexp_extract(text, SIGNED, 1), lambda signed: F.concat(replaced_inline(signed, PHONE, lambda m: phone(salt, "inline_phone", m), bare), F.substring(text, F.length(signed) + 1, F.length(text))))
+
+    return with_value(value, lambda v: with_value(addresses(v), numbers))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.results import quoted
 from sluice.plans.guard import GuardError
 
-MATCHED, SOURCE = "__matched", "__source"
+MATCHED, SOURCE, ROW, TIMES, STAYS = "__matched", "__source", "__row", "__times", "__stays"
 
 
 def frame(spark: SparkSession, plan: JavaObject) -> DataFrame:
@@ -30,13 +32,24 @@ def kind_of(node: JavaObject) -> str:
 
 @dataclass
 class Change:
-    """A statement, ready to run: the table's name, its new rows, and one row with the number that it touches."""
+    """A statement, ready to run: the table's name, and the rows that it looks at, with the table's columns as they become,
+    whether the statement touches a row (MATCHED), and whether the row is in the new version (STAYS)."""
 
     table: str
-    rows: DataFrame
-    affected: DataFrame
+    columns: list[str]
+    taken: DataFrame
     append: bool = False
 
+    @property
+    def rows(self) -> DataFrame:
+        """The table's new rows; those that are added, where it only grows."""
+        return self.taken.where(STAYS).select(*map(quoted, self.columns))
+
+    @property
+    def affected(self) -> DataFrame:
+        """One row: how many rows the statement touches."""
+        return self.taken.agg(F.coalesce(F.count_if(MATCHED), F.lit(0)).alias("rows_affected"))
+
 
 def named(node: JavaObject) -> tuple[str, str | None]:
     """(table, alias) of a statement's target."""
@@ -64,11 +77,7 @@ def insert(spark: SparkSession, node: JavaObject) -> Change:
         raise GuardError(f"INSERT names {len(columns)} columns and gives {len(new.columns)}.")
     by_name = dict(zip([c.lower() for c in columns], new.columns))
     rows = new.select(*((F.col(quoted(by_name[f.name.lower()])) if f.name.lower() in by_name else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields))
-    return Change(table, rows, rows.agg(F.count("*").alias("rows_affected")), append=True)
-
-
-def touched(df: DataFrame) -> DataFrame:
-    return df.agg(F.coalesce(F.count_if(MATCHED), F.lit(0)).alias("rows_affected"))
+    return Change(table, target.columns, rows.withColumn(MATCHED, F.lit(True)).withColumn(STAYS, F.lit(True)), append=True)
 
 
 def update(spark: SparkSession, node: JavaObject) -> Change:
@@ -77,21 +86,22 @@ def update(spark: SparkSession, node: JavaObject) -> Change:
     condition = F.expr(text_of(node.condition().get())) if node.condition().isDefined() else F.lit(True)
     new = {k.lower(): v for k, v in assignments(node.assignments()).items()}
     hit = F.coalesce(condition, F.lit(False))
-    rows = target.select(*(F.when(hit, F.expr(new[f.name.lower()]).cast(f.dataType)).otherwise(F.col(quoted(f.name))).alias(f.name) if f.name.lower() in new else F.col(quoted(f.name)) for f in target.schema.fields))
     if unknown := set(new) - {c.lower() for c in target.columns}:
         raise GuardError(f"{table} has no column {', '.join(sorted(unknown))}.")
-    return Change(table, rows, touched(target.select(hit.alias(MATCHED))))
+    rows = target.select(hit.alias(MATCHED), F.lit(True).alias(STAYS), *(F.when(hit, F.expr(new[f.name.lower()]).cast(f.dataType)).otherwise(F.col(quoted(f.name))).alias(f.name) if f.name.lower() in new else F.col(quoted(f.name)) for f in target.schema.fields))
+    return Change(table, target.columns, rows)
 
 
 def delete(spark: SparkSession, node: JavaObject) -> Change:
     table, alias = named(node.table())
     target = spark.table(table).alias(alias or table)
     hit = F.coalesce(F.expr(text_of(node.condition())), F.lit(False))
-    return Change(table, target.where(~hit), touched(target.select(hit.alias(MATCHED))))
+    return Change(table, target.columns, target.withColumn(MATCHED, hit).withColumn(STAYS, ~F.col(MATCHED)))
 
 
 def merge(spark: SparkSession, node: JavaObject) -> Change:
-    """One full outer join; which clause takes a row is a when() over both sides, in the clauses' order."""
+    """One full outer join; which clause takes a row is a when() over both sides, in the clauses' order. A row of the
+    table that clauses would update or delete for several rows of the source fails the statement."""
     table, alias = named(node.targetTable())
     target, source = spark.table(table), node.sourceTable()
     name = None
@@ -100,7 +110,7 @@ def merge(spark: SparkSession, node: JavaObject) -> Change:
     elif kind_of(source) == "UnresolvedRelation":
         name = source.multipartIdentifier().last()
     incoming = frame(spark, source).withColumn(SOURCE, F.lit(True)).alias(name or "source")
-    mine = target.withColumn(MATCHED, F.lit(True)).alias(alias or table)
+    mine = target.withColumn(MATCHED, F.lit(True)).withColumn(ROW, F.monotonically_increasing_id()).alias(alias or table)
     both = mine.join(incoming, F.expr(text_of(node.mergeCondition())), "full")
     here, there = F.col(MATCHED).isNotNull(), F.col(SOURCE).isNotNull()
 
@@ -113,6 +123,12 @@ def merge(spark: SparkSession, node: JavaObject) -> Change:
     for k, (when, _) in enumerate(every):
         step = F.when(when, k) if step is None else step.when(when, k)
     taken = both.withColumn("__step", step if step is not None else F.lit(None))
+    if matched := items(node.matchedActions()):
+        # rows of the source alone are told apart too, or all would meet in one window
+        taken = taken.withColumn(ROW, F.coalesce(ROW, -1 - F.monotonically_increasing_id()))
+        taken = taken.withColumn(TIMES, F.count_if(F.col("__step") < len(matched)).over(Window.partitionBy(ROW)))
+        refusal = F.raise_error(F.lit("The MERGE statement attempted to UPDATE or DELETE the same row more than once."))
+        taken = taken.withColumn("__step", F.when(F.col(TIMES) > 1, refusal.cast("int")).otherwise(F.col("__step")))
     out = []
     for f in target.schema.fields:
         value = F.when(F.lit(False), F.lit(None).cast(f.dataType))
@@ -130,7 +146,7 @@ def merge(spark: SparkSession, node: JavaObject) -> Change:
         out.append(value.when(here, F.expr(prefix + quoted(f.name))).alias(f.name))
     dropped = [k for k, (_, a) in enumerate(every) if kind_of(a).startswith("Delete")]
     stays = F.when(F.col("__step").isNull(), here).otherwise(~F.col("__step").isin(dropped) if dropped else F.lit(True))
-    return Change(table, taken.where(stays).select(*out), touched(taken.select(F.col("__step").isNotNull().alias(MATCHED))))
+    return Change(table, target.columns, taken.select(F.col("__step").isNotNull().alias(MATCHED), stays.alias(STAYS), *out))
 
 
 def change(spark: SparkSession, node: JavaObject) -> Change:
@@ -138,21 +154,70 @@ def change(spark: SparkSession, node: JavaObject) -> Change:
     return makers[kind_of(node)](spark, node)
 
 
+class LostUpdate(RuntimeError):
+    """Another writer changed the table meanwhile."""
+
+
 @dataclass
 class Store:
-    """Where a target's tables live: the view of each reads its current version, which a write replaces as a whole."""
+    """Where a target's tables live: the view of each reads its current version, which a write replaces as a whole.
+
+    folder: for each table ``<table>/log/<n>.json`` names the paths of its version n. A version is made by one writer
+    alone, so of two that began at the same version the later fails; other sessions and later processes that are given
+    the folder see the newest version when they open the table, or refresh() it.
+    """
 
     spark: SparkSession
     folder: str
     paths: dict[str, list[str]] = field(default_factory=dict)
+    versions: dict[str, int] = field(default_factory=dict)
+
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def open(self, name: str, path: str) -> None:
+        """Shows the newest version of a table, or, before any write, what is at its path."""
+        self.paths.setdefault(name.lower(), [path])
+        self.spark.read.parquet(path).createOrReplaceTempView(name)
+        self.refresh(name)
+
+    def refresh(self, name: str) -> None:
+        if not self.folder:
+            return
+        store, log = self._file(f"{name.lower()}/log")
+        found = sorted(f.getPath().getName() for f in store.listStatus(log)) if store.exists(log) else []
+        found = [f for f in found if f.endswith(".json")]
+        if found and int(found[-1].split(".")[0]) != self.versions.get(name.lower(), 0):
+            row = self.spark.read.schema("paths array<string>").json(f"{self.folder}/{name.lower()}/log/{found[-1]}").first()
+            self._show(name, row.paths, int(found[-1].split(".")[0]))
+
+    def _show(self, name: str, paths: list[str], version: int) -> None:
+        schema = self.spark.table(name).schema
+        self.paths[name.lower()], self.versions[name.lower()] = paths, version
+        self.spark.read.schema(schema).parquet(*paths).createOrReplaceTempView(name)
 
     def apply(self, what: Change) -> int:
-        """Writes the new version, shows it, and tells how many rows the statement touched."""
-        affected = what.affected.first().rows_affected
-        path = f"{self.folder}/{what.table}/{uuid.uuid4().hex}"
-        what.rows.write.parquet(path)
-        known = self.paths.get(what.table.lower(), [])
-        self.paths[what.table.lower()] = [*known, path] if what.append else [path]
-        schema = self.spark.table(what.table).schema
-        self.spark.read.schema(schema).parquet(*self.paths[what.table.lower()]).createOrReplaceTempView(what.table)
-        return affected
+        """Writes the new version and shows it; tells how many rows the statement touched. The statement runs once."""
+        name = what.table.lower()
+        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        seen = Observation()
+        taken = what.taken.observe(seen, F.count_if(MATCHED).alias("rows_affected"))
+        Change(what.table, what.columns, taken, what.append).rows.write.parquet(path)
+        known = self.paths.get(name, [])
+        if what.append and not known:  # a table that isn't a folder is written out with its first rows
+            base = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+            self.spark.table(what.table).write.parquet(base)
+            known = [base]
+        paths, version = [*known, path] if what.append else [path], self.versions.get(name, 0) + 1
+        store, entry = self._file(f"{name}/log/{version:09d}.json")
+        try:
+            out = store.create(entry, False)
+        except Py4JJavaError as error:
+            if store.exists(entry):
+                raise LostUpdate(f"{what.table} was changed by another writer; run the statement again.") from error
+            raise
+        out.write(json.dumps({"paths": paths}).encode())
+        out.close()
+        self._show(what.table, paths, version)
+        return seen.get["rows_affected"]

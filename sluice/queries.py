@@ -67,8 +67,9 @@ READS: dict[str, tuple[str, str | None]] = {
     "join_right": ("SELECT c_custkey, n_nationkey FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9000", None),
     "join_full": ("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey", None),
     "join_semi": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", None),
-    "join_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
-    "join_not_in": ("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)", None),
+    "join_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
+    # the second part meets a null, which leaves no row
+    "join_not_in": ("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 9) UNION ALL SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_suppkey > 5 THEN s_nationkey END FROM supplier)", None),
     "join_cross": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "join_theta": ("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
     "join_lateral": ("SELECT c_custkey, x.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) x", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
@@ -91,11 +92,41 @@ READS: dict[str, tuple[str, str | None]] = {
     "window_frame": ("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM events", None),
     "topk": ("SELECT TOP 10 c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"),
     "topk_ties": ("SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part) t WHERE r <= 3", None),
+    "top_in_branches": (
+        "SELECT TOP 1 c_nationkey AS k FROM customer WHERE c_custkey = 7 UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT TOP (3) n_nationkey + 100 FROM nation WHERE n_nationkey < 3 ORDER BY k",
+        "SELECT c_nationkey AS k FROM customer WHERE c_custkey = 7 UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_nationkey < 3",
+    ),
+    "top_in_cte": (
+        "WITH rich AS (SELECT TOP 20 c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey) SELECT TOP 5 c_custkey FROM rich WHERE c_custkey IN (SELECT TOP 50 PERCENTS.c_custkey FROM customer AS PERCENTS ORDER BY PERCENTS.c_acctbal DESC, PERCENTS.c_custkey) ORDER BY c_custkey",
+        "WITH rich AS (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20) SELECT c_custkey FROM rich ORDER BY c_custkey LIMIT 5",
+    ),
+    "top_with_ties": ("SELECT TOP 7 WITH TIES p_partkey, p_size AS s FROM part AS p ORDER BY p.p_size DESC", "SELECT p_partkey, p_size AS s FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 7"),
+    "recursive_unmarked": ("WITH t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t"),
+    "cross_apply": (
+        "SELECT c_custkey, x.total FROM customer CROSS APPLY (SELECT sum(o_totalprice) AS total FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS x WHERE x.total > 0",
+        "SELECT o_custkey AS c_custkey, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY o_custkey",
+    ),
+    "outer_apply": (
+        "SELECT c_custkey, x.o_orderkey FROM customer OUTER APPLY (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) x WHERE c_nationkey < 12",
+        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE c_nationkey < 12",
+    ),
+    "json_members": ("SELECT e.event_id, j.[key] AS name, j.value AS held, j.type AS kind FROM events AS e CROSS APPLY OPENJSON(e.props) AS j", "SELECT event_id, unnest(json_keys(props)) AS name, json_extract_string(props, '$.' || unnest(json_keys(props))) AS held, 2 AS kind FROM events"),
+    "json_query": (
+        "SELECT event_id, JSON_QUERY('{\"a\":' + props + ',\"b\":1}', '$.a') AS inside, JSON_QUERY('{\"a\":' + props + ',\"b\":1}', '$.b') AS none FROM events",
+        "SELECT event_id, replace(props, ': ', ':') AS inside, NULL::VARCHAR AS none FROM events",
+    ),
+    "datediff_units": (
+        "SELECT o_orderkey, DATEDIFF(year, o_orderdate, timestamp'1998-01-01 00:00:00') AS y, DATEDIFF(qq, o_orderdate, timestamp'1998-01-01 00:00:00') AS q, DATEDIFF(month, o_orderdate, timestamp'1998-01-01 00:00:00') AS m,"
+        " DATEDIFF(dd, o_orderdate, timestamp'1998-01-01 00:00:00') AS d, DATEDIFF(hour, dateadd(minute, 59, o_orderdate), timestamp'1998-01-01 00:01:00') AS h, DATEDIFF(minute, dateadd(second, 59, o_orderdate), timestamp'1998-01-01 00:01:00') AS mi FROM orders",
+        "SELECT o_orderkey, datediff('year', o_orderdate, TIMESTAMP '1998-01-01 00:00:00') AS y, datediff('quarter', o_orderdate, TIMESTAMP '1998-01-01 00:00:00') AS q, datediff('month', o_orderdate, TIMESTAMP '1998-01-01 00:00:00') AS m,"
+        " datediff('day', o_orderdate, TIMESTAMP '1998-01-01 00:00:00') AS d, datediff('hour', o_orderdate + INTERVAL 59 MINUTE, TIMESTAMP '1998-01-01 00:01:00') AS h, datediff('minute', o_orderdate + INTERVAL 59 SECOND, TIMESTAMP '1998-01-01 00:01:00') AS mi FROM orders",
+    ),
+    "text_plus": ("SELECT c_custkey, '<' + c_name + '/' + c_mktsegment + '>' AS t, LEN(c_name + '   ') AS n FROM customer", "SELECT c_custkey, '<' || c_name || '/' || c_mktsegment || '>' AS t, length(c_name) AS n FROM customer"),
     "offset_fetch": ("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey OFFSET 5 ROWS FETCH NEXT 4 ROWS ONLY", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 4 OFFSET 5"),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
-    "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier", None),
+    "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 9", None),
     "scalar_subquery": ("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)", None),
     "correlated_scalar": ("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.2 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
     "recursive_cte": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", None),
@@ -278,6 +309,14 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WRITES = {
     "insert_append": ("INSERT INTO customer (c_custkey, c_name, c_nationkey) SELECT o_orderkey + 1000000, o_orderpriority, 7 FROM orders WHERE o_totalprice > 450000", "SELECT o_orderkey + 1000000 AS c_custkey, o_orderpriority AS c_name, 7 AS c_nationkey, NULL::DOUBLE AS c_acctbal, NULL::VARCHAR AS c_mktsegment FROM orders WHERE o_totalprice > 450000"),
+    "cte_insert": (
+        "WITH dear AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders WHERE o_totalprice > 450000) INSERT INTO customer (c_custkey, c_name) SELECT k + 2000000, p FROM dear",
+        "SELECT o_orderkey + 2000000 AS c_custkey, o_orderpriority AS c_name, NULL::INT AS c_nationkey, NULL::DOUBLE AS c_acctbal, NULL::VARCHAR AS c_mktsegment FROM orders WHERE o_totalprice > 450000",
+    ),
+    "cte_merge": (
+        "WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey = 4) MERGE INTO customer AS t USING s ON t.c_custkey = s.k WHEN MATCHED THEN UPDATE SET c_mktsegment = 'FOUR'",
+        "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_nationkey = 4 THEN 'FOUR' ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    ),
     "update_cow": ("UPDATE customer SET c_mktsegment = 'VIP', c_acctbal = c_acctbal + 1 WHERE c_nationkey = @n", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
     "delete_cow": ("DELETE FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)"),
     "merge_cow": (
@@ -294,12 +333,25 @@ def write_of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def rows_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name, (sql, _) in WRITES.items():
+    for name in ("insert_append", "update_cow", "delete_cow", "merge_cow"):
+        sql = WRITES[name][0]
         one = engine(spark, sf_dir, sql).plan_write("dev-main", sql, {"n": 3}).affected.withColumn("statement", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 
 
+#: White space as JavaScript has it, in the regular expressions of the other engine.
+SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+INLINE = """
+    WITH mails AS (SELECT doc_id, regexp_split_to_array(text, '{email}') AS p, regexp_extract_all(text, '{email}') AS f FROM documents)
+    , plain AS (SELECT doc_id, p[1] || coalesce(array_to_string(list_transform(range(1, len(f) + 1), lambda i: 'user_' || lower({user}) || '@example.invalid' || p[i + 1]), ''), '') AS v FROM mails)
+    , parts AS (SELECT doc_id, v, regexp_extract(v, '{signed}', 1) AS s FROM plain)
+    , numbers AS (SELECT doc_id, v, s, regexp_split_to_array(s, '{number}') AS p, regexp_extract_all(s, '{number}') AS f FROM parts)
+    SELECT doc_id, sha256(p[1] || coalesce(array_to_string(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN i = len(f) AND p[i + 1] = '' AND regexp_full_match(f[i], '[0-9]+') THEN f[i]
+        ELSE '+39' || translate({phone}, 'ABCDEF', '012345') END || p[i + 1]), ''), '') || substr(v, length(s) + 1)) AS masked_sha256 FROM numbers
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: lambda s, d, sql=sql: ask(s, d, sql) for name, (sql, _) in READS.items()}
     out |= {f"mask_{kind}": mask_of(column, "masked") for kind, (column, _) in MASKS.items()}
@@ -349,6 +401,10 @@ def oracles() -> dict[str, str]:
         "masked_read_customer": f"SELECT 'TEXT_' || {duck_digest('c_custkey', 'c_custkey', 10)} AS c_custkey, 'NAME_' || {duck_digest('c_name', 'c_name', 8)} AS c_name, c_nationkey, c_acctbal, 'TEXT_' || {duck_digest('c_mktsegment', 'c_mktsegment', 10)} AS c_mktsegment FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)",
         "masked_read_orders": f"SELECT 'TEXT_' || {duck_digest('o_orderkey', 'o_orderkey', 10)} AS o_orderkey, 'TEXT_' || {duck_digest('o_custkey', 'o_custkey', 10)} AS o_custkey, o_totalprice, 'TEXT_' || {duck_digest('o_orderdate', iso.format('o_orderdate'), 10)} AS o_orderdate FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)",
         "masked_events": f"SELECT 'TEXT_' || {duck_digest('event_id', 'event_id', 10)} AS event_id, {iso.format('ts')} AS ts, 'TEXT_' || {duck_digest('user_id', 'user_id', 10)} AS user_id, event_type, value, 'TEXT_' || {duck_digest('props', 'props', 10)} AS props FROM events",
+        "inline_mask": INLINE.format(
+            user=duck_digest("inline_email", "f[i]", 10), phone=duck_digest("inline_phone", "f[i]", 10), email=r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}",
+            number=r"\+?[0-9][0-9" + SPACES + r"().-]{6,}[0-9]", signed="(?s)^(.*[+" + SPACES + "().-][0-9]*)",
+        ),
         "key_normalize": "SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM (SELECT 'Customer' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '--' || c_name || '_' AS name FROM customer)",
         "sql_sources": "SELECT n_nationkey, 'dbo.t' || n_regionkey || '|users' AS scope FROM nation",
         "sql_hash_preview": "SELECT c_custkey, substr(sha256(q), 1, 16) AS hash, substr(trim(regexp_replace(q, '\\s+', ' ', 'g')), 1, 160) AS preview FROM (SELECT c_custkey, '  SELECT *   FROM t ' || repeat('x', 200) || c_name AS q FROM customer)",

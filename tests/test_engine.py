@@ -5,6 +5,7 @@ import pytest
 from sluice import queries
 from sluice.engine import Engine, ToolError
 from sluice.operators import audit
+from sluice.operators import writes
 from sluice.operators.audit import Audit, redacted, shown
 from sluice.sources import registry, tables
 from sluice.streaming import sessions
@@ -102,3 +103,36 @@ def test_session_stream(spark, sf, tmp_path):
     batch = {tuple(r) for r in sessions.windows(source.withColumn("ts", source.ts.cast("timestamp")), 3600).collect()}
     streamed = {tuple(r) for r in spark.table("session_windows").collect()}
     assert streamed and streamed <= batch
+
+
+def test_merge_refuses_several_matches(engine):
+    many = "MERGE INTO customer AS t USING (SELECT 5L AS k, 'a' AS v UNION ALL SELECT 5L, 'b' UNION ALL SELECT 9009L, 'c' UNION ALL SELECT 9009L, 'd') AS s ON t.c_custkey = s.k "
+    with pytest.raises(ToolError, match="the same row more than once"):
+        engine.write("dev-main", many + "WHEN MATCHED THEN UPDATE SET c_name = s.v")
+    assert engine.write("dev-main", many + "WHEN NOT MATCHED THEN INSERT (c_custkey, c_name) VALUES (s.k, s.v)").rows_affected == 2
+
+
+def test_writes_last_and_none_is_lost(engine, spark):
+    other = Engine(spark, engine.registry, engine.tables, env=engine.env, scratch=engine.scratch)
+    count = lambda e: e.query("dev-main", "SELECT count(*) AS n FROM customer WHERE c_name = 'new'").first().n
+    assert count(other) == 0
+    assert engine.write("dev-main", "WITH x AS (SELECT 8000L AS k) INSERT INTO customer (c_custkey, c_name) SELECT k, 'new' FROM x").rows_affected == 1
+    later = Engine(spark, engine.registry, engine.tables, env=engine.env, scratch=engine.scratch)
+    assert count(later) == 1 and later.write("dev-main", "UPDATE customer SET c_name = 'new' WHERE c_custkey = 3").rows_affected == 1
+    # a plan that was made before another writer's commit is refused, whatever it would have written
+    stale = other.plan_write("dev-main", "DELETE FROM customer WHERE c_custkey = 4")
+    with pytest.raises(writes.LostUpdate):
+        other._sessions["dev-main"][1].apply(stale)
+    assert other.write("dev-main", "DELETE FROM customer WHERE c_custkey = 4").rows_affected == 1 and count(other) == 2
+
+
+@pytest.mark.parametrize("sql", ["SELECT TOP 5 PERCENT c_custkey FROM customer", "SELECT DISTINCT TOP 2 WITH TIES c_name FROM customer ORDER BY c_name"])
+def test_forms_that_are_refused(engine, sql):
+    with pytest.raises(ToolError) as error:
+        engine.query("dev-main", sql)
+    assert error.value.code == "invalid_sql"
+
+
+def test_spellings_leave_literals_alone(engine):
+    row = engine.query("dev-main", "SELECT 'SELECT TOP 1 x + LEN(' + 'CROSS APPLY (' AS t, DATE'2024-01-31' + 1 AS d, DATEDIFF(year, '2023-12-31', '2024-01-01') AS y, DATEDIFF(week, DATE'2024-01-06', DATE'2024-01-07') AS w").first()
+    assert (row.t, str(row.d), row.y, row.w) == ("SELECT TOP 1 x + LEN(CROSS APPLY (", "2024-02-01", 1, 1)
