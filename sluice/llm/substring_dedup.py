@@ -47,10 +47,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    known = {w: digest(w) for w in set(found)}
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+#: A number for each byte at each of 64 places within a word; words are hashed by their sums (tabulation).
+TABLE = mixed(mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+#: Bytes that are hashed at a time.
+SEGMENT = 1 << 20
+
+
+def word_hashes(buffer: bytes, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each word of a buffer, from where they begin. It decides where windows meet, not which are equal."""
+    data, n = np.frombuffer(buffer, np.uint8), len(offsets) - 1
+    out, a = np.empty(n, np.uint64), 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SEGMENT)) - 1)
+        start, end = int(offsets[a]), int(offsets[b])
+        place = np.arange(start, end) - np.repeat(offsets[a:b], np.diff(offsets[a : b + 1]))
+        out[a:b] = np.add.reduceat(TABLE[(place & 63) << 8 | data[start:end]], offsets[a:b] - start)
+        a = b
+    return out
 
 
 def pack(texts: list[str | None], width: int, hot: np.ndarray) -> Packed:
@@ -63,7 +76,7 @@ def pack(texts: list[str | None], width: int, hot: np.ndarray) -> Packed:
     empty = np.zeros(0, np.int64)
     if n < width:
         return Packed(flat, sizes, buffer, offsets, empty, empty, empty.view(np.uint64), empty)
-    h = word_hashes(flat)
+    h = word_hashes(buffer, offsets)
     low = h[: n - PIECE + 1].copy()
     for k in range(1, PIECE):
         low = low * np.uint64(0xD6E8FEB86659FD93) + h[k : n - PIECE + 1 + k]
