@@ -37,7 +37,7 @@ BLOCK = 4_000_000
 #: Rows of benchmark windows that are sent to every task, at most; beyond it both sides of a join are shuffled.
 BROADCAST = 200_000
 #: Tokens whose hashes a worker remembers, at most.
-TOKENS = 200_000
+TOKENS = 400_000
 
 
 class Reader:
