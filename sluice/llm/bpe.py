@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks kept with their ids in each Python worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO = 500_000
+#: Chunks kept with their ids in each Python worker: beyond it the memo starts anew and takes over from the one before
+#: what comes again, so memory stays bounded and frequent chunks stay known.
+MEMO = 300_000
 #: Characters beyond which a chunk isn't kept.
 LONG = 100
 #: Characters of text after which a worker hands its rows on.
@@ -153,6 +154,7 @@ class Bpe:
         self.table |= {i: s.encode() for s, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of pairs (a, b); NONE where a pair has none or a symbol is gone (negative)."""
@@ -238,19 +240,19 @@ class Bpe:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         chunks = [self.chunks(text or "") for text in texts]
+        if len(self.memo) > MEMO:
+            self.before, self.memo = self.memo, {}
         fresh = set().union(*chunks).difference(self.memo)
-        long = [c for c in fresh if len(c) > LONG]
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = set().union(*chunks)
+        again = fresh.intersection(self.before)
+        self.memo.update(zip(again, map(self.before.__getitem__, again)))
+        fresh -= again
         if fresh:
             self.learn(fresh)
         of = self.memo.__getitem__
         out = [np.frombuffer(b"".join(map(of, c)), "<i4") for c in chunks]
-        for c in long:
-            del self.memo[c]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        for c in fresh:
+            if len(c) > LONG:
+                del self.memo[c]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
