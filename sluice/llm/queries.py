@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, embed_dedup, line_dedup, simhash, substring_dedup, token_rollup, toxicity, url_filter, warc
+from sluice.llm import bpe, decontaminate, divergence, embed_dedup, line_dedup, quality, simhash, substring_dedup, token_rollup, toxicity, url_filter, vector_codes, warc
 from sluice.llm.shared import fresh_path
 
 
@@ -72,6 +72,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), sample=2048)
+    return quality.judge(docs, model, threshold=0.5).drop("probability")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.withColumn("code", F.lower(F.hex("code")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -83,9 +98,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """SQL for op12: each round's codebooks from those of the round before. Parts of the vectors are lists."""
+    square = "list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = "{name} AS MATERIALIZED (SELECT id, part, x, min((far, entry)) AS best FROM (SELECT id, pieces.part, x, entry, " + square + " AS far FROM pieces JOIN {books} USING (part)) GROUP BY id, part, x)"
+    steps = [
+        f"whole AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor({scale} * v::DOUBLE)::BIGINT) AS w FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v))))",
+        "rows AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST) AS id FROM whole)",
+        f"pieces AS MATERIALIZED (SELECT id, part, w[part * len(w) // {parts} + 1 : (part + 1) * len(w) // {parts}] AS x FROM rows, (SELECT unnest(range({parts})) AS part))",
+        f"books0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x AS e FROM pieces WHERE id <= {entries})",
+    ]
+    for k in range(rounds):
+        steps += [
+            assign.format(name=f"near{k}", books=f"books{k}"),
+            f"sums{k} AS (SELECT part, best[2] AS entry, place, sum(v) AS s, count(*) AS c FROM (SELECT part, best, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{k}) GROUP BY ALL)",
+            f"means{k} AS (SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY place)::BIGINT[] AS e FROM sums{k} GROUP BY part, entry)",
+            f"books{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(means{k}.e, books{k}.e) AS e FROM books{k} LEFT JOIN means{k} USING (part, entry))",
+        ]
+    steps += [
+        assign.format(name="last", books=f"books{rounds}"),
+        "coded AS (SELECT id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM last GROUP BY id)",
+        f"told AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN rows USING (id), told"
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)
+        , words AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs)
+        , kept AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10)
+        , counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL)
+        , langs AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY lang)
+        , sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source)
+        , groups AS (SELECT DISTINCT lang, source FROM docs)
+        , shares AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 2)) // (l.total + 2 * l.v) AS q
+            FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term)
+        , pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+        , found AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+            FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+    """,
     "op1_embedding_dedup": """
         WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
         , links AS (
