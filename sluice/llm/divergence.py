@@ -8,11 +8,12 @@ add follows from each source alone.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,20 +26,61 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.
 CELLS, FEWEST, MOST = 8, 16, 26
 #: Cells that are merged together.
 BLOCK = 1 << 14
-#: Different terms that a task holds before it passes their counts on.
-HELD = 200_000
+#: Bytes of text that are worked on together, at most (but for a longer text).
+SLICE = 1 << 24
 #: What a byte becomes: a-z for A-Z and itself, other bytes of terms themselves, a blank for all that parts terms.
-FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
-def terms(text: bytes | None) -> list[bytes]:
-    """The terms ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` of a whole text in UTF-8, A-Z in lower case; null: none."""
-    return text.translate(FOLDED).split() if text else []
+class Terms(NamedTuple):
+    """The terms of some texts: the text that each occurrence is in, its number among the different ones, and these."""
 
+    text: np.ndarray
+    number: np.ndarray
+    known: list[bytes]
 
-def cells(lang: bytes, words: list[bytes], bits: int) -> np.ndarray:
-    """The cell of each word of a language in each row of a sketch with 2**bits cells a row."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w, len(lang)) for w in words), np.uint64, len(words)) ^ np.uint64(xxhash.xxh64_intdigest(lang, 1))
+
+def terms(texts: pa.Array) -> Terms:
+    """The terms ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` of whole texts in UTF-8, A-Z in lower case."""
+    if not len(texts):
+        return Terms(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    folded = pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(FOLDED[data]))
+    lists = pc.ascii_split_whitespace(folded)
+    words = lists.flatten()
+    there = pc.not_equal(words, "")
+    coded = words.filter(there).dictionary_encode()
+    text = pc.list_parent_indices(lists).filter(there)
+    return Terms(text.to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist())
+
+
+def slices(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about SLICE bytes of text each, or one text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(texts)).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def numbered(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def distinct(high: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, in order, and how often each occurs. low is under width."""
+    both, times = np.unique(high * max(1, width) + low, return_counts=True)
+    return both // max(1, width), both % max(1, width), times
+
+
+def cells(lang: np.ndarray, langs: list[bytes], words: list[bytes], bits: int) -> np.ndarray:
+    """The cell of each word of a language in each row of a sketch with 2**bits cells a row. lang: each word's, by number."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = (h ^ np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in langs), np.uint64, len(langs))[lang]) if len(words) else h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((h[None, :] * ODD[:, None]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -48,10 +90,10 @@ class Sketch:
     def __init__(self, bits: int):
         self.bits, self.table = bits, np.zeros((len(ODD), 1 << bits), np.uint8)
 
-    def add(self, lang: bytes, counts: Counter[bytes]) -> None:
-        number = np.fromiter(counts.values(), np.int64, len(counts))
-        for row, at in zip(self.table, cells(lang, list(counts), self.bits)):
-            where, group = np.unique(at, return_inverse=True)
+    def add(self, at: np.ndarray, number: np.ndarray) -> None:
+        """Adds numbers to cells; at: see cells()."""
+        for row, own in zip(self.table, at):
+            where, group = np.unique(own, return_inverse=True)
             row[where] = np.minimum(255, row[where] + np.bincount(group, weights=number).astype(np.int64))
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
@@ -75,19 +117,13 @@ def possible_terms(docs: DataFrame, least: int, bits: int | None = None) -> np.n
     floor = min(least, 255)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, size = Sketch(bits), {}, 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = held.setdefault(lang, Counter())
-                size -= len(counts)
-                counts.update(set(terms(text.as_py())))
-                size += len(counts)
-                if size > HELD:
-                    for k, c in held.items():
-                        own.add(k, c)
-                    held, size = {}, 0
-        for k, c in held.items():
-            own.add(k, c)
+        own = Sketch(bits)
+        for batch in slices(batches, 1):
+            lang, langs = numbered(batch.column(0))
+            found = terms(batch.column(1))
+            text, number, _ = distinct(found.text, found.number, len(found.known))
+            of, number, df = distinct(lang[text], number, len(found.known))
+            own.add(cells(of, langs, [found.known[k] for k in number.tolist()], bits), df)
         for k, block in own.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.binary())], names=["place", "cells"])
 
@@ -109,55 +145,50 @@ def possible_terms(docs: DataFrame, least: int, bits: int | None = None) -> np.n
     return found.reshape(len(ODD), -1)
 
 
-def exact_counts(docs: DataFrame, possible: np.ndarray) -> DataFrame:
-    """(lang, source, term, n, df): occurrences and documents of the terms that are possible, in each group; and a row
-    with the term '' for each group, so that one without terms is known too."""
+def exact_counts(docs: DataFrame, possible: np.ndarray, least: int) -> DataFrame:
+    """(lang, source, term, n, all): how often each group has each term that is kept, and its language; and a row with the
+    term '' for each group, so that one without terms is known too.
+
+    A task passes on a row for each possible term of a slice of texts, with the sources that have it. These meet by
+    language and term, where they are summed and what isn't kept leaves; no other shuffle follows.
+    """
     spark, bits = docs.sparkSession, int(possible.shape[1] * 8).bit_length() - 1
     sent = spark.sparkContext.broadcast(possible)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        known: dict[bytes, tuple[set[bytes], set[bytes]]] = {}  # of each language: the terms that were looked up, and the possible ones
-        held: dict[tuple[bytes, bytes], tuple[Counter[bytes], Counter[bytes]]] = {}
-        size = looked = 0
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, df) in held.items():
-                words = [b"", *n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(words), pa.binary()), pa.array([source] * len(words), pa.binary()), pa.array(words, pa.binary()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(df[w] for w in n)], pa.int64())],
-                    names=["lang", "source", "term", "n", "df"],
-                )
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = terms(text.as_py())
-                met, alive = known.setdefault(lang, (set(), set()))
-                if fresh := list(set(words).difference(met)):
-                    at = cells(lang, fresh, bits)
-                    there = np.logical_and.reduce([(row[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 for row, c in zip(table, at)])
-                    alive.update(w for w, ok in zip(fresh, there.tolist()) if ok)
-                    met.update(fresh)
-                    looked += len(fresh)
-                if (lang, source) not in held:
-                    held[lang, source] = Counter(), Counter()
-                    size += 1
-                n, df = held[lang, source]
-                words = [w for w in words if w in alive]
-                size -= len(n)
-                n.update(words)
-                df.update(set(words))
-                size += len(n)
-                if size > HELD:
-                    yield from passed_on()
-                    held, size = {}, 0
-                if looked > 2 * HELD:
-                    known, looked = {}, 0
-        yield from passed_on()
-
-    rows = columns(docs).mapInArrow(count, "lang binary, source binary, term binary, n long, df long")
-    names = [F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")]
-    return rows.select(*names, "n", "df").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        for batch in slices(batches, 2):
+            lang, langs = numbered(batch.column(0))
+            source, sources = numbered(batch.column(1))
+            found = terms(batch.column(2))
+            width = len(found.known)
+            text, number, _ = distinct(found.text, found.number, width)
+            of, number, df = distinct(lang[text], number, width)
+            at = cells(of, langs, [found.known[k] for k in number.tolist()], bits)
+            there = np.logical_and.reduce([(row[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 for row, c in zip(table, at)]).astype(bool)
+            place = np.full(len(langs) * width, -1)
+            place[of[there] * width + number[there]] = np.arange(there.sum())
+            mine = place[lang[found.text] * width + found.number]
+            mine, by, n = distinct(mine[mine >= 0], source[found.text[mine >= 0]], len(sources))
+            groups_lang, groups_source, _ = distinct(lang, source, len(sources))
+            # terms first, then a row for each language with its sources
+            of, number, df = of[there], number[there], np.append(df[there], np.zeros(len(langs), np.int64))
+            sizes = np.append(np.bincount(mine, minlength=len(of)), np.bincount(groups_lang, minlength=len(langs)))
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            whose = np.append(by, groups_source)
+            n = np.append(n, np.zeros(len(groups_source), np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(langs, pa.binary()).take(pa.array(np.append(of, np.arange(len(langs))))), pa.array([*found.known, b""], pa.binary()).take(pa.array(np.append(number, np.full(len(langs), width)))), pa.array(df),
+                    pa.ListArray.from_arrays(ends, pa.array(sources, pa.binary()).take(pa.array(whose))), pa.ListArray.from_arrays(ends, pa.array(n)),
+                ],
+                names=["lang", "term", "df", "sources", "ns"],
+            )
+
+    packed = columns(docs).mapInArrow(count, "lang binary, term binary, df long, sources array<binary>, ns array<long>").repartition("lang", "term")
+    sums = packed.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, b: a + b)).alias("all")).where((F.col("df") >= least) | (F.col("term") == F.lit(b""))).drop("df")
+    each = packed.select("lang", "term", F.explode(F.arrays_zip("sources", "ns")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"))
+    return each.join(sums.hint("shuffle_hash"), ["lang", "term"]).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "all")
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -183,14 +214,15 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, bits: int | None
     doc_id isn't read; nor are extra columns. An empty table gives no rows. bits: cells of a sketch's row as a power of
     two; by default they follow the number of rows. Results don't depend on it.
 
-    A task holds HELD terms, its sketch and the bits of the possible terms. Counts are summed before each shuffle. A pair
+    A task holds the terms of a slice of texts, its sketch and the bits of the possible terms. A pair
     of sources meets once for each term that both have, and is summed where it meets: the result itself has a row for
     each pair.
     """
-    counts = cut(exact_counts(docs, possible_terms(docs, least, bits)))
-    kept = cut(counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("df").alias("df")).where(F.col("df") >= least).drop("df"))
-    held = counts.where("term <> ''").drop("df").join(kept, ["lang", "term"])
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total"))
+    counts = cut(exact_counts(docs, possible_terms(docs, least, bits), least))
+    held = counts.where("term <> ''")
+    langs = held.groupBy("lang").agg(F.sum("n").alias("lang_total"))
+    kept = held.groupBy("lang", "term").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("v"))
+    langs = langs.join(kept, "lang")
     sizes = held.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
     zero = F.lit(0).cast("long")
     groups = counts.where("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -207,8 +208,8 @@ def test_divergence(spark, bits):
 
 
 def test_divergence_in_small_steps(spark, monkeypatch):
-    """Tasks that pass their counts on early come to the same."""
-    monkeypatch.setattr(divergence, "HELD", 3)
+    """Texts that are worked on one by one come to the same."""
+    monkeypatch.setattr(divergence, "SLICE", 3)
     rows = source_rows()
     df = spark.createDataFrame(rows, "source string, lang string, text string").coalesce(1)
     assert sorted(map(tuple, divergence.divergence(df, 10, 4, 12).collect())) == divergence_brute(rows, 10, 4)
@@ -219,16 +220,27 @@ def test_divergence_in_small_steps(spark, monkeypatch):
 def test_sketches_never_underestimate(parts):
     sketch, truth = divergence.Sketch(4), Counter()
     for part in parts:
-        sketch.add(b"en", Counter(part))
+        sketch.add(divergence.cells(np.zeros(len(part), np.int64), [b"en"], list(part), 4), np.array(list(part.values()), np.int64))
         truth.update(part)
     if truth:
-        at = divergence.cells(b"en", list(truth), 4)
+        at = divergence.cells(np.zeros(len(truth), np.int64), [b"en"], list(truth), 4)
         least = np.min([row[c] for row, c in zip(sketch.table, at)], axis=0)
         assert all(e >= min(255, n) for e, n in zip(least.tolist(), truth.values()))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.sampled_from(["", " A", "b ", "é\u3000É", "\x1cA\x1db\x85c", "a-B_c"]), max_size=8), st.integers(0, 3))
+def test_terms(texts, skip):
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    found = divergence.terms(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).slice(skip))
+    want = [(k, w.encode("utf-8", "surrogatepass")) for k, t in enumerate(texts[skip:]) for w in term.findall(t.translate({c: c + 32 for c in range(65, 91)}))]
+    assert [(k, found.known[n]) for k, n in zip(found.text.tolist(), found.number.tolist())] == want
+
+
 def test_possible_terms_discard(spark, sf):
+    """Of the terms that pass the sketches hardly one is counted in vain."""
     docs = queries.table(spark, sf, "documents")
-    counts = divergence.exact_counts(docs, divergence.possible_terms(docs, 10)).where("term <> ''").groupBy("lang", "term").agg(F.sum("df").alias("df"))
-    n, kept = counts.count(), counts.where("df >= 10").count()
-    assert kept <= n <= 1.05 * kept  # of several thousand terms hardly one is counted in vain
+    possible = divergence.possible_terms(docs, 10)
+    kept = divergence.exact_counts(docs, possible, 10).where("term <> ''").select("lang", "term").distinct().count()
+    n = divergence.exact_counts(docs, possible, 1).where("term <> ''").select("lang", "term").distinct().count()
+    assert 0 < kept <= n <= 1.05 * kept
