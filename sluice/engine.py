@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import time
 import uuid
 from collections import deque
@@ -11,11 +12,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sluice import storage
 from sluice.functions.text import metadata_value
-from sluice.operators import classify, results, writes
+from sluice.operators import classify, prefixes, results, writes
 from sluice.operators.audit import Audit
 from sluice.operators.mask import masked_frame
 from sluice.plans import dialect, guard, policy
@@ -68,8 +71,9 @@ class Result:
 class Engine:
     """tables: for each target the paths of its Parquet tables, or DataFrames. Each target has a session of its own,
     in which they are views; classifier: asked for the kinds of columns, see operators/classify.py; scratch: the folder of
-    written tables' versions: engines that are given the same one, later processes too, see what was written. Without it
-    they are below the warehouse, which all machines share, in a folder of this engine's own that close() deletes."""
+    written tables' versions: engines that are given the same one, later processes too, see what was written, each
+    statement what was written before it began. Without it they are below the warehouse, which on a cluster must be set
+    to a folder that all machines share, in a folder of this engine's own that close() deletes."""
 
     def __init__(self, spark: SparkSession, registry: Registry, tables: Mapping[str, Mapping[str, str | DataFrame]], env: Mapping[str, str] | None = None, classifier: classify.Classifier | None = None, audit: Audit | None = None, scratch: str | None = None):
         self.spark, self.registry, self.tables = spark, registry, tables
@@ -128,13 +132,37 @@ class Engine:
             self._sessions[target.target_id] = own, store
         return self._sessions[target.target_id][0]
 
+    def _refresh(self, target: Target, sql: str) -> None:
+        """Shows the newest versions of the tables that a statement names."""
+        self.session(target)
+        for name, table in self.tables.get(target.target_id, {}).items():
+            if isinstance(table, str) and re.search(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", sql):
+                self._sessions[target.target_id][1].refresh(name)
+
+    def _kinds(self, target: Target, sql: str) -> dict[str, str | None]:
+        """What the columns of the tables that a statement names are, for dialect.spelled(); and its parameters."""
+        known: dict[str, set[str]] = {}
+        for name in self.tables.get(target.target_id, {}):
+            if re.search(rf"(?i)(?<!\w){re.escape(name)}(?!\w)", sql):
+                for f in self.session(target).table(name).schema.fields:
+                    known.setdefault(f.name.lower(), set()).add("text" if isinstance(f.dataType, T.StringType) else "int" if isinstance(f.dataType, T.IntegralType) else "number" if isinstance(f.dataType, T.NumericType) else "other")
+        return {name: min(kinds) if len(kinds) == 1 else None for name, kinds in known.items()}
+
+    def _store(self, target: Target) -> writes.Store:
+        own, store = self.session(target), self._sessions[target.target_id][1]
+        if not store.folder:
+            if not storage.on_one_machine(own) and not own.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+                raise RuntimeError("Set spark.sql.warehouse.dir, or the engine's scratch, to a folder that the driver and all executors share.")
+            store.folder = f"{own.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sluice-{uuid.uuid4().hex}"
+        return store
+
     def close(self) -> None:
         """Lets go of the targets' sessions, the results kept for them, and tables that were written for this engine alone."""
         for own, store in self._sessions.values():
             for view in own.catalog.listTables():
                 own.catalog.dropTempView(view.name)
             if store.folder and not self.scratch:
-                files, path = store._file("")
+                files, path = storage.files(own, store.folder)
                 files.delete(path, True)
         for frame in self._kept:
             frame.unpersist()
@@ -166,10 +194,15 @@ class Engine:
         target, text = self._admit(target_id, "db_read", sql)
         self._ready(target, "db_read_failed")
         own = self.session(target)
+        self._refresh(target, text)
         try:
-            spelled = dialect.translate(text, parameters)
-            guard.inspect_read(own, spelled)
-            return own.sql(spelled, args=parameters or {})
+            spelled = dialect.spelled(text, parameters, self._kinds(target, text))
+            guard.inspect_read(own, spelled.text)
+            answer = own.sql(spelled.text, args=parameters or {})
+            if spelled.percent is None:
+                return answer
+            keys = [F.desc(k) if down else F.asc(k) for k, down in zip(spelled.keys, spelled.down)]
+            return prefixes.top_percent(answer, spelled.percent, keys, spelled.ties, spelled.keys).drop(*spelled.keys)
         except guard.GuardError as error:
             raise ToolError("invalid_sql", str(error), target_id=target_id) from error
         except PySparkException as error:
@@ -178,8 +211,9 @@ class Engine:
     def read(self, target_id: str, sql: str, parameters: dict[str, Any] | None = None, max_rows: int | None = None, exact_total: bool = True) -> Result:
         """db_read: the answer normalized, capped, bounded in bytes and, where the target wants it, masked.
 
-        The capped rows are kept between jobs, so that profile and mask see the same ones. exact_total=False spares
-        the count of the whole answer."""
+        The capped rows are kept between jobs, so that profile and mask see the same ones. The whole answer is counted by
+        the read that finds the first rows; only an ordered answer is counted by a job of its own, as its first rows are
+        found without sorting the rest. exact_total=False spares the count."""
         began = time.time()
         log = {"tool": "db_read", "target_id": target_id}
         try:
@@ -188,11 +222,17 @@ class Engine:
             self.audit.emit("query_in", log | {"sql": sql, "parameters": parameters, "max_rows": max_rows})
             self.audit.emit("db_driver_start", log)
             cap = results.row_cap(max_rows, target.max_rows)
-            first = self._keep(results.capped(results.normalized(whole), cap))
+            if exact_total and not dialect.ordered(sql):
+                seen = Observation()
+                rows = self._keep(results.head(results.normalized(whole), cap, seen))
+                rows.count()
+                first, total = results.first_of(rows, cap), seen.get["n"]
+            else:
+                first = self._keep(results.capped(results.normalized(whole), cap))
+                total = first.count()
+                total = whole.count() if exact_total and total == cap else total
             kept = results.bounded(first, target.max_result_bytes)
             n, size = kept.agg(F.count("*"), F.coalesce(F.max("result_bytes"), F.lit(2))).first()
-            had = first.count()
-            total = whole.count() if exact_total and had == cap else had
             rows = kept.drop("result_bytes")
             self.audit.emit("db_driver_done", log | {"row_count": n, "duration_ms": int(1000 * (time.time() - began))})
             out = Result(rows, results.columns_of(whole), n, size, target.max_result_bytes, n < total, 0, total, cap, anonymization_mode=target.anonymization_mode, sql=sql)
@@ -234,37 +274,59 @@ class Engine:
 
     def plan_write(self, target_id: str, sql: str, parameters: dict[str, Any] | None = None) -> writes.Change:
         """What a guarded write would do, not done."""
+        return self._planned(target_id, sql, parameters, lambda df: df)[0]
+
+    def _planned(self, target_id: str, sql: str, parameters: dict[str, Any] | None, keep: writes.Keep) -> tuple[writes.Change, str]:
+        """A write's change, and the list of its OUTPUT clause ('' for none)."""
         target, text = self._admit(target_id, "db_write", sql)
         self._ready(target, "db_write_failed")
         own = self.session(target)
+        self._refresh(target, text)
+        version = dict(self._sessions[target.target_id][1].versions)
         try:
-            return writes.change(own, guard.inspect_write(own, dialect.with_literals(text, parameters)))
+            spelled, listed = dialect.with_output(text, parameters, self._kinds(target, text))
+            if listed:
+                guard.inspect_read(own, f"SELECT {listed} FROM touched")
+            change = writes.change(own, guard.inspect_write(own, spelled), keep)
+            change.version = version.get(change.table.lower(), 0)
+            if listed:
+                change.images().selectExpr(*dialect.outputs(listed))  # before anything is written
+            return change, listed
         except guard.GuardError as error:
             raise ToolError("invalid_sql", str(error), target_id=target_id) from error
 
     def write(self, target_id: str, sql: str, parameters: dict[str, Any] | None = None) -> Result:
-        """db_write: a new version of the table; the number of rows that the statement touched."""
+        """db_write: a new version of the table; the number of rows that the statement touched and, of those that its
+        OUTPUT clause asks for, as many as the target's bytes hold."""
         began = time.time()
         log = {"tool": "db_write", "target_id": target_id}
         try:
             target = self._target(target_id)
-            if target_id in self._sessions:
-                for name in self.tables.get(target_id, {}):
-                    self._sessions[target_id][1].refresh(name)
-            change = self.plan_write(target_id, sql, parameters)
+            change, listed = self._planned(target_id, sql, parameters, lambda df: self._store(target).keep(df))
             self.audit.emit("query_in", log | {"sql": sql, "parameters": parameters})
-            store = self._sessions[target_id][1]
-            store.folder = store.folder or f"{store.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sluice-{uuid.uuid4().hex}"
-            affected = store.apply(change)
-            took = int(1000 * (time.time() - began))
-            self.audit.emit("query_out", log | {"rows_affected": affected, "row_count": 0, "truncated": False})
-            return Result(self.spark.range(0), [], 0, 2, target.max_result_bytes, False, took, rows_affected=affected, sql=sql)
+            affected, images = self._store(target).apply(change, bool(listed))
+            out = Result(self.spark.range(0), [], 0, 2, target.max_result_bytes, False, 0, rows_affected=affected, sql=sql)
+            if images is not None:
+                self._returned(out, images, listed)
+            out.duration_ms = int(1000 * (time.time() - began))
+            self.audit.emit("query_out", log | {"rows_affected": affected, "row_count": out.row_count, "truncated": out.truncated})
+            return out
         except Exception as error:
             self.audit.emit("query_failed", log | {"error": str(error).splitlines()[0] if str(error) else ""}, "error")
             if isinstance(error, ToolError):
                 raise
             raise ToolError("db_write_failed", str(error).splitlines()[0] if str(error) else "", target_id=target_id) from error
 
+    def _returned(self, out: Result, images: DataFrame, listed: str) -> None:
+        """What an OUTPUT clause makes of the touched rows: no cap of rows, so it may be any number of them."""
+        chosen = images.selectExpr(*dialect.outputs(listed), results.PLACE)
+        whole = results.normalized(chosen.drop(results.PLACE))
+        rows = chosen.select(*(results.cell(F.col(results.quoted(f.name)), f.dataType).alias(f.name) for f in chosen.schema.fields if f.name != results.PLACE), results.PLACE)
+        kept = self._keep(prefixes.within_bytes(rows, out.max_result_bytes_applied))
+        n, size = kept.agg(F.count("*"), F.coalesce(F.max("result_bytes"), F.lit(2))).first()
+        out.columns = results.columns_of(chosen.drop(results.PLACE))
+        out.frame, out.row_count, out.result_bytes, out.truncated = kept.orderBy(results.PLACE).select(*map(results.quoted, whole.columns)), n, size, n < out.rows_affected
+
     # diagnostics
 
     def diagnose(self, database_target: str, query: str, target_id: str | None = None, ticket_key: str | None = None, parameters: dict[str, Any] | None = None) -> dict[str, Any]:

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what a statement reads, as the scope of its columns' kinds.
 SOURCE = r"(?i)\b(?:from|join)\s+([A-Za-z0-9_\[\]\".]+)"
 
 

@@ -21,36 +21,54 @@ PROBES = 400
 CACHED = 512
 
 # The names and forms by which columns are told apart.
-SAFE_KEYS = set(
-    """id ids rownum row_num count total status stato type tipo flag enabled active created_at updated_at deleted_at timestamp ts date data
-    estero numrif num_rif cf codicefiscale codice_fiscale cod_fiscale codfiscale codfiscalerl partitaiva partita_iva piva vat pi""".split()
-)
-SAFE_WORDS = set("id count total status stato type tipo flag enabled active created updated deleted timestamp date data".split())
-CODE_WORDS = set("codice code num numero rif numrif order ordine protocollo conto flag stato tipo estero".split())
-ENUM_WORDS = set("status stato type tipo flag estero".split())
+SAFE_KEYS = {
+    "id", "ids", "rownum", "row_num", "count", "total", "status", "stato", "type", "tipo", "flag", "enabled", "active", "created_at", "updated_at", "deleted_at", "timestamp", "ts", "date", "data",
+    "estero", "numrif", "num_rif", "cf", "codicefiscale", "codice_fiscale", "cod_fiscale", "codfiscale", "codfiscalerl", "partitaiva", "partita_iva", "piva", "vat", "pi",
+}
+SAFE_WORDS = {"id", "count", "total", "status", "stato", "type", "tipo", "flag", "enabled", "active", "created", "updated", "deleted", "timestamp", "date", "data"}
+CODE_WORDS = {"codice", "code", "num", "numero", "rif", "numrif", "order", "ordine", "protocollo", "conto", "flag", "stato", "tipo", "estero"}
+ENUM_WORDS = {"status", "stato", "type", "tipo", "flag", "estero"}
 FLAGS = ["0", "1", "y", "n", "s", "no", "si", "yes", "true", "false", "t", "f"]
 CODES = [r"(?i)^[A-Z]{1,5}\d{4,}[A-Z0-9_-]*$", r"(?i)^[A-Z0-9]{1,6}[-_/][A-Z0-9_-]{2,}$"]
 ADDRESS_SIGN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 NOT_PERSONAL = {"tipoiva", "regimeiva", "referenteiva"}
 EXACT = {
-    "email": "email pec emailrl",
-    "phone": "telefono telefonorl cellulare mobile fax",
-    "name": "nome cognome nomerl cognomerl",
-    "org": "denominazione ragionesociale",
-    "address": "indirizzo address cap",
-    "city": "citta comune provincia nazione",
-    "text": "note comment memo",
+    "email": ("email", "pec", "emailrl"),
+    "phone": ("telefono", "telefonorl", "cellulare", "mobile", "fax"),
+    "name": ("nome", "cognome", "nomerl", "cognomerl"),
+    "org": ("denominazione", "ragionesociale"),
+    "address": ("indirizzo", "address", "cap"),
+    "city": ("citta", "comune", "provincia", "nazione"),
+    "text": ("note", "comment", "memo"),
 }
-#: For each kind, in the order in which they are tried: beginnings, ends and parts of the name without _, words, whole names.
-RULES = [
-    ("email", ["email"], [], ["pec"], "email mail pec", ""),
-    ("phone", ["telefono", "cellulare"], ["phone"], [], "telefono phone mobile cellulare fax", ""),
-    ("name", ["nome", "cognome"], [], [], "nome name cognome surname firstname lastname referente", ""),
-    ("org", [], [], ["denominazione", "ragionesociale"], "", "azienda societa company"),
-    ("address", [], [], ["indirizzo", "address"], "indirizzo address via street cap zip", ""),
-    ("city", [], [], [], "citta city comune provincia country nazione", ""),
-    ("text", [], [], [], "note comment memo", ""),
-]
+
+
+@dataclass(frozen=True)
+class NameRule:
+    """A kind, and what in a column's name tells of it: how the name without _ begins or ends, what it holds, one of its
+    words, or the whole name."""
+
+    kind: str
+    starts: tuple[str, ...] = ()
+    ends: tuple[str, ...] = ()
+    holds: tuple[str, ...] = ()
+    words: frozenset[str] = frozenset()
+    names: frozenset[str] = frozenset()
+
+    def fits(self, joined: str, words: set[str], key: str) -> bool:
+        return joined.startswith(self.starts) or joined.endswith(self.ends) or any(h in joined for h in self.holds) or not words.isdisjoint(self.words) or key in self.names
+
+
+# The rules, in the order in which they are tried.
+RULES = (
+    NameRule("email", starts=("email",), holds=("pec",), words=frozenset({"email", "mail", "pec"})),
+    NameRule("phone", starts=("telefono", "cellulare"), ends=("phone",), words=frozenset({"telefono", "phone", "mobile", "cellulare", "fax"})),
+    NameRule("name", starts=("nome", "cognome"), words=frozenset({"nome", "name", "cognome", "surname", "firstname", "lastname", "referente"})),
+    NameRule("org", holds=("denominazione", "ragionesociale"), names=frozenset({"azienda", "societa", "company"})),
+    NameRule("address", holds=("indirizzo", "address"), words=frozenset({"indirizzo", "address", "via", "street", "cap", "zip"})),
+    NameRule("city", words=frozenset({"citta", "city", "comune", "provincia", "country", "nazione"})),
+    NameRule("text", words=frozenset({"note", "comment", "memo"})),
+)
 
 
 class ClassifierError(RuntimeError):
@@ -60,15 +78,12 @@ class ClassifierError(RuntimeError):
 def kind_by_name(name: str) -> str | None:
     key = key_of(name)
     for kind, names in EXACT.items():
-        if key in names.split():
+        if key in names:
             return kind
     joined, found = key.replace("_", ""), set(key.split("_"))
     if not key or joined in NOT_PERSONAL:
         return None
-    for kind, starts, ends, parts, words, wholes in RULES:
-        if joined.startswith(tuple(starts)) or joined.endswith(tuple(ends)) or any(p in joined for p in parts) or found & set(words.split()) or key in wholes.split():
-            return kind
-    return None
+    return next((rule.kind for rule in RULES if rule.fits(joined, found, key)), None)
 
 
 def safe_by_name(name: str) -> bool:
@@ -98,20 +113,21 @@ class Profile:
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """(key, n_values, n_distinct, samples, all_flags, all_codes, all_short) for each normalized column name: the
-    columns unpivoted, counted in one aggregation with a partial step. Distinct values count up to DISTINCT + 1."""
+    """(key, n_values, n_distinct, all_flags, all_codes, all_short, n_all) for each normalized column name: the columns
+    unpivoted, in one aggregation; a task passes on a row for each column, with a sketch that tells up to its 64 values
+    exactly apart (by a hash of 64 bits). n_all: the distinct values, DISTINCT + 1 at most; n_distinct: DISTINCT at most."""
     cells = [F.struct(F.lit(key_of(f.name)).alias("key"), scalar(_as_text(F.col(quoted(f.name)), f.dataType)).alias("value")) for f in df.schema.fields if f.name != PLACE]
     each = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value <> '' and key <> ''")
-    distinct = each.groupBy("key", "value").agg(F.count("*").alias("n"))
     lower = F.lower("value")
-    return distinct.groupBy("key").agg(
-        F.sum("n").alias("n_values"),
-        F.least(F.count("*"), F.lit(DISTINCT)).alias("n_distinct"),
+    found = each.groupBy("key").agg(
+        F.count("*").alias("n_values"),
+        F.theta_sketch_agg("value", 6).alias("sketch"),
         F.bool_and(lower.isin(FLAGS)).alias("all_flags"),
         F.bool_and(is_code(F.col("value"))).alias("all_codes"),
         F.bool_and((F.length("value") <= 16) & ~F.col("value").rlike(ADDRESS_SIGN)).alias("all_short"),
-        F.count("*").alias("n_all"),
     )
+    n = F.theta_sketch_estimate("sketch")
+    return found.select("key", "n_values", F.least(n, F.lit(DISTINCT)).alias("n_distinct"), "all_flags", "all_codes", "all_short", F.least(n, F.lit(DISTINCT + 1)).alias("n_all"))
 
 
 def _as_text(value: Column, kind: T.DataType) -> Column:
@@ -170,16 +186,27 @@ def normal_kind(kind: Any) -> str:
 
 
 def field_probe(df: DataFrame, known: dict[str, Profile]) -> list[dict[str, Any]]:
-    """What a classifier is shown of each column: a first value, up to five distinct ones, their number, and hints."""
+    """What a classifier is shown of each column: a first value, up to five distinct ones, their number, and hints. The
+    distinct ones are the smallest, each found by an aggregation above the one before, so that nothing is gathered."""
     names = [f for f in df.schema.fields if f.name != PLACE][:PROBES]
     texts = [_as_text(F.col(quoted(f.name)), f.dataType) for f in names]
     first = (lambda t: F.min_by(t, PLACE)) if PLACE in df.columns else F.first
-    row = df.agg(*(first(F.substring(t, 1, 80)).alias(f"f{k}") for k, t in enumerate(texts)), *(F.slice(F.array_sort(F.collect_set(F.when(scalar(t) != "", scalar(t)))), 1, 5).alias(f"s{k}") for k, t in enumerate(texts))).first()
+    samples: list[list[str]] = [[] for _ in names]
+    values = [F.when(scalar(t) != "", scalar(t)) for t in texts]
+    row = df.agg(*(first(F.substring(t, 1, 80)).alias(f"f{k}") for k, t in enumerate(texts)), *(F.min(v).alias(f"v{k}") for k, v in enumerate(values))).first()
+    found = row
+    while open_ones := [k for k in range(len(names)) if f"v{k}" in found and found[f"v{k}"] is not None]:
+        for k in open_ones:
+            samples[k].append(found[f"v{k}"])
+        more = [k for k in open_ones if len(samples[k]) < 5]
+        if not more:
+            break
+        found = df.agg(*(F.min(F.when(values[k] > F.lit(samples[k][-1]), values[k])).alias(f"v{k}") for k in more)).first()
     out = []
     for k, f in enumerate(names):
         p = known.get(key_of(f.name))
         hints = {"flag_like": p.flag_like, "structured_code_like": p.code_like, "enum_like": p.enum_like} if p else None
-        out.append({"key": f.name, "sample": row[f"f{k}"], "samples": row[f"s{k}"], "distinct_count": p.n_distinct if p else 0, "technical_hint": hints})
+        out.append({"key": f.name, "sample": row[f"f{k}"], "samples": samples[k], "distinct_count": p.n_distinct if p else 0, "technical_hint": hints})
     return out
 
 

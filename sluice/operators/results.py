@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,18 @@ def capped(df: DataFrame, rows: int) -> DataFrame:
     return first.withColumn(PLACE, F.row_number().over(Window.orderBy(PLACE)))
 
 
+def head(df: DataFrame, rows: int, seen: Observation) -> DataFrame:
+    """The first rows of each task, ``rows`` at most, with their place; seen gets ``n``, the number of all rows, from the same
+    read of the table."""
+    return df.observe(seen, F.count("*").alias("n")).withColumn(PLACE, F.monotonically_increasing_id()).where(F.col(PLACE).bitwiseAND((1 << 33) - 1) < rows)
+
+
+def first_of(head: DataFrame, rows: int) -> DataFrame:
+    """capped() of a table, from its head()."""
+    first = head.orderBy(PLACE).limit(rows)
+    return first.withColumn(PLACE, F.row_number().over(Window.orderBy(PLACE)))
+
+
 def bounded(df: DataFrame, most: int, lenient_first: bool = True) -> DataFrame:
     """The longest prefix by PLACE whose JSON array fits into ``most`` bytes; with lenient_first the first row is
     measured alone, without the brackets. Only rows that a cap let through come here. result_bytes: up to each row."""

@@ -1,20 +1,24 @@
-"""INSERT, UPDATE, DELETE and MERGE on tables that are folders of Parquet: by rewriting a table into a new version."""
+"""Written statements: what Spark's parser makes of them, as changes of DataFrames, and the versions of tables they make."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass, field
 
 from py4j.java_gateway import JavaObject
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.results import quoted
+from sluice import storage
+from sluice.operators import changes
+from sluice.operators.changes import ACTION, OLD, STAYS, Change, Clause, Keep
+from sluice.operators.results import PLACE, quoted
 from sluice.plans.guard import GuardError
 
-MATCHED, SOURCE, ROW, TIMES, STAYS = "__matched", "__source", "__row", "__times", "__stays"
+#: Where a version's rows are, and the rows that a statement touched, in the folder of its run.
+NOW, TOUCHED = "now", "touched"
 
 
 def frame(spark: SparkSession, plan: JavaObject) -> DataFrame:
@@ -30,27 +34,6 @@ def kind_of(node: JavaObject) -> str:
     return node.getClass().getSimpleName()
 
 
-@dataclass
-class Change:
-    """A statement, ready to run: the table's name, and the rows that it looks at, with the table's columns as they become,
-    whether the statement touches a row (MATCHED), and whether the row is in the new version (STAYS)."""
-
-    table: str
-    columns: list[str]
-    taken: DataFrame
-    append: bool = False
-
-    @property
-    def rows(self) -> DataFrame:
-        """The table's new rows; those that are added, where it only grows."""
-        return self.taken.where(STAYS).select(*map(quoted, self.columns))
-
-    @property
-    def affected(self) -> DataFrame:
-        """One row: how many rows the statement touches."""
-        return self.taken.agg(F.coalesce(F.count_if(MATCHED), F.lit(0)).alias("rows_affected"))
-
-
 def named(node: JavaObject) -> tuple[str, str | None]:
     """(table, alias) of a statement's target."""
     alias = None
@@ -75,83 +58,51 @@ def insert(spark: SparkSession, node: JavaObject) -> Change:
     columns = items(node.userSpecifiedCols()) or target.columns
     if len(columns) != len(new.columns):
         raise GuardError(f"INSERT names {len(columns)} columns and gives {len(new.columns)}.")
-    by_name = dict(zip([c.lower() for c in columns], new.columns))
-    rows = new.select(*((F.col(quoted(by_name[f.name.lower()])) if f.name.lower() in by_name else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields))
-    return Change(table, target.columns, rows.withColumn(MATCHED, F.lit(True)).withColumn(STAYS, F.lit(True)), append=True)
+    return Change(table, target.columns, changes.insert(target, new, columns), append=True)
 
 
 def update(spark: SparkSession, node: JavaObject) -> Change:
     table, alias = named(node.table())
     target = spark.table(table).alias(alias or table)
-    condition = F.expr(text_of(node.condition().get())) if node.condition().isDefined() else F.lit(True)
-    new = {k.lower(): v for k, v in assignments(node.assignments()).items()}
-    hit = F.coalesce(condition, F.lit(False))
+    new = {k.lower(): F.expr(v) for k, v in assignments(node.assignments()).items()}
     if unknown := set(new) - {c.lower() for c in target.columns}:
         raise GuardError(f"{table} has no column {', '.join(sorted(unknown))}.")
-    rows = target.select(hit.alias(MATCHED), F.lit(True).alias(STAYS), *(F.when(hit, F.expr(new[f.name.lower()]).cast(f.dataType)).otherwise(F.col(quoted(f.name))).alias(f.name) if f.name.lower() in new else F.col(quoted(f.name)) for f in target.schema.fields))
-    return Change(table, target.columns, rows)
+    condition = F.expr(text_of(node.condition().get())) if node.condition().isDefined() else F.lit(True)
+    return Change(table, target.columns, changes.update(target, condition, new))
 
 
 def delete(spark: SparkSession, node: JavaObject) -> Change:
     table, alias = named(node.table())
     target = spark.table(table).alias(alias or table)
-    hit = F.coalesce(F.expr(text_of(node.condition())), F.lit(False))
-    return Change(table, target.columns, target.withColumn(MATCHED, hit).withColumn(STAYS, ~F.col(MATCHED)))
+    return Change(table, target.columns, changes.delete(target, F.expr(text_of(node.condition()))))
 
 
-def merge(spark: SparkSession, node: JavaObject) -> Change:
-    """One full outer join; which clause takes a row is a when() over both sides, in the clauses' order. A row of the
-    table that clauses would update or delete for several rows of the source fails the statement."""
+def merge(spark: SparkSession, node: JavaObject, keep: Keep) -> Change:
     table, alias = named(node.targetTable())
-    target, source = spark.table(table), node.sourceTable()
-    name = None
+    target, source, name = spark.table(table), node.sourceTable(), None
     if kind_of(source) == "SubqueryAlias":
         name, source = source.identifier().name(), source.child()
     elif kind_of(source) == "UnresolvedRelation":
         name = source.multipartIdentifier().last()
-    incoming = frame(spark, source).withColumn(SOURCE, F.lit(True)).alias(name or "source")
-    mine = target.withColumn(MATCHED, F.lit(True)).withColumn(ROW, F.monotonically_increasing_id()).alias(alias or table)
-    both = mine.join(incoming, F.expr(text_of(node.mergeCondition())), "full")
-    here, there = F.col(MATCHED).isNotNull(), F.col(SOURCE).isNotNull()
-
-    def clauses(seq: JavaObject, when: Column) -> list[tuple[Column, JavaObject]]:
-        return [(F.coalesce(when & F.expr(text_of(a.condition().get())), F.lit(False)) if a.condition().isDefined() else when, a) for a in items(seq)]
-
-    every = clauses(node.matchedActions(), here & there) + clauses(node.notMatchedActions(), ~here & there) + clauses(node.notMatchedBySourceActions(), here & ~there)
-    prefix = quoted(alias or table) + "."
-    step: Column | None = None
-    for k, (when, _) in enumerate(every):
-        step = F.when(when, k) if step is None else step.when(when, k)
-    taken = both.withColumn("__step", step if step is not None else F.lit(None))
-    if matched := items(node.matchedActions()):
-        # rows of the source alone are told apart too, or all would meet in one window
-        taken = taken.withColumn(ROW, F.coalesce(ROW, -1 - F.monotonically_increasing_id()))
-        taken = taken.withColumn(TIMES, F.count_if(F.col("__step") < len(matched)).over(Window.partitionBy(ROW)))
-        refusal = F.raise_error(F.lit("The MERGE statement attempted to UPDATE or DELETE the same row more than once."))
-        taken = taken.withColumn("__step", F.when(F.col(TIMES) > 1, refusal.cast("int")).otherwise(F.col("__step")))
-    out = []
-    for f in target.schema.fields:
-        value = F.when(F.lit(False), F.lit(None).cast(f.dataType))
-        for k, (_, action) in enumerate(every):
-            if kind_of(action).startswith("Delete"):
-                continue
-            star = "Star" in kind_of(action)
-            new = {} if star else {c.lower(): v for c, v in assignments(action.assignments()).items()}
-            inserts = kind_of(action).startswith("Insert")
-            if star:
-                text = f"{quoted(name or 'source')}.{quoted(f.name)}"
-            else:
-                text = new.get(f.name.lower(), "NULL" if inserts else prefix + quoted(f.name))
-            value = value.when(F.col("__step") == k, F.expr(text).cast(f.dataType))
-        out.append(value.when(here, F.expr(prefix + quoted(f.name))).alias(f.name))
-    dropped = [k for k, (_, a) in enumerate(every) if kind_of(a).startswith("Delete")]
-    stays = F.when(F.col("__step").isNull(), here).otherwise(~F.col("__step").isin(dropped) if dropped else F.lit(True))
-    return Change(table, target.columns, taken.select(F.col("__step").isNotNull().alias(MATCHED), stays.alias(STAYS), *out))
-
-
-def change(spark: SparkSession, node: JavaObject) -> Change:
-    makers = {"InsertIntoStatement": insert, "UpdateTable": update, "DeleteFromTable": delete, "MergeIntoTable": merge}
-    return makers[kind_of(node)](spark, node)
+
+    def clause(action: JavaObject) -> Clause:
+        kind = next(k for k in ("UPDATE", "DELETE", "INSERT") if kind_of(action).upper().startswith(k))
+        when: Column | None = F.expr(text_of(action.condition().get())) if action.condition().isDefined() else None
+        star = "Star" in kind_of(action)
+        values = None if star else {} if kind == "DELETE" else {k.lower(): F.expr(v) for k, v in assignments(action.assignments()).items()}
+        return Clause(kind, when, values)
+
+    on = text_of(node.mergeCondition())
+    keys = tuple(c for c in target.columns if re.search(rf"(?i)(?<!\w){re.escape(c)}(?!\w)", on))
+    clauses = ([clause(a) for a in items(seq)] for seq in (node.matchedActions(), node.notMatchedActions(), node.notMatchedBySourceActions()))
+    return Change(table, target.columns, changes.merge(target, keep(frame(spark, source)), F.expr(on), *clauses, (alias or table, name or "source"), keys))
+
+
+def change(spark: SparkSession, node: JavaObject, keep: Keep = lambda df: df) -> Change:
+    """keep: writes a MERGE's source out, so that it is evaluated once."""
+    if kind_of(node) == "MergeIntoTable":
+        return merge(spark, node, keep)
+    return {"InsertIntoStatement": insert, "UpdateTable": update, "DeleteFromTable": delete}[kind_of(node)](spark, node)
 
 
 class LostUpdate(RuntimeError):
@@ -163,8 +114,9 @@ class Store:
     """Where a target's tables live: the view of each reads its current version, which a write replaces as a whole.
 
     folder: for each table ``<table>/log/<n>.json`` names the paths of its version n. A version is made by one writer
-    alone, so of two that began at the same version the later fails; other sessions and later processes that are given
-    the folder see the newest version when they open the table, or refresh() it.
+    alone (see storage.take_place), so of two that began at the same version the later fails; other sessions and later
+    processes that are given the folder see the newest version once they refresh() it. An entry without content, as
+    a writer of another make may leave it, takes its place and changes nothing.
     """
 
     spark: SparkSession
@@ -172,10 +124,6 @@ class Store:
     paths: dict[str, list[str]] = field(default_factory=dict)
     versions: dict[str, int] = field(default_factory=dict)
 
-    def _file(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
     def open(self, name: str, path: str) -> None:
         """Shows the newest version of a table, or, before any write, what is at its path."""
         self.paths.setdefault(name.lower(), [path])
@@ -185,39 +133,60 @@ class Store:
     def refresh(self, name: str) -> None:
         if not self.folder:
             return
-        store, log = self._file(f"{name.lower()}/log")
-        found = sorted(f.getPath().getName() for f in store.listStatus(log)) if store.exists(log) else []
-        found = [f for f in found if f.endswith(".json")]
-        if found and int(found[-1].split(".")[0]) != self.versions.get(name.lower(), 0):
-            row = self.spark.read.schema("paths array<string>").json(f"{self.folder}/{name.lower()}/log/{found[-1]}").first()
-            self._show(name, row.paths, int(found[-1].split(".")[0]))
+        found = storage.places(self.spark, f"{self.folder}/{name.lower()}/log")
+        newest = int(found[-1].split(".")[0]) if found else 0
+        if newest == self.versions.get(name.lower(), 0):
+            return
+        for entry in reversed(found):
+            if int(entry.split(".")[0]) <= self.versions.get(name.lower(), 0):
+                break
+            row = self.spark.read.schema("paths array<string>").json(f"{self.folder}/{name.lower()}/log/{entry}").first()
+            if row and row.paths:
+                self._show(name, row.paths, newest)
+                return
+        self.versions[name.lower()] = newest
 
     def _show(self, name: str, paths: list[str], version: int) -> None:
         schema = self.spark.table(name).schema
         self.paths[name.lower()], self.versions[name.lower()] = paths, version
         self.spark.read.schema(schema).parquet(*paths).createOrReplaceTempView(name)
 
-    def apply(self, what: Change) -> int:
-        """Writes the new version and shows it; tells how many rows the statement touched. The statement runs once."""
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows of df, written out once."""
+        path = f"{self.folder}/sources/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def apply(self, what: Change, images: bool = False) -> tuple[int, DataFrame | None]:
+        """Writes the new version and shows it; tells how many rows the statement touched and, with images, these rows
+        as they were and became (see Change.images()). The statement runs once: a row that is in the new version and
+        was touched is written twice by the same task."""
         name = what.table.lower()
-        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        run = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         seen = Observation()
-        taken = what.taken.observe(seen, F.count_if(MATCHED).alias("rows_affected"))
-        Change(what.table, what.columns, taken, what.append).rows.write.parquet(path)
+        taken = what.taken.observe(seen, F.count(ACTION).alias("rows_affected"))
+        path = f"{run}/__part={NOW}" if images else run
+        if images:
+            parts = F.array_compact(F.array(F.when(F.col(STAYS), NOW), F.when(F.col(ACTION).isNotNull(), TOUCHED)))
+            both = taken.withColumn(PLACE, F.monotonically_increasing_id()).withColumn("__part", F.explode(parts))
+            both.drop(STAYS).withColumn(OLD, F.when(F.col("__part") == TOUCHED, F.col(OLD))).write.partitionBy("__part").parquet(run)
+            store, now = storage.files(self.spark, path)
+            store.mkdirs(now)
+        else:
+            Change(what.table, what.columns, taken, what.append).rows.write.parquet(run)
         known = self.paths.get(name, [])
         if what.append and not known:  # a table that isn't a folder is written out with its first rows
             base = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             self.spark.table(what.table).write.parquet(base)
             known = [base]
-        paths, version = [*known, path] if what.append else [path], self.versions.get(name, 0) + 1
-        store, entry = self._file(f"{name}/log/{version:09d}.json")
-        try:
-            out = store.create(entry, False)
-        except Py4JJavaError as error:
-            if store.exists(entry):
-                raise LostUpdate(f"{what.table} was changed by another writer; run the statement again.") from error
-            raise
-        out.write(json.dumps({"paths": paths}).encode())
-        out.close()
+        paths, version = [*known, path] if what.append else [path], (self.versions.get(name, 0) if what.version is None else what.version) + 1
+        if not storage.take_place(self.spark, f"{self.folder}/{name}/log/{version:09d}.json", json.dumps({"paths": paths})):
+            raise LostUpdate(f"{what.table} was changed by another writer; run the statement again.")
+        schema = what.taken.schema
         self._show(what.table, paths, version)
-        return seen.get["rows_affected"]
+        if not images:
+            return seen.get["rows_affected"], None
+        store, touched = storage.files(self.spark, f"{run}/__part={TOUCHED}")
+        store.mkdirs(touched)
+        rows = self.spark.read.schema(schema.add(PLACE, "long")).parquet(f"{run}/__part={TOUCHED}").withColumn(STAYS, F.lit(True))
+        return seen.get["rows_affected"], Change(what.table, what.columns, rows).images(PLACE)

@@ -43,7 +43,7 @@ def bare(sql: str) -> str:
 
 
 def reason_against(sql: Any, write: bool = False) -> str | None:
-    """Why the words of the text forbid it; None if they don't."""
+    """Why the words of the text forbid it; None if they don't. The reasons are fixed values, as texts that callers match."""
     if not isinstance(sql, str) or not sql.strip():
         return "SQL text is required."
     text = bare(sql).upper()

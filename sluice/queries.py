@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import storage
 from sluice.engine import Engine
 from sluice.functions import masks, text
-from sluice.operators import audit, classify, results
+from sluice.operators import asof, audit, classify, prefixes, range_join, reach, results, sketches
 from sluice.operators.mask import masked_frame
 from sluice.plans import policy
 from sluice.sources.registry import Registry, from_records
@@ -101,6 +102,12 @@ READS: dict[str, tuple[str, str | None]] = {
         "WITH rich AS (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20) SELECT c_custkey FROM rich ORDER BY c_custkey LIMIT 5",
     ),
     "top_with_ties": ("SELECT TOP 7 WITH TIES p_partkey, p_size AS s FROM part AS p ORDER BY p.p_size DESC", "SELECT p_partkey, p_size AS s FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 7"),
+    "top_percent": ("SELECT TOP 7.5 PERCENT c_custkey AS k, c_acctbal FROM customer AS c ORDER BY c.c_acctbal DESC, k", "SELECT k, c_acctbal FROM (SELECT c_custkey AS k, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r, count(*) OVER () AS n FROM customer) WHERE r <= ceil(n * 0.075)"),
+    "top_percent_ties": ("SELECT TOP (12) PERCENT WITH TIES p_partkey, p_size FROM part WHERE p_partkey > 3 ORDER BY p_size", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size) AS r, count(*) OVER () AS n FROM part WHERE p_partkey > 3) WHERE r <= ceil(n * 0.12)"),
+    "top_ties_by_alias": ("SELECT TOP 3 WITH TIES c_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey ORDER BY c DESC", "SELECT c_nationkey, c FROM (SELECT c_nationkey, count(*) AS c, rank() OVER (ORDER BY count(*) DESC) AS r FROM customer GROUP BY c_nationkey) WHERE r <= 3"),
+    "whole_division": ("SELECT p_partkey, p_size / 4 AS quarter, p_partkey / p_size AS times, p_retailprice / 4 AS price, CAST(7 / 2.0 AS DOUBLE) AS half, p_size + '10' AS more FROM part", "SELECT p_partkey, p_size // 4 AS quarter, p_partkey // p_size AS times, p_retailprice / 4 AS price, 3.5::DOUBLE AS half, p_size + 10 AS more FROM part"),
+    "text_columns_plus": ("SELECT c_custkey, c_name + c_mktsegment AS t, N'#' + upper(c_mktsegment) + '1' AS u FROM customer WITH (NOLOCK)", "SELECT c_custkey, c_name || c_mktsegment AS t, '#' || upper(c_mktsegment) || '1' AS u FROM customer"),
+    "converted": ("SELECT o_orderkey, CONVERT(VARCHAR(20), o_orderkey) AS k, STUFF(o_orderpriority, 1, 1, 'no. ') AS p, CAST(EOMONTH(o_orderdate, 2) AS NVARCHAR(10)) AS eom, DATEPART(weekday, o_orderdate) AS wd FROM orders", "SELECT o_orderkey, o_orderkey::VARCHAR AS k, 'no. ' || substr(o_orderpriority, 2) AS p, last_day(o_orderdate + INTERVAL 2 MONTH)::VARCHAR AS eom, dayofweek(o_orderdate) + 1 AS wd FROM orders"),
     "recursive_unmarked": ("WITH t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t"),
     "cross_apply": (
         "SELECT c_custkey, x.total FROM customer CROSS APPLY (SELECT sum(o_totalprice) AS total FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS x WHERE x.total > 0",
@@ -305,6 +312,66 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.windows(ask(spark, sf_dir, "SELECT user_id, ts FROM events"), 3600)
 
 
+def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of sessions over events, by what it said last of each; it stops after the files that are there."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    events = own.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    commands = events.select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("at"), F.lit("set").alias("op"), F.col("event_type").alias("value"), F.lit(3_600_000).cast("long").alias("ttl_ms"))
+    path = storage.fresh_path(spark, "sessions")
+    sessions.ttl_stream(commands).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    said = spark.read.parquet(f"{path}/out").groupBy(F.col("session").cast("long").alias("user_id")).agg(F.max(F.struct("last_seen", (~F.col("alive")).alias("over"), "ends_at")).alias("x"))
+    now = F.lit("2024-01-30 20:00:00").cast("timestamp")
+    return said.select("user_id", F.col("x.last_seen").cast("timestamp_ntz").alias("last_seen"), (F.col("x.ends_at") <= now).alias("expired"))
+
+
+# joins, prefixes, sketches and recursion as DataFrame functions
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events while an order is on its way, 8400 days after it was made and for some hours."""
+    events = ask(spark, sf_dir, "SELECT event_id, ts FROM events")
+    orders = ask(spark, sf_dir, "SELECT o_orderkey, o_orderdate + INTERVAL 8400 DAYS AS sent, o_orderdate + INTERVAL 8400 DAYS + make_interval(0, 0, 0, 0, 1 + o_orderkey % 12) AS came FROM orders")
+    return range_join.interval_join(events, orders, "ts", "sent", "came").select("event_id", "o_orderkey")
+
+
+def asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = ask(spark, sf_dir, "SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events")
+    orders = ask(spark, sf_dir, "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders")
+    return asof.asof_join(events, orders, ("user_id", "o_custkey"), ("ts", "o_orderdate"), ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last purchase before it, of all users: one key, which slices of time split."""
+    events = ask(spark, sf_dir, "SELECT event_id, 1 AS one, CAST(ts AS TIMESTAMP) AS ts FROM events")
+    bought = ask(spark, sf_dir, "SELECT event_id AS bought, 1 AS same, CAST(ts AS TIMESTAMP) AS since FROM events WHERE event_type = 'purchase'")
+    return asof.asof_join(events, bought, ("one", "same"), ("ts", "since"), ["bought"]).select("event_id", "bought")
+
+
+def bytes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first orders whose JSON fits into 200,000 bytes, of a sorted table of any size."""
+    rows = results.normalized(ask(spark, sf_dir, "SELECT o_orderkey AS k, o_orderstatus, o_orderpriority FROM orders"))
+    return prefixes.within_bytes(prefixes.placed(rows, F.col("k").cast("long")), 200_000).drop(results.PLACE)
+
+
+def sketch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts sold by return flag: sketches by day, added in two parts, the second of which has days of the first again."""
+    items = ask(spark, sf_dir, "SELECT l_returnflag, l_partkey, l_shipdate FROM lineitem")
+    held = sketches.DailySketches(spark, storage.fresh_path(spark, "sketches"), "l_partkey", ["l_returnflag"])
+    held.add(items.where("l_shipdate < '1998-01-01'"), "l_shipdate")
+    held.add(items, "l_shipdate")
+    exact = items.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    return held.counts().join(exact, "l_returnflag").select("l_returnflag", "exact", (F.abs(F.col("about") / F.col("exact") - 1) < 0.03).alias("close"))
+
+
+def reach_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that dear orders lead to from nation 3, an order being a link from its customer to one that its key names."""
+    links = ask(spark, sf_dir, "SELECT o_custkey AS a, o_orderkey * 7919 % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_totalprice > 350000")
+    start = ask(spark, sf_dir, "SELECT c_custkey AS node FROM customer WHERE c_nationkey = 3")
+    return reach.reach(links, start)
+
+
 # writes: the new version of the table, and how many rows the statement touches
 
 WRITES = {
@@ -324,9 +391,47 @@ WRITES = {
         "SELECT t.c_custkey, coalesce(s.name, t.c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer t LEFT JOIN (SELECT c_custkey * 2 AS k, c_name AS name FROM customer) s ON t.c_custkey = s.k WHERE s.k IS NULL OR c_nationkey <> 5"
         " UNION ALL SELECT k, name, NULL, NULL, NULL FROM (SELECT c_custkey * 2 AS k, c_name AS name FROM customer) WHERE k NOT IN (SELECT c_custkey FROM customer)",
     ),
+    # sources that repeat a key
+    "merge_repeats_insert": (
+        "MERGE INTO customer AS t USING orders AS s ON t.c_custkey = s.o_custkey + 1000 WHEN NOT MATCHED THEN INSERT (c_custkey, c_name) VALUES (s.o_custkey + 1000, s.o_orderpriority)",
+        "SELECT * FROM customer UNION ALL SELECT o_custkey + 1000, o_orderpriority, NULL, NULL, NULL FROM orders WHERE o_custkey + 1000 NOT IN (SELECT c_custkey FROM customer)",
+    ),
+    "merge_repeats_update": (
+        "MERGE INTO customer AS t USING (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) AS s ON t.c_custkey = s.k WHEN MATCHED AND s.n = 2 THEN UPDATE SET c_name = CAST(s.o AS STRING)",
+        "SELECT c_custkey, coalesce(o::VARCHAR, c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer LEFT JOIN (SELECT * FROM (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 2) ON k = c_custkey",
+    ),
+    "merge_repeats_by_source": (
+        "MERGE INTO customer AS t USING (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS s ON t.c_custkey = s.o_custkey WHEN NOT MATCHED BY SOURCE AND t.c_nationkey < 9 THEN DELETE WHEN NOT MATCHED BY SOURCE THEN UPDATE SET c_mktsegment = 'NONE'",
+        "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN k THEN c_mktsegment ELSE 'NONE' END AS c_mktsegment FROM (SELECT *, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS k FROM customer) WHERE k OR c_nationkey >= 9",
+    ),
+}
+
+
+#: Writes that return rows: what they return.
+RETURNED = {
+    "update_output": (
+        "UPDATE customer SET c_acctbal = c_acctbal + 1, c_mktsegment = 'VIP' OUTPUT deleted.c_custkey, deleted.c_mktsegment AS was, inserted.c_mktsegment AS now, inserted.c_acctbal AS balance WHERE c_nationkey = 3",
+        "SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment AS was, 'VIP' AS now, c_acctbal + 1 AS balance FROM customer WHERE c_nationkey = 3",
+    ),
+    "merge_output": (
+        "MERGE INTO nation AS t USING (SELECT s_nationkey AS k, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier UNION ALL SELECT 100, 1, 1 UNION ALL SELECT 100, 2, 1) AS s ON t.n_nationkey = s.k"
+        " WHEN MATCHED AND s.n = 1 AND s.k < 5 THEN DELETE WHEN MATCHED AND s.n = 1 THEN UPDATE SET n_name = CAST(s.s AS STRING) WHEN NOT MATCHED THEN INSERT (n_nationkey, n_name) VALUES (s.k, CAST(s.s AS STRING))"
+        " OUTPUT $action, deleted.n_name AS was, inserted.n_name AS now, coalesce(inserted.n_nationkey, deleted.n_nationkey) AS k",
+        "WITH s AS (SELECT s_nationkey AS k, min(s_suppkey) AS s FROM supplier GROUP BY 1) SELECT CASE WHEN k < 5 THEN 'DELETE' ELSE 'UPDATE' END AS \"$action\", n_name AS was, CASE WHEN k >= 5 THEN s::VARCHAR END AS now, k FROM s JOIN nation ON n_nationkey = k"
+        " UNION ALL SELECT 'INSERT', NULL, x::VARCHAR, 100 FROM (VALUES (1), (2)) v(x)",
+    ),
 }
 
 
+def returned_of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, sql)
+        wide = from_records([record("dev-main", "dev", write_enabled=True, max_result_bytes=2**31 - 1)])
+        return Engine(spark, wide, e.tables, env=e.env, scratch=storage.fresh_path(spark, "written")).write("dev-main", sql).frame
+
+    return run
+
+
 def write_of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir, sql).plan_write("dev-main", sql, {"n": 3}).rows
 
@@ -356,10 +461,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: lambda s, d, sql=sql: ask(s, d, sql) for name, (sql, _) in READS.items()}
     out |= {f"mask_{kind}": mask_of(column, "masked") for kind, (column, _) in MASKS.items()}
     out |= {name: write_of(sql) for name, (sql, _) in WRITES.items()}
+    out |= {name: returned_of(sql) for name, (sql, _) in RETURNED.items()}
     out |= {"masked_read_customer": masked_read(CUSTOMERS), "masked_read_orders": masked_read(ORDERS), "masked_events": masked_all}
     for f in (
         approx_distinct, param_filter, row_cap, pre_limit_count, byte_budget, byte_clamp_masked, cell_normalize, column_metadata, column_profile, column_forms, field_probe, inline_mask,
-        key_normalize, sql_sources, sql_hash_preview, target_summary, policy_matrix, diag_resolution, readiness, missing_connections, log_redaction, session_expiry, session_windows, rows_affected,
+        key_normalize, sql_sources, sql_hash_preview, target_summary, policy_matrix, diag_resolution, readiness, missing_connections, log_redaction, session_expiry, session_windows, session_ttl, rows_affected,
+        interval_join, asof_sliced, asof_events, bytes_prefix, sketch_counts, reach_customers,
     ):
         out[f.__name__] = f
     return out
@@ -370,7 +477,7 @@ def oracles() -> dict[str, str]:
     for kind, (column, token) in MASKS.items():
         key = text.key_of(column)
         out[f"mask_{kind}"] = f"SELECT c_nationkey, {token.format(h8=duck_digest(key, 'c_name', 8), h10=duck_digest(key, 'c_name', 10))} AS masked FROM customer"
-    out |= {name: duck for name, (_, duck) in WRITES.items()}
+    out |= {name: duck for name, (_, duck) in [*WRITES.items(), *RETURNED.items()]}
     iso = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
     sized = "SELECT *, row_number() OVER (ORDER BY id) AS rn, sum(b) OVER (ORDER BY id) AS total FROM (SELECT c_custkey AS id, {cols}, strlen(to_json({{{pack}}})) AS b FROM customer)"
     plain = "c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey, c_mktsegment"
@@ -411,6 +518,13 @@ def oracles() -> dict[str, str]:
         "diag_resolution": "SELECT * FROM (VALUES ('dev', 'dev-main', 1, 'dev-main'), ('prod', NULL, 2, 'prod-main, prod-two'), ('ops', NULL, 0, ''), ('lab', 'lab', 1, 'lab')) t(environment, target_id, candidates, candidate_ids)",
         "readiness": "SELECT 4 AS active_targets, 1 AS missing_connections, 1 AS blocked_targets, false AS ready",
         "missing_connections": "SELECT 'prod-two' AS target_id, 'DB_TWO' AS connection_env_var",
+        "session_ttl": "SELECT user_id, max(ts) AS last_seen, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 20:00:00' AS expired FROM events GROUP BY user_id",
+        "interval_join": "SELECT event_id, o_orderkey FROM events JOIN orders ON ts >= o_orderdate + INTERVAL 8400 DAYS AND ts < o_orderdate + INTERVAL 8400 DAYS + to_hours(1 + o_orderkey % 12)",
+        "asof_sliced": READS["join_asof"][1],
+        "asof_events": "SELECT event_id, (SELECT max_by(b.event_id, (b.ts, b.event_id)) FROM events b WHERE b.event_type = 'purchase' AND b.ts <= e.ts) AS bought FROM events e",
+        "bytes_prefix": "SELECT k, o_orderstatus, o_orderpriority, (total + rn + 1)::BIGINT AS result_bytes FROM (SELECT *, row_number() OVER w AS rn, sum(b) OVER w AS total FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS k, o_orderstatus, o_orderpriority, strlen(to_json({k: o_orderkey::VARCHAR, o_orderstatus: o_orderstatus, o_orderpriority: o_orderpriority})) AS b FROM orders) WINDOW w AS (ORDER BY o_orderkey)) WHERE total + rn + 1 <= 200000",
+        "sketch_counts": "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag",
+        "reach_customers": "WITH RECURSIVE links AS (SELECT DISTINCT o_custkey AS a, o_orderkey * 7919 % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_totalprice > 350000), r AS (SELECT c_custkey AS node, 0 AS hops FROM customer WHERE c_nationkey = 3 UNION SELECT b, hops + 1 FROM r JOIN links ON a = node WHERE hops < 40) SELECT node, min(hops) AS hops FROM r GROUP BY node",
         "log_redaction": "SELECT 'db_read' AS tool, 'target-' || (user_id % 5) AS target_id, substr(sha256('SELECT ' || value), 1, 16) AS sql_hash, NULL::VARCHAR AS sql_preview, 2 AS parameter_count, 'a,b' AS parameter_keys, user_id AS max_rows FROM events",
         "session_expiry": "SELECT user_id, max(ts) AS last_seen, count(*) AS n_events, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 20:00:00' AS expired FROM events GROUP BY user_id",
         "session_windows": "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What the fields of a record may hold; the texts of problems are fixed values too.
 MODES = ("off", "direct", "deterministic", "hybrid", "llm-strict")
 PROVIDERS = ("none", "lmstudio", "ollama")
 STATUSES = ("active", "disabled")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from sluice import queries
+from sluice import queries, storage
 from sluice.engine import Engine, ToolError
 from sluice.operators import audit
 from sluice.operators import writes
@@ -121,12 +121,14 @@ def test_writes_last_and_none_is_lost(engine, spark):
     assert count(later) == 1 and later.write("dev-main", "UPDATE customer SET c_name = 'new' WHERE c_custkey = 3").rows_affected == 1
     # a plan that was made before another writer's commit is refused, whatever it would have written
     stale = other.plan_write("dev-main", "DELETE FROM customer WHERE c_custkey = 4")
+    assert later.write("dev-main", "UPDATE customer SET c_name = 'new' WHERE c_custkey = 3").rows_affected == 1
+    assert count(other) == 2  # reads are fresh
     with pytest.raises(writes.LostUpdate):
         other._sessions["dev-main"][1].apply(stale)
     assert other.write("dev-main", "DELETE FROM customer WHERE c_custkey = 4").rows_affected == 1 and count(other) == 2
 
 
-@pytest.mark.parametrize("sql", ["SELECT TOP 5 PERCENT c_custkey FROM customer", "SELECT DISTINCT TOP 2 WITH TIES c_name FROM customer ORDER BY c_name"])
+@pytest.mark.parametrize("sql", ["SELECT c_custkey FROM (SELECT TOP 5 PERCENT c_custkey FROM customer ORDER BY c_name) x", "SELECT TOP 5 PERCENT c_custkey FROM customer UNION ALL SELECT 1", "SELECT TOP 101 PERCENT c_custkey FROM customer", "SELECT c_name FROM customer WHERE c_name LIKE '[AB]%'", "SELECT (c_custkey + 1) / 2 AS x FROM customer", "SELECT concat(c_name, '1') / 2 + '1' FROM customer", "SELECT CONVERT(varchar(10), c_custkey, 1) FROM customer", "SELECT DISTINCT TOP 2 WITH TIES c_name FROM customer ORDER BY c_name"])
 def test_forms_that_are_refused(engine, sql):
     with pytest.raises(ToolError) as error:
         engine.query("dev-main", sql)
@@ -135,4 +137,86 @@ def test_forms_that_are_refused(engine, sql):
 
 def test_spellings_leave_literals_alone(engine):
     row = engine.query("dev-main", "SELECT 'SELECT TOP 1 x + LEN(' + 'CROSS APPLY (' AS t, DATE'2024-01-31' + 1 AS d, DATEDIFF(year, '2023-12-31', '2024-01-01') AS y, DATEDIFF(week, DATE'2024-01-06', DATE'2024-01-07') AS w").first()
+    more = engine.query("dev-main", "SELECT 1 + '2' AS a, 7/2 AS b, -7/2 AS c, 7/2. AS d, 'x' + 'y' AS e, '1' + '2' AS f, c_custkey + '1' AS g, c_custkey / 2 AS h, c_name + N'!' AS i FROM customer WHERE c_custkey = 5").first()
+    assert (more.a, more.b, more.c, float(more.d), more.e, more.f, more.g, more.h, more.i) == (3, 3, -3, 3.5, "xy", "12", 6, 2, "Customer#000000005!")
     assert (row.t, str(row.d), row.y, row.w) == ("SELECT TOP 1 x + LEN(CROSS APPLY (", "2024-02-01", 1, 1)
+
+
+BOTH = [(1, "x"), (2, "y"), (3, "z")]
+MERGES = {
+    "WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)": [*BOTH, (4, "n"), (4, "m")],
+    "WHEN MATCHED AND s.n > 5 THEN UPDATE SET v = s.v": BOTH,
+    "WHEN MATCHED AND s.n > 1 THEN UPDATE SET v = s.v": [(1, "q"), (2, "y"), (3, "z")],
+    "WHEN MATCHED AND s.n > 1 THEN DELETE": [(2, "y"), (3, "z")],
+    "WHEN NOT MATCHED BY SOURCE THEN DELETE": [(1, "x")],
+    "WHEN NOT MATCHED BY SOURCE AND t.k = 2 THEN UPDATE SET v = 'gone'": [(1, "x"), (2, "gone"), (3, "z")],
+    "WHEN MATCHED AND s.n = 2 THEN UPDATE SET v = s.v WHEN NOT MATCHED AND s.n = 9 THEN INSERT (v) VALUES (s.v) WHEN NOT MATCHED BY SOURCE AND t.k = 3 THEN DELETE": [(1, "q"), (2, "y"), (None, "n")],
+    "WHEN MATCHED AND s.n = 1 THEN DELETE WHEN MATCHED AND s.n = 1 THEN UPDATE SET v = 'never'": [(2, "y"), (3, "z")],
+    "WHEN NOT MATCHED THEN INSERT *": [*BOTH, (4, "n"), (4, "m")],
+}
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    spark.createDataFrame(BOTH, "k int, v string").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(1, "p", 1), (1, "q", 2), (4, "n", 9), (4, "m", 8), (None, "o", 9)], "k int, v string, n int").where("k is not null").write.parquet(str(tmp_path / "s"))
+    e = Engine(spark, registry.from_records([queries.record("dev-main", "dev", write_enabled=True)]), {"dev-main": {n: str(tmp_path / n) for n in "ts"}}, env={"DB_MAIN": "x"}, scratch=str(tmp_path / "w"))
+    yield e
+    e.close()
+
+
+def rows_of(e, sql="SELECT * FROM t"):
+    return sorted(map(tuple, e.query("dev-main", sql).collect()), key=str)
+
+
+@pytest.mark.parametrize("clauses", MERGES)
+@pytest.mark.parametrize("on", ["t.k = s.k", "t.k <= s.k AND t.k >= s.k"])
+def test_merge_with_repeats_in_the_source(small, clauses, on):
+    small.write("dev-main", f"MERGE INTO t USING s ON {on} {clauses}")
+    assert rows_of(small) == sorted(MERGES[clauses], key=str)
+
+
+def test_rows_that_a_write_touched(small):
+    r = small.write("dev-main", "UPDATE t SET v = upper(v) + '!' OUTPUT deleted.v AS was, inserted.*, inserted.k + @n AS more WHERE k > 1", {"n": 10})
+    assert (r.rows_affected, r.row_count, r.truncated) == (2, 2, False) and [c["name"] for c in r.columns] == ["was", "k", "v", "more"]
+    assert sorted((x["was"], x["k"], x["v"], x["more"]) for x in r.rows) == [("y", 2, "Y!", 12), ("z", 3, "Z!", 13)]
+    assert rows_of(small) == [(1, "x"), (2, "Y!"), (3, "Z!")]
+    r = small.write("dev-main", "INSERT INTO t (k, v) OUTPUT inserted.k, $action VALUES (7, 'a'), (8, 'OUTPUT inserted.k')")
+    assert sorted(map(str, r.rows)) == ["{'k': 7, '$action': 'INSERT'}", "{'k': 8, '$action': 'INSERT'}"] and len(rows_of(small)) == 5
+    r = small.write("dev-main", "DELETE FROM t OUTPUT deleted.k WHERE k >= 7")
+    assert sorted(x["k"] for x in r.rows) == [7, 8] and r.result_bytes == len(json.dumps(r.rows, separators=(",", ":")).encode())
+    r = small.write("dev-main", "MERGE INTO t USING s ON t.k = s.k WHEN MATCHED AND s.n = 2 THEN UPDATE SET v = s.v WHEN NOT MATCHED AND s.n = 9 THEN INSERT (k, v) VALUES (s.k, s.v) WHEN NOT MATCHED BY SOURCE AND t.k = 3 THEN DELETE OUTPUT $action, deleted.v AS was, inserted.v AS now;")
+    assert sorted((x["$action"], x["was"], x["now"]) for x in r.rows) == [("DELETE", "Z!", None), ("INSERT", None, "n"), ("UPDATE", "x", "q")] and r.rows_affected == 3
+    assert rows_of(small) == [(1, "q"), (2, "Y!"), (4, "n")]
+    r = small.write("dev-main", "DELETE FROM t OUTPUT deleted.k WHERE k = 99")
+    assert (r.rows, r.rows_affected, r.result_bytes) == ([], 0, 2) and len(rows_of(small)) == 3
+    for sql in ("DELETE FROM t OUTPUT deleted.k INTO s WHERE k = 1", "DELETE FROM t OUTPUT deleted.nothing WHERE k = 1", "DELETE FROM t OUTPUT reflect('java.lang.System', 'exit', deleted.k) WHERE k = 1"):
+        with pytest.raises(ToolError):
+            small.write("dev-main", sql)
+
+
+def test_a_statement_with_output_runs_once(small, spark, tmp_path):
+    """A value that differs at each evaluation is the same in the table and in what is returned."""
+    r = small.write("dev-main", "UPDATE t SET v = NEWID() OUTPUT inserted.k, inserted.v")
+    assert sorted((x["k"], x["v"]) for x in r.rows) == rows_of(small)
+    r = small.write("dev-main", "MERGE INTO t USING (SELECT k + 100 AS k, NEWID() AS v FROM s) AS s ON t.k = s.k OR s.v = 'x' WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v) OUTPUT inserted.v")
+    assert {x["v"] for x in r.rows} == {v for _, v in rows_of(small, "SELECT k, v FROM t WHERE k > 100")}
+
+
+def test_log_entries_of_dead_writers(small, spark, tmp_path):
+    """An entry without content takes its place; the table stays as the last whole one has it, and goes on."""
+    small.write("dev-main", "DELETE FROM t WHERE k = 1")
+    (tmp_path / "w/dev-main/t/log/000000002.json").write_text("")
+    again = Engine(spark, small.registry, small.tables, env=small.env, scratch=small.scratch)
+    assert rows_of(again) == rows_of(small) == BOTH[1:]
+    again.write("dev-main", "DELETE FROM t WHERE k = 2")
+    assert rows_of(again) == rows_of(small) == BOTH[2:]
+    assert not list((tmp_path / "w/dev-main/t/log").glob("*draft*"))
+
+
+def test_one_writer_takes_a_place(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        took = list(pool.map(lambda k: storage.take_place(spark, f"{tmp_path}/log/1.json", str(k)), range(16)))
+    assert sum(took) == 1 and (tmp_path / "log/1.json").read_text() == str(took.index(True)) and storage.places(spark, f"{tmp_path}/log") == ["1.json"]

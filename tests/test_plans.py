@@ -41,3 +41,13 @@ def test_partial_aggregation_before_the_shuffle(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.READS))
 def test_reads_stay_in_the_jvm(spark, sf, name):
     assert not re.search("Python|ArrowEval|CartesianProduct", plan(queries.queries()[name](spark, sf)))
+
+
+def test_interval_joins_are_hash_joins(spark, sf):
+    assert not re.search("NestedLoop|Cartesian", plan(queries.queries()["interval_join"](spark, sf)))
+
+
+def test_a_merge_shuffles_only_pairs(spark, sf):
+    """With a small source the table isn't shuffled: the window is over the rows that match, by the key of the join."""
+    text = plan(queries.queries()["merge_repeats_update"](spark, sf))
+    assert text.count("row_number() windowspecdefinition") == 2 and "FullOuter" not in text
