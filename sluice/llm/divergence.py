@@ -27,7 +27,7 @@ CELLS, FEWEST, MOST = 8, 16, 26
 #: Cells that are merged together.
 BLOCK = 1 << 14
 #: Bytes of text that are worked on together, at most (but for a longer text).
-SLICE = 1 << 24
+SLICE = 1 << 23
 #: What a byte becomes: a-z for A-Z and itself, other bytes of terms themselves, a blank for all that parts terms.
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -188,7 +188,7 @@ def exact_counts(docs: DataFrame, possible: np.ndarray, least: int) -> DataFrame
     packed = columns(docs).mapInArrow(count, "lang binary, term binary, df long, sources array<binary>, ns array<long>").repartition("lang", "term")
     sums = packed.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, b: a + b)).alias("all")).where((F.col("df") >= least) | (F.col("term") == F.lit(b""))).drop("df")
     each = packed.select("lang", "term", F.explode(F.arrays_zip("sources", "ns")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"))
-    return each.join(sums.hint("shuffle_hash"), ["lang", "term"]).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "all")
+    return each.join(sums, ["lang", "term"]).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "all")
 
 
 def share(count: str, total: str, kept: str) -> Column:
