@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.storage import cut, fresh_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, within one machine alone, one of our own
-    where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else ""
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-sluice-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of our own in the shared folder, with its file system's scheme."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder, so that later jobs neither recompute it nor lose it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["components", "cut", "forest", "fresh_path", "partitions", "shared_dir", "words"]
 
 
 def partitions(spark: SparkSession) -> int:
