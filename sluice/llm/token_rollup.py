@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.storage import places, take_place
+
 KEYS = ["source", "lang", "version"]
 MEASURES = ["n_docs", "n_tokens"]
 RECORD = "doc_id long, version string, present boolean, source string, lang string, n_tokens long"
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long, batch string"
 #: Folders that a batch's records are dealt into by doc_id; a commit reads those that its documents are in.
 BUCKETS = 64
+#: A commit of up to so many documents looks them up by doc_id within the buckets, which are sorted by it.
+FEW = 1000
 #: Batches after which a commit folds all into one.
 FOLD = 24
 
@@ -25,24 +29,20 @@ class TokenLedger:
     """Token counts of documents, and their totals, in a folder of Parquet that batches are committed to.
 
     ``record/<batch>`` holds what a batch says of each of its documents, dealt into buckets by doc_id; ``delta/<batch>``
-    what it adds to the totals, with a sign; ``log/<place>.json`` appears last, is made by one writer alone, and gives the
-    batch's place in the order. A document's newest record counts. Only logged batches count, so one that a lost driver
-    left half done is written anew, and one that was committed changes nothing when it comes again. A commit reads the
-    buckets of its own documents and writes its own records; every FOLD batches all are folded into one.
+    what it adds to the totals, with a sign; ``log/<place>.json`` appears last, as a whole and by one writer alone (see
+    storage.take_place), and gives the batch's place in the order. A document's newest record counts. Only logged batches
+    count, so one that a lost driver left half done is written anew, and one that was committed changes nothing when it
+    comes again. A commit reads the buckets of its own documents (of a small one only the row groups that may have them)
+    and writes its own records; every FOLD batches all are folded into one, in a folder with a name of its own, so that
+    two that fold at a time don't touch each other's.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
     def _log(self) -> tuple[int, list[dict]]:
         """The next free place, and the committed batches in order, from the last fold on; a few bytes for each batch."""
-        store, folder = self._file("log")
-        names = sorted(f.getPath().getName() for f in store.listStatus(folder)) if store.exists(folder) else []
-        names = [n for n in names if n.endswith(".json")]
+        names = places(self.spark, f"{self.path}/log")
         if not names:
             return 0, []
         schema = "place long, batch string, folded array<string>"
@@ -53,16 +53,7 @@ class TokenLedger:
 
     def _enter(self, place: int, batch: str, folded: list[str] | None = None) -> bool:
         """Takes a place in the log; False if another writer took it."""
-        store, path = self._file(f"log/{place:09d}.json")
-        try:
-            out = store.create(path, False)
-        except Py4JJavaError as error:
-            if store.exists(path):
-                return False
-            raise error
-        out.write(json.dumps({"place": place, "batch": batch, "folded": folded}).encode())
-        out.close()
-        return True
+        return take_place(self.spark, f"{self.path}/log/{place:09d}.json", json.dumps({"place": place, "batch": batch, "folded": folded}))
 
     def _newest(self, log: list[dict], of: DataFrame | None = None) -> DataFrame:
         """(bucket, doc_id, version, record) with each document's newest record, gone ones too; of: only those documents."""
@@ -74,7 +65,9 @@ class TokenLedger:
             parts = self.spark.createDataFrame([], f"{RECORD}, bucket int, place int")
         if of is not None:
             own = [r.bucket for r in of.select("bucket").distinct().collect()]
-            parts = parts.where(F.col("bucket").isin(own)).join(of.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+            parts = parts.where(F.col("bucket").isin(own))
+            ids = [r.doc_id for r in of.select("doc_id").limit(FEW + 1).collect()]
+            parts = (parts.where(F.col("doc_id").isin(ids)) if len(ids) <= FEW else parts).join(of.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         return parts.groupBy("bucket", "doc_id", "version").agg(F.max_by(F.struct("present", "source", "lang", "n_tokens"), "place").alias("record"))
 
     def state(self) -> DataFrame:
@@ -123,13 +116,13 @@ class TokenLedger:
 
     def _write(self, rows: DataFrame, batch: str) -> None:
         # adaptive execution splits buckets that are large and joins those that are small
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/record/{batch}")
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/record/{batch}")
 
     def fold(self) -> bool:
         """Writes what all batches left as one, which takes their place; the names of theirs stay known. False if another
         writer committed meanwhile: nothing changed then."""
         place, log = self._log()
-        name, names = f"fold-{place}", [x for r in log for x in (r["folded"] or [r["batch"]])]
+        name, names = f"fold-{place}-{uuid.uuid4().hex}", [x for r in log for x in (r["folded"] or [r["batch"]])]
         newest = self._newest(log).where("record.present")
         self._write(newest.select("doc_id", "version", "record.present", "record.source", "record.lang", "record.n_tokens", "bucket"), name)
         self.totals().withColumn("batch", F.lit(name)).write.mode("overwrite").parquet(f"{self.path}/delta/{name}")
