@@ -20,6 +20,8 @@ SAMPLE = 8192
 #: Cells of one codebook, at most; the grid has the square of it.
 MOST_CELLS = 1024
 CELLS = MOST_CELLS**2
+#: Vectors that are compared with others at a time.
+SIDE = 512
 #: Vectors of one label that a cell is meant to hold: comparing them costs about what taking one more row there does.
 CELL = 400
 
@@ -251,14 +253,16 @@ def linked(classes: DataFrame, rows: int, width: int, cosine: float, recall: flo
             if left == lo or hi - lo < 2:
                 continue
             inner = kind[hi - 1] != RIGHT and not (again and lo == 0)
-            for y in range(lo if inner else left, hi, 4096):
-                i, j = np.nonzero(unit[lo:left] @ unit[y : min(y + 4096, hi)].T >= cosine)
-                i, j = i + lo, j + y
-                ok = (i < j) & (label[i] == label[j])
-                i, j = i[ok], j[ok]
-                if len(i):
-                    found_a.append(i)
-                    found_b.append(j)
+            # a product is of SIDE by 4096 at most, however large the cell's blocks are
+            for x in range(lo, left, SIDE):
+                for y in range(x if inner else left, hi, 4096):
+                    i, j = np.nonzero(unit[x : min(x + SIDE, left)] @ unit[y : min(y + 4096, hi)].T >= cosine)
+                    i, j = i + x, j + y
+                    ok = (i < j) & (label[i] == label[j])
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        found_a.append(i)
+                        found_b.append(j)
         if found_a:
             i, j = np.concatenate(found_a), np.concatenate(found_b)
             np.add.at(n, i, size[j])
