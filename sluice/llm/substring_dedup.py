@@ -20,6 +20,8 @@ PIECE = 3
 CHUNK = 8 << 20
 #: Bytes of packed strings that a bucket is meant to get, at most.
 BUCKET = 12 << 20
+#: Chunks, and buckets, that a task is meant to get.
+GROUPS = 4
 #: One in so many documents tells which minimisers are hot. It decides where windows are compared, not what is found.
 SHARE = 64
 
@@ -287,16 +289,18 @@ def substring_dedup(docs: DataFrame, width: int = 13, piece_bytes: int = CHUNK)
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     tasks = partitions(spark)
     chunks, buckets = max(2 * tasks, -(-size // piece_bytes)), max(tasks, -(-3 * size // BUCKET))
+    # tasks of a few chunks and buckets each, so that they don't grow with the input
+    at_chunks, at_buckets = max(tasks, -(-chunks // GROUPS)), max(tasks, -(-buckets // GROUPS))
     hot = hot_minimisers(rows, width)
     # dealt by chunk alone, which serves the count, both groupings and the way back: texts are shuffled once
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk").groupBy("chunk", "doc_id", "text").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(at_chunks, "chunk").groupBy("chunk", "doc_id", "text").agg(F.count("*").alias("copies"))
     sent = rows.groupBy("chunk").applyInArrow(lambda table: send(table, width, buckets, hot), "bucket long, chunk long, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(lambda table: judge(table, width), "chunk long, blob binary")
+    told = sent.repartition(at_buckets, "bucket").groupBy("bucket").applyInArrow(lambda table: judge(table, width), "chunk long, blob binary")
     schema = "doc_id long, n_words long, n_removed long, kept string, copies long"
 
     def finish(own: pa.Table, news: pa.Table) -> pa.Table:
         sizes, removed, kept = erase(own, news, width, hot)
         return pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string()), "copies": own.column("copies")})
 
-    found = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    found = rows.groupBy("chunk").cogroup(told.repartition(at_chunks, "chunk").groupBy("chunk")).applyInArrow(finish, schema)
     return found.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
