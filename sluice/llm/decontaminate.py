@@ -207,9 +207,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
     Different fillers of the item may have one filler. A document has an item if its alignments
     cover a share ``share`` of the item's tokens (covered), or ``run_tokens`` (or all) of them in a row (longest).
 
-    Items that differ in nothing but what fills their slots are judged as one class, so that many questions of one
-    template don't meet many documents of it pair by pair: item_id is the smallest id of the class, n_items how many ids
-    it has. exact: the slots of each window of an alignment are filled as in some item of the class, otherwise it is a
+    Items that differ in nothing but what fills their slots, or in windows that no document has, are judged as one class,
+    so that many questions of one template, or with one preamble, don't meet many documents of it pair by pair: item_id
+    is the smallest id of the class, n_items how many ids it has. exact: the slots of each window of an alignment are filled as in some item of the class, otherwise it is a
     question with other parameters.
 
     Null ids and texts have no windows; rows that repeat an id count together (an item_id with several texts counts for
@@ -219,10 +219,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
     windows = cut(item_windows(benchmark, width, least))
     count = windows.count()
     few = F.broadcast if count <= BROADCAST else lambda df: df
-    lead = F.min(F.struct("item_id", "text", "tokens", "fill"))
-    items = windows.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
-    leading = windows.groupBy("class", "width", "place", "hash").agg(lead.alias("lead")).select("class", "width", "place", "hash", "lead.tokens", "lead.fill")
-    fills = windows.select("class", "place", "hash", F.xxhash64("fill").alias("by"), F.lit(True).alias("same")).distinct()
     blocks = max(1, -(-count // block))
     found = None
     for k in range(blocks):
@@ -231,6 +227,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
             known[r.width] = np.sort(np.array(r.hashes, np.int64).view(np.uint64))
         part = hits(docs, known)
         found = part if found is None else found.union(part)
+    found = cut(found)
+    windows = cut(by_evidence(windows, found))
+    lead = F.min(F.struct("item_id", "text", "tokens", "fill"))
+    items = windows.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    leading = windows.groupBy("class", "width", "place", "hash").agg(lead.alias("lead")).select("class", "width", "place", "hash", "lead.tokens", "lead.fill")
+    fills = windows.select("class", "place", "hash", F.xxhash64("fill").alias("by"), F.lit(True).alias("same")).distinct()
     joined = found.withColumnRenamed("fill", "filled").join(few(leading), ["width", "hash"]).withColumn("by", F.xxhash64("filled")).join(few(fills), ["class", "place", "hash", "by"], "left")
     joined = joined.withColumn("shift", F.col("at") - F.col("place")).select("doc_id", "class", "shift", "place", "tokens", "width", "fill", "filled", "same").distinct()
     # an alignment has each of the item's windows once at most, however often rows repeat
@@ -240,6 +242,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, run_tokens: int
     return judged(aligned, run_tokens, share, agree).join(few(items), "class").select("doc_id", "item_id", "n_items", "covered", "longest", "agreement", "exact")
 
 
+def by_evidence(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows that documents have at all, with items in classes by these alone: items that differ only in windows
+    that no document has (in the same tokens, or in how many there are of them) can't be told apart by any."""
+    met = windows.join(found.select("width", "hash").distinct(), ["width", "hash"], "left_semi")
+    own = met.groupBy("class").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_set(F.struct("place", "width", "hash"))).alias("spots"), F.min(F.struct("item_id", "text")).alias("lead"))
+    # one item of a class tells which of its slots have the same filler; it is so in all
+    fills = met.join(own.select("class", F.col("lead.item_id").alias("item_id"), F.col("lead.text").alias("text")), ["class", "item_id", "text"], "left_semi")
+    fills = fills.groupBy("class").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("place", "width", "hash", "fill"))), lambda w: w["fill"])).alias("fills"))
+    alike = F.transform("fills", lambda x: F.concat(F.substring(x, 1, 1), F.array_position("fills", x).cast("string")))
+    evidence = own.join(fills, "class").select("class", F.sha2(F.to_json(F.struct("tokens", "spots", alike.alias("alike"))), 256).alias("evidence"))
+    return met.join(evidence, "class").drop("class").withColumnRenamed("evidence", "class")
+
+
 def judged(aligned: DataFrame, run_tokens: int, share: float, agree: float) -> DataFrame:
     """(doc_id, class, covered, longest, agreement, exact) from the alignments."""
 
