@@ -38,19 +38,34 @@ def joined_to(lines: DataFrame, keys: DataFrame, on: list[str], how: str = "inne
     return lines.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, on, how)
 
 
-def parsed(docs: DataFrame, depth: int, *more: str) -> DataFrame:
+def parsed(docs: DataFrame, depth: int, *more: str | Column, passage: int | None = None) -> DataFrame:
     """(doc_id, at, leaf, form, ...) of every line that isn't blank: its place, its leaf in the tree, which is its
-    number of words and the first ``depth`` of them, and the hash of all its words."""
+    number of words and the first ``depth`` of them, and the hash of all its words; with passage also ``own``, two hashes of
+    the words as they are, for lines of so many words or more."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.select("doc_id", "at", plain(F.col("line")).alias("line")).where("line <> ''")
+    if passage:
+        tidy = F.when(F.col("line").rlike(ODD), F.btrim(F.regexp_replace("line", r"\s+", " "))).otherwise(F.col("line"))
+        # a line of so many words has so many characters at least
+        tidy = F.when(F.octet_length("line") >= 2 * passage - 1, tidy)
+        long = F.octet_length("tidy") - F.octet_length(F.replace("tidy", F.lit(" "))) + 1 >= passage
+        lines = lines.withColumn("tidy", tidy).withColumn("own", F.when(long, F.struct(F.xxhash64("tidy").alias("one"), F.xxhash64(F.lit("two"), "tidy").alias("two")))).drop("tidy")
+        more = (*more, "own")
+    lines = lines.withColumn("line", plain(F.col("line"))).where("line <> ''")
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     return lines.select("doc_id", "at", F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), *more)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_children: int = 8, similarity: float = 0.5) -> DataFrame:
-    """(doc_id, at, leaf, template) of the lines whose template recurs: it is in at least ``min_docs`` documents, and
-    not in a document with a smaller doc_id only here. See drop_recurring()."""
-    lines = cut(parsed(docs, depth))
+def repeated(passages: DataFrame) -> DataFrame:
+    """(doc_id, at) of those passages (doc_id, at, own) that a document with a smaller doc_id has too."""
+    lines = passages.select("doc_id", "at", "own.*")
+    copies = lines.select("one", "two", "doc_id").distinct().groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2").drop("n")
+    return joined_to(lines, copies, ["one", "two"]).where("doc_id <> first").select("doc_id", "at")
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_children: int = 8, similarity: float = 0.5, passage: int | None = 20) -> DataFrame:
+    """(doc_id, at) of the lines that recur in a document with a smaller doc_id: those whose template is in at least
+    ``min_docs`` documents, and those of ``passage`` words or more that any other has. See drop_recurring()."""
+    lines = cut(parsed(docs, depth, passage=passage))
     # a template is within a leaf, so only leaves in that many documents can have one that recurs
     leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     forms = cut(joined_to(parsed(docs, depth, "line"), leaves, ["leaf"], "left_semi").groupBy("leaf", "form").agg(F.split(F.min("line"), " ").alias("words")))
@@ -80,7 +95,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 3, max_chil
     )
     found = cut(joined_to(lines, templates, ["leaf", "form"]).select("doc_id", "at", "leaf", "template"))
     spread = found.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return joined_to(found, spread.where(F.col("n") >= min_docs), ["leaf", "template"]).where("doc_id <> first").select("doc_id", "at", "leaf", "template")
+    gone = joined_to(found, spread.where(F.col("n") >= min_docs), ["leaf", "template"]).where("doc_id <> first").select("doc_id", "at")
+    return gone.union(repeated(lines.where("own is not null"))) if passage else gone
 
 
 def by_blocks(places: DataFrame, name: str) -> DataFrame:
@@ -118,7 +134,9 @@ def drop_recurring(docs: DataFrame, **settings: float) -> DataFrame:
     of the leaf's different lines have there; if under the share ``similarity`` of its words stays fixed, or not over
     half of those after the first ``depth``, only the former. So lines that have but their beginning in common stay,
     however many fill a leaf. A template in at least ``min_docs`` documents recurs;
-    its lines stay in the document with the smallest doc_id alone, so that no text is lost as a whole.
+    its lines stay in the document with the smallest doc_id alone, so that no text is lost as a whole. A line of
+    ``passage`` words or more recurs from two documents on, if its words are the same (digits too, whatever the space
+    between); None leaves such lines to the templates, for tables whose near copies are dropped later, and would be emptied.
 
     Blank lines, lines of variable words only, and rows with a null doc_id or text stay as they are. Rows that
     repeat a doc_id count as one document and lose lines at the same places. n_chars, where there is one, isn't
@@ -140,11 +158,6 @@ def drop_passages(docs: DataFrame, least: int = 20) -> DataFrame:
     one document. Hashes of long lines alone are shuffled for the counts; each text is shuffled once.
     """
     gone = next(f"gone{k}" for k in range(len(docs.columns) + 1) if f"gone{k}" not in docs.columns)
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    # a line of so many words has so many characters at least
-    lines = lines.where(F.octet_length("line") >= 2 * least - 1).select("doc_id", "at", F.when(F.col("line").rlike(ODD), F.btrim(F.regexp_replace("line", r"\s+", " "))).otherwise(F.col("line")).alias("line"))
-    lines = lines.where(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1 >= least)
-    lines = cut(lines.select("doc_id", "at", F.xxhash64("line").alias("one"), F.xxhash64(F.lit("two"), "line").alias("two")))
-    copies = lines.select("one", "two", "doc_id").distinct().groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n >= 2").drop("n")
-    places = by_blocks(joined_to(lines, copies, ["one", "two"]).where("doc_id <> first"), gone).drop("n")
+    lines = cut(parsed(docs, 1, passage=least).where("own is not null").select("doc_id", "at", "own"))
+    places = by_blocks(repeated(lines), gone).drop("n")
     return docs.join(places, "doc_id", "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(without("text", gone))).select(docs.columns)

@@ -182,14 +182,22 @@ ORACLES: dict[str, str] = {
         , leaves AS (SELECT len(w) AS n, w[1:3] AS lead FROM parsed WHERE len(w) > 0 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 8)
         , forms AS (SELECT doc_id, pos, w, n, lead FROM parsed JOIN leaves ON len(w) = n AND w[1:3] = lead)
         , places AS (SELECT n, lead, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT DISTINCT n, lead, w FROM forms))
-        , several AS (SELECT n, lead, list(k) AS open FROM (SELECT n, lead, k FROM places WHERE k > 3 GROUP BY n, lead, k HAVING count(DISTINCT word) > 8) GROUP BY n, lead)
+        , words AS (SELECT n, lead, k, word, count(*) AS c FROM places WHERE k > 3 GROUP BY n, lead, k, word)
+        , several AS (
+            SELECT n, lead, map(list(k), list(major)) AS open
+            FROM (SELECT n, lead, k, CASE WHEN 2 * max(c) > sum(c) THEN arg_max(word, c) ELSE '' END AS major FROM words GROUP BY n, lead, k HAVING count(*) > 8) GROUP BY n, lead)
         , closed AS (
-            SELECT doc_id, pos, n, lead, w, CASE WHEN open IS NULL THEN w ELSE list_transform(w, lambda x, i: CASE WHEN list_contains(open, i) THEN '<*>' ELSE x END) END AS c
+            SELECT doc_id, pos, n, lead, w, CASE WHEN open IS NULL THEN w ELSE list_transform(w, lambda x, i: CASE WHEN open[i] IS NOT NULL AND open[i] <> x THEN '<*>' ELSE x END) END AS c
             FROM forms LEFT JOIN several USING (n, lead))
-        , counted AS (SELECT *, len(list_filter(c, lambda x: x <> '<*>')) AS fixed FROM closed)
-        , templates AS (SELECT doc_id, pos, n, lead, 2 * fixed >= n AS general, CASE WHEN 2 * fixed >= n THEN c ELSE w END AS template FROM counted WHERE fixed > 0)
+        , counted AS (SELECT *, len(list_filter(c, lambda x: x <> '<*>')) AS fixed, len(list_filter(c[4:], lambda x: x <> '<*>')) AS after FROM closed)
+        , told AS (SELECT *, 2 * fixed >= n AND (c = w OR 2 * after > n - 3) AS general FROM counted WHERE fixed > 0)
+        , templates AS (SELECT doc_id, pos, n, lead, general, CASE WHEN general THEN c ELSE w END AS template FROM told)
         , recurring AS (SELECT n, lead, general, template, min(doc_id) AS first FROM templates GROUP BY ALL HAVING count(DISTINCT doc_id) >= 8)
-        , gone AS (SELECT DISTINCT doc_id, pos FROM templates JOIN recurring USING (n, lead, general, template) WHERE doc_id <> first)
+        , long AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM lines)
+        , copies AS (SELECT w, min(doc_id) AS first FROM long WHERE len(w) >= 20 GROUP BY w HAVING count(DISTINCT doc_id) >= 2)
+        , gone AS (
+            SELECT doc_id, pos FROM templates JOIN recurring USING (n, lead, general, template) WHERE doc_id <> first
+            UNION SELECT doc_id, pos FROM long JOIN copies USING (w) WHERE doc_id <> first)
         , kept AS (
             SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, string_agg(line, chr(10) ORDER BY lines.pos) FILTER (gone.pos IS NULL) AS text
             FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)

@@ -73,7 +73,7 @@ def test_substrings_of_hot_minimisers(spark, monkeypatch):
 # line dedup
 
 
-def line_brute(rows, min_docs=8, depth=3, most=8, similarity=0.5):
+def line_brute(rows, min_docs=8, depth=3, most=8, similarity=0.5, passage=20):
     variable = re.compile(r"(?<![^ \t\n\x0b\f\r])(?=[^ \t\n\x0b\f\r]*(?:[0-9@]|://))[^ \t\n\x0b\f\r]+")
     lines = []
     for d, t in rows:
@@ -97,6 +97,15 @@ def line_brute(rows, min_docs=8, depth=3, most=8, similarity=0.5):
         for d, i in places if len(own) >= min_docs else []:
             if d != min(own):
                 gone[d].add(i)
+    long = defaultdict(list)
+    for d, t in rows:
+        for i, line in enumerate(t.split("\n") if d is not None and t is not None else []):
+            if passage and len(line.split()) >= passage:
+                long[tuple(line.split())].append((d, i))
+    for found in long.values():
+        for d, i in found:
+            if d != min(found)[0]:
+                gone[d].add(i)
     return sorted(((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if d is None or i not in gone[d])) for d, t in rows), key=str)
 
 
@@ -110,7 +119,12 @@ def line_rows():
         if k % 3 == 0:
             lines += ["12 34", f"the quick {random.choice('xyz')} fox jumps over"]
         rows.append((k, "\n".join(lines)))
-    return rows + [(90, None), (91, ""), (None, "Terms and conditions apply to all"), (92, "Terms and conditions apply to all"), (92, "Terms and conditions apply to all"), (93, "w " * 20_000), (94, "x" * 200_000)]
+    return rows + [(90, None), (91, ""), (None, "Terms and conditions apply to all"), (92, "Terms and conditions apply to all"), (92, "Terms and conditions apply to all"), (93, "w " * 20_000), (94, "x" * 200_000), *long_lines()]
+
+
+def long_lines():
+    passage = " ".join(f"word{chr(97 + k % 26)}" for k in range(60))
+    return [(101, f"a\n{passage} 5"), (102, f"b\n {passage}  5\nc\n{passage[:100]}"), (103, f"{passage} 6\n{passage[:100]}"), (103, f"{passage} 6\n{passage[:100]}"), (104, "1 " * 20), (105, "1 " * 20), (None, f"{passage} 5")]
 
 
 def test_lines(spark):
@@ -119,6 +133,7 @@ def test_lines(spark):
     out = line_dedup.drop_recurring(df)
     assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == line_brute(rows)
     assert sum("Terms and" in (t or "") for _, t in line_brute(rows)) == 2  # the first document's, and that without an id
+    assert line_brute(rows) != line_brute(rows, passage=None) == sorted(((r.doc_id, r.text) for r in line_dedup.drop_recurring(df, passage=None).collect()), key=str)
     counted = {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.deduplicated(df).collect()}
     assert {(90, 0, 0), (91, 1, 0), (None, 1, 0), (92, 1, 1)} <= counted
     assert line_dedup.drop_recurring(df.limit(0)).count() == 0
@@ -280,6 +295,18 @@ def test_items_of_one_template_are_one_class(spark):
     assert all(r.exact for r in found if r.doc_id < 50)
 
 
+def test_items_with_one_preamble_are_one_class(spark):
+    """Rows grow with documents plus items, where items are told apart only by what no document has."""
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    preamble = "read the following passage and then choose the one best answer"
+    bench = [(k, f"{preamble} {' '.join(word() for _ in range(6 + k % 2))}") for k in range(200)]
+    docs = [(k, f"{word()} {preamble} {word()} {word()}") for k in range(200)] + [(900, f"so {bench[7][1]}")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(found) <= 3 * len(docs) and sum(r.n_items for r in found if r.doc_id == 5) == 200
+    assert (900, 7, 1, 1.0) in {(r.doc_id, r.item_id, r.n_items, r.covered) for r in found}
+
+
 def test_leaks_of_the_tables(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*", (t or "").lower()))
@@ -559,3 +586,47 @@ def test_bpe_cases(spark, reference, monkeypatch):
     small = bpe.Bpe(PATH)
     for t in ("one two three four five six seven", "eight nine ten one two", "w" * 200):
         assert [x.tolist() for x in small.encode_all([t, t])] == [reference.encode(t, add_special_tokens=False).ids] * 2 and len(small.memo) + len(small.before) < 20
+
+
+CHANGE = "doc_id long, version string, op string, source string, lang string, n_tokens long"
+
+
+def test_a_writer_between_entry_and_content(spark, tmp_path, monkeypatch):
+    """A writer that lists the log while another enters sees that entry as a whole or not at all, and counts anew."""
+    first, second = (token_rollup.TokenLedger(spark, str(tmp_path / "l")) for _ in range(2))
+    rows = lambda n: spark.createDataFrame([(1, "v", "upsert", "a", "en", n)], CHANGE)
+    enter = token_rollup.take_place
+
+    def late(session, name, text):
+        if "b2" in text and not (tmp_path / "l/log/000000001.json").exists():  # b1 commits while b2 is about to
+            monkeypatch.setattr(token_rollup, "take_place", enter)
+            assert second.commit("b1", rows(2))
+        return enter(session, name, text)
+
+    assert first.commit("b0", rows(5))
+    monkeypatch.setattr(token_rollup, "take_place", late)
+    assert first.commit("b2", rows(9))
+    assert [r.n_tokens for r in first.totals().collect()] == [9] == [r.n_tokens for r in first.state().collect()]
+    # an entry without content, as another make of writer may leave it, takes its place and changes nothing
+    (tmp_path / "l/log/000000003.json").write_text("")
+    assert second.commit("b3", rows(4)) and [r.n_tokens for r in first.totals().collect()] == [4]
+    assert (tmp_path / "l/log/000000004.json").exists()
+
+
+def test_two_folds_and_one_that_died(spark, tmp_path, monkeypatch):
+    ledger = token_rollup.TokenLedger(spark, str(tmp_path / "l"))
+    for k in range(3):
+        ledger.commit(f"b{k}", spark.createDataFrame([(k, "v", "upsert", "a", "en", 5), (9, "v", "upsert", "b", "en", k)], CHANGE))
+    before, sums = set(ledger.state().collect()), set(ledger.totals().collect())
+    enter = token_rollup.take_place
+    # another writer folds and commits just before this one's entry
+    monkeypatch.setattr(token_rollup, "take_place", lambda *a: (monkeypatch.setattr(token_rollup, "take_place", enter), token_rollup.TokenLedger(spark, ledger.path).fold(), enter(*a))[-1])
+    assert ledger.fold() is False and set(ledger.state().collect()) == before and set(ledger.totals().collect()) == sums
+    # one that dies half way leaves what is committed alone
+    monkeypatch.setattr(token_rollup.TokenLedger, "totals", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ledger.fold()
+    monkeypatch.undo()
+    assert set(ledger.state().collect()) == before and set(ledger.totals().collect()) == sums
+    assert ledger.commit("more", spark.createDataFrame([(k, "v", "upsert", "c", "en", 1) for k in range(1500)], CHANGE))
+    assert {r.source: r.n_docs for r in ledger.totals().collect()} == {"c": 1500}
