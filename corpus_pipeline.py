@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs across them, but for the first document's; a document that loses
     all lines stays, empty. n_chars isn't counted anew."""
-    return line_dedup.drop_recurring(docs)
+    return line_dedup.drop_recurring(docs, passage=None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
