@@ -61,7 +61,7 @@ READS: dict[str, tuple[str, str | None]] = {
     "guarded_select": ("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal BETWEEN 0 AND 5000", None),
     "guarded_cte": (";WITH big AS (SELECT o_custkey, o_totalprice FROM dbo.orders WHERE o_totalprice > 300000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey;", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey"),
     "quoted_names": ("SELECT [c_custkey] AS [EXEC], \"c_name\" AS \"INTO\" FROM [dbo].[customer] WHERE c_name <> 'DROP TABLE -- x'", "SELECT c_custkey AS \"EXEC\", c_name AS \"INTO\" FROM customer WHERE c_name <> 'DROP TABLE -- x'"),
-    "values_scan": ("SELECT t.a, t.b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)", None),
+    "values_scan": ("SELECT c_custkey, t.b FROM customer JOIN (VALUES (1, 'x'), (2, 'y'), (7, 'z')) AS t(a, b) ON c_nationkey = t.a", None),
     "distinct_in_like_case": ("SELECT DISTINCT o_orderpriority, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'open' ELSE 'done' END AS state FROM orders WHERE o_orderpriority LIKE '%I%' AND o_custkey IS NOT NULL", None),
     "join_inner": ("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", None),
     "join_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000", None),
@@ -108,7 +108,10 @@ READS: dict[str, tuple[str, str | None]] = {
     "whole_division": ("SELECT p_partkey, p_size / 4 AS quarter, p_partkey / p_size AS times, p_retailprice / 4 AS price, CAST(7 / 2.0 AS DOUBLE) AS half, p_size + '10' AS more FROM part", "SELECT p_partkey, p_size // 4 AS quarter, p_partkey // p_size AS times, p_retailprice / 4 AS price, 3.5::DOUBLE AS half, p_size + 10 AS more FROM part"),
     "text_columns_plus": ("SELECT c_custkey, c_name + c_mktsegment AS t, N'#' + upper(c_mktsegment) + '1' AS u FROM customer WITH (NOLOCK)", "SELECT c_custkey, c_name || c_mktsegment AS t, '#' || upper(c_mktsegment) || '1' AS u FROM customer"),
     "converted": ("SELECT o_orderkey, CONVERT(VARCHAR(20), o_orderkey) AS k, STUFF(o_orderpriority, 1, 1, 'no. ') AS p, CAST(EOMONTH(o_orderdate, 2) AS NVARCHAR(10)) AS eom, DATEPART(weekday, o_orderdate) AS wd FROM orders", "SELECT o_orderkey, o_orderkey::VARCHAR AS k, 'no. ' || substr(o_orderpriority, 2) AS p, last_day(o_orderdate + INTERVAL 2 MONTH)::VARCHAR AS eom, dayofweek(o_orderdate) + 1 AS wd FROM orders"),
-    "recursive_unmarked": ("WITH t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t"),
+    "recursive_unmarked": (
+        "WITH t(k, n) AS (SELECT c_custkey, 0 FROM customer WHERE c_nationkey = 3 UNION ALL SELECT o_orderkey % 149, n + 1 FROM t JOIN orders ON o_custkey = k WHERE n < 2) SELECT DISTINCT k, n FROM t",
+        "WITH RECURSIVE t(k, n) AS (SELECT c_custkey, 0 FROM customer WHERE c_nationkey = 3 UNION ALL SELECT o_orderkey % 149, n + 1 FROM t JOIN orders ON o_custkey = k WHERE n < 2) SELECT DISTINCT k, n FROM t",
+    ),
     "cross_apply": (
         "SELECT c_custkey, x.total FROM customer CROSS APPLY (SELECT sum(o_totalprice) AS total FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS x WHERE x.total > 0",
         "SELECT o_custkey AS c_custkey, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY o_custkey",
@@ -136,7 +139,7 @@ READS: dict[str, tuple[str, str | None]] = {
     "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 9", None),
     "scalar_subquery": ("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)", None),
     "correlated_scalar": ("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.2 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
-    "recursive_cte": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", None),
+    "recursive_cte": ("WITH RECURSIVE t(k, n) AS (SELECT n_nationkey, 0 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT k + 7, n + 1 FROM t WHERE n < 5) SELECT k, n, n_name FROM t LEFT JOIN nation ON n_nationkey = k", None),
     "string_fns": ("SELECT c_custkey, LEN(c_name) AS n, SUBSTRING(c_name, 1, 4) AS head, CHARINDEX('#', c_name) AS at, REPLACE(c_name, '#', '-') AS dashed, UPPER(c_mktsegment) AS up, concat(c_name, '/', c_mktsegment) AS both, left(c_name, 3) AS l3 FROM customer", "SELECT c_custkey, length(c_name) AS n, substring(c_name, 1, 4) AS head, instr(c_name, '#') AS at, replace(c_name, '#', '-') AS dashed, upper(c_mktsegment) AS up, c_name || '/' || c_mktsegment AS both, left(c_name, 3) AS l3 FROM customer"),
     "date_fns": ("SELECT o_orderkey, DATEPART(year, o_orderdate) AS y, date_part('month', o_orderdate) AS m, datediff(day, o_orderdate, timestamp'2001-01-01 00:00:00') AS d, CAST(EOMONTH(o_orderdate) AS STRING) AS eom, date_format(dateadd(day, 10, o_orderdate), 'yyyy-MM-dd') AS later FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, datediff('day', o_orderdate, TIMESTAMP '2001-01-01 00:00:00') AS d, last_day(o_orderdate)::VARCHAR AS eom, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS later FROM orders"),
     "math_fns": ("SELECT p_partkey, abs(p_size - 25) AS a, round(p_retailprice, 1) AS r, ceiling(p_retailprice) AS c, floor(p_retailprice) AS f, power(p_size, 2) AS sq, p_size % 7 AS m FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, round(p_retailprice, 1) AS r, ceil(p_retailprice)::BIGINT AS c, floor(p_retailprice)::BIGINT AS f, power(p_size, 2) AS sq, p_size % 7 AS m FROM part"),
@@ -194,8 +197,11 @@ def cell_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = results.columns_of(ask(spark, sf_dir, "SELECT * FROM customer"))
-    return spark.createDataFrame([(c["name"], c["nullable"], c["type"]) for c in found], "name string, nullable boolean, type string")
+    """The columns of an answer, beside how many of its values are there."""
+    rows = ask(spark, sf_dir, "SELECT * FROM customer")
+    counts = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).unpivot([], rows.columns, "name", "n_values")
+    found = spark.createDataFrame([(c["name"], c["nullable"], c["type"]) for c in results.columns_of(rows)], "name string, nullable boolean, type string")
+    return found.join(counts, "name")
 
 
 # classification and masks
@@ -278,24 +284,45 @@ def sql_hash_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("c_custkey", text.sql_hash_column(F.col("q")).alias("hash"), text.sql_preview_column(F.col("q")).alias("preview"))
 
 
+def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry as a table, with a target for each customer."""
+    tools = ", ".join(map(repr, TOOLS))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "concat('T', c_custkey) AS target_id", "c_name AS display_name", "concat('e', c_custkey div 2) AS environment", "'spark' AS db_kind", "if(c_acctbal > 0, 'active', 'disabled') AS status",
+        "concat('DB_', c_nationkey) AS connection_env_var", "c_nationkey % 3 <> 0 AS read_enabled", "c_nationkey % 4 = 0 AS write_enabled", "c_nationkey % 2 = 0 AS anonymization_enabled", "'off' AS anonymization_mode",
+        "if(c_nationkey % 2 = 0, 'ollama', 'none') AS llm_provider", "'' AS llm_model", "100 AS max_rows", "1000 AS max_result_bytes", f"if(c_mktsegment = 'BUILDING', array('db_read'), array({tools})) AS allowed_tools",
+        "named_struct('runtime_status', CASE c_custkey % 10 WHEN 0 THEN 'vault_locked' WHEN 1 THEN 'Ready ' END, 'last_synced_at', CAST(NULL AS STRING), 'last_error', CAST(NULL AS STRING)) AS state",
+    )
+
+
+#: targets_of() in the other engine's SQL.
+TARGETS = f"""
+    WITH targets AS (
+        SELECT 'T' || c_custkey AS id, c_name AS display_name, 'e' || (c_custkey // 2) AS environment, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'disabled' END AS status, 'DB_' || c_nationkey AS connection,
+               c_nationkey % 3 <> 0 AS can_read, c_nationkey % 4 = 0 AS can_write, c_nationkey % 2 = 0 AS anon, CASE WHEN c_nationkey % 2 = 0 THEN 'ollama' ELSE 'none' END AS provider,
+               CASE WHEN c_mktsegment = 'BUILDING' THEN ['db_read'] ELSE {TOOLS!r} END AS tools, CASE c_custkey % 10 WHEN 0 THEN 'vault_locked' WHEN 1 THEN 'Ready ' END AS runtime FROM customer)
+"""
+BOUND = [f"DB_{k}" for k in range(14)]
+
+
 def target_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.summary(registry().frame(spark))
+    return policy.summary(targets_of(spark, sf_dir))
 
 
 def policy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.matrix(registry().frame(spark))
+    return policy.matrix(targets_of(spark, sf_dir))
 
 
 def diag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.routes(registry().frame(spark))
+    return policy.routes(targets_of(spark, sf_dir))
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.readiness(registry().frame(spark), ["DB_MAIN"])
+    return policy.readiness(targets_of(spark, sf_dir), BOUND)
 
 
 def missing_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.missing_connections(registry().frame(spark), {"DB_MAIN": "x", "DB_TWO": ""})
+    return policy.missing_connections(targets_of(spark, sf_dir), {name: "x" for name in BOUND} | {"DB_14": ""})
 
 
 def log_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +526,7 @@ def oracles() -> dict[str, str]:
         "byte_budget": prefix(plain, "rn = 1 AND b <= 4096 OR rn > 1 AND total + rn + 1 <= 4096"),
         "byte_clamp_masked": prefix(hidden, "total + rn + 1 <= 4096"),
         "cell_normalize": f"SELECT event_id::VARCHAR AS event_id, {iso.format('ts')} AS ts, user_id::VARCHAR AS user_id, value, base64(event_type::BLOB) AS raw, event_id || ',' || user_id AS ids, user_id::VARCHAR AS pair_a, {iso.format('ts')} AS pair_at FROM events",
-        "column_metadata": "SELECT * FROM (VALUES ('c_custkey', true, 'bigint'), ('c_name', true, 'string'), ('c_nationkey', true, 'int'), ('c_acctbal', true, 'double'), ('c_mktsegment', true, 'string')) t(name, nullable, type)",
+        "column_metadata": " UNION ALL ".join(f"SELECT '{c}' AS name, true AS nullable, '{kind}' AS type, count({c}) AS n_values FROM customer" for c, kind in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))),
         "column_profile": " UNION ALL ".join(f"SELECT '{k}' AS key, count({c}) AS n_values, least(count(DISTINCT {c}), 16) AS n_distinct FROM events" for k, c in (("tipo", "event_type"), ("user_id", "user_id"), ("value", "value"))),
         "column_forms": "SELECT * FROM (VALUES ('hostile', true, false, false), ('quality', true, false, false), ('codice_ordine', false, true, false), ('stato', false, false, true)) t(key, flag_like, code_like, enum_like)",
         "field_probe": " UNION ALL ".join(
@@ -515,9 +542,9 @@ def oracles() -> dict[str, str]:
         "key_normalize": "SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM (SELECT 'Customer' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '--' || c_name || '_' AS name FROM customer)",
         "sql_sources": "SELECT n_nationkey, 'dbo.t' || n_regionkey || '|users' AS scope FROM nation",
         "sql_hash_preview": "SELECT c_custkey, substr(sha256(q), 1, 16) AS hash, substr(trim(regexp_replace(q, '\\s+', ' ', 'g')), 1, 160) AS preview FROM (SELECT c_custkey, '  SELECT *   FROM t ' || repeat('x', 200) || c_name AS q FROM customer)",
-        "diag_resolution": "SELECT * FROM (VALUES ('dev', 'dev-main', 1, 'dev-main'), ('prod', NULL, 2, 'prod-main, prod-two'), ('ops', NULL, 0, ''), ('lab', 'lab', 1, 'lab')) t(environment, target_id, candidates, candidate_ids)",
-        "readiness": "SELECT 4 AS active_targets, 1 AS missing_connections, 1 AS blocked_targets, false AS ready",
-        "missing_connections": "SELECT 'prod-two' AS target_id, 'DB_TWO' AS connection_env_var",
+        "diag_resolution": TARGETS + "SELECT environment, CASE WHEN count(*) FILTER (status = 'active') = 1 THEN min(id) FILTER (status = 'active') END AS target_id, count(*) FILTER (status = 'active') AS candidates, coalesce(string_agg(id, ', ' ORDER BY id) FILTER (status = 'active'), '') AS candidate_ids FROM targets GROUP BY environment",
+        "readiness": TARGETS + f"SELECT count(*) AS active_targets, count(*) FILTER (connection NOT IN ({str(BOUND)[1:-1]})) AS missing_connections, count(*) FILTER (runtime = 'vault_locked') AS blocked_targets, false AS ready FROM targets WHERE status = 'active'",
+        "missing_connections": TARGETS + f"SELECT id AS target_id, connection AS connection_env_var FROM targets WHERE status = 'active' AND connection NOT IN ({str(BOUND)[1:-1]})",
         "session_ttl": "SELECT user_id, max(ts) AS last_seen, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 20:00:00' AS expired FROM events GROUP BY user_id",
         "interval_join": "SELECT event_id, o_orderkey FROM events JOIN orders ON ts >= o_orderdate + INTERVAL 8400 DAYS AND ts < o_orderdate + INTERVAL 8400 DAYS + to_hours(1 + o_orderkey % 12)",
         "asof_sliced": READS["join_asof"][1],
@@ -529,16 +556,10 @@ def oracles() -> dict[str, str]:
         "session_expiry": "SELECT user_id, max(ts) AS last_seen, count(*) AS n_events, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 20:00:00' AS expired FROM events GROUP BY user_id",
         "session_windows": "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
         "rows_affected": "SELECT count(*) AS rows_affected, 'insert_append' AS statement FROM orders WHERE o_totalprice > 450000 UNION ALL SELECT count(*), 'update_cow' FROM customer WHERE c_nationkey = 3 UNION ALL SELECT count(*), 'delete_cow' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000 UNION ALL SELECT count(*), 'merge_cow' FROM customer",
-        "target_summary": "SELECT * FROM (VALUES "
-        + ", ".join(
-            f"('{t.target_id}', '{t.display_name}', '{t.environment}', 'spark', '{t.status}', {repr(t.runtime_status) if t.runtime_status else 'NULL'}, {t.read_enabled}, {t.write_enabled}, {t.anonymization_enabled}, '{t.llm_provider}', '{t.llm_model}')" for t in registry().list()
-        )
-        + ") t(target_id, display_name, environment, db_kind, status, runtime_status, read_enabled, write_enabled, anonymization_enabled, llm_provider, llm_model)",
+        "target_summary": TARGETS + "SELECT id AS target_id, display_name, environment, 'spark' AS db_kind, status, runtime AS runtime_status, can_read AS read_enabled, can_write AS write_enabled, anon AS anonymization_enabled, provider AS llm_provider, '' AS llm_model FROM targets",
     }
     # the matrix from the rules, as SQL over the registry's rows
-    rows = ", ".join(f"('{t.target_id}', '{t.status}', {list(t.allowed_tools)!r}, {t.read_enabled}, {t.write_enabled}, {t.anonymization_enabled})" for t in registry().list())
-    out["policy_matrix"] = f"""
-        WITH targets(id, status, tools, can_read, can_write, anon) AS (VALUES {rows})
+    out["policy_matrix"] = f"""{TARGETS}
         , reasons AS (
             SELECT id, tool, anon, CASE WHEN status <> 'active' THEN 'Target "' || id || '" is disabled.'
                 WHEN NOT list_contains(tools, tool) THEN 'Tool "' || tool || '" is not allowed for target "' || id || '".'
