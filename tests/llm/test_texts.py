@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -81,17 +81,24 @@ def line_brute(rows, min_docs=8, depth=3, most=8, similarity=0.5, passage=20):
             w = re.split(r"[ \t\n\x0b\f\r]+", variable.sub("<*>", line).strip(" \t\r\f\v"))
             if w != [""]:
                 lines.append((d, i, (len(w), *w[:depth]), tuple(w)))
-    docs, seen, found, gone = defaultdict(set), defaultdict(set), defaultdict(list), defaultdict(set)
+    docs, seen, found, gone = defaultdict(set), defaultdict(Counter), defaultdict(list), defaultdict(set)
     for d, _, leaf, _ in lines:
         docs[leaf].add(d)
-    for _, _, leaf, w in lines:
+    for leaf, w in {(leaf, w) for _, _, leaf, w in lines}:
         for k, x in enumerate(w):
-            seen[leaf, k].add(x)
+            seen[leaf, k][x] += 1
     for d, i, leaf, w in lines:
-        closed = tuple("<*>" if k >= depth and len(seen[leaf, k]) > most else x for k, x in enumerate(w))
-        fixed = sum(x != "<*>" for x in closed)
+        closed = []
+        for k, x in enumerate(w):
+            words = seen[leaf, k]
+            top = max(words.items(), key=lambda c: (c[1], c[0].encode()))
+            stays = k < depth or len(words) <= most or 2 * top[1] > sum(words.values()) and top[0] == x
+            closed.append(x if stays else "<*>")
+        closed = tuple(closed)
+        fixed, after = sum(x != "<*>" for x in closed), sum(x != "<*>" for x in closed[depth:])
         if len(docs[leaf]) >= min_docs and fixed:
-            found[leaf, closed if fixed >= similarity * len(w) else w].append((d, i))
+            general = fixed >= similarity * len(w) and (closed == w or 2 * after > len(w) - depth)
+            found[leaf, general, closed if general else w].append((d, i))
     for places in found.values():
         own = {d for d, _ in places}
         for d, i in places if len(own) >= min_docs else []:

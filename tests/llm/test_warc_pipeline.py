@@ -2,14 +2,19 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import os
+import random
 from collections import defaultdict
 
 import duckdb
 import pytest
+from test_pairs import fingerprint, groups
+from test_texts import leaks_by_brute_force, line_brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import bpe, queries, warc
+from sluice.llm import bpe, queries, toxicity, warc
 from sluice.llm.shared import fresh_path
 
 PAGES = "page_id long, url string, html string"
@@ -108,7 +113,7 @@ def test_queries_against_sql(spark, sf, name):
 
 def test_queries_cover_the_operators():
     numbers = [int(q[2:].split("_")[0]) for q in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf):
@@ -147,3 +152,48 @@ def test_pipeline_drops_passages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r.doc_id: r.decoded for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1, 2} and [k for k in got if "wsamex54" in got[k]] == [0] and all(f"w{k}x299" in got[k] for k in got)
+
+
+def pipeline_brute(docs, items, model):
+    """{doc_id: token ids} of what is left of docs [(doc_id, text)], stage by stage, pair by pair."""
+    score = lambda t: sum(model.weights.get(c, 0.0) for c in toxicity.columns_of(t))
+    docs = [(d, t) for d, t in docs if 1 / (1 + math.exp(model.cuts[0] - score(t))) < 0.5]
+    docs = line_brute(docs, passage=None)
+    prints = {d: fingerprint(t) for d, t in docs}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    of = groups(near, prints)
+    docs = line_brute([(d, t) for d, t in docs if of[d] == d], min_docs=10**9)
+    gone = {d for d, _ in leaks_by_brute_force(docs, items)}
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
+    return {d: tokenizer.encode(t or "", add_special_tokens=False).ids for d, t in docs if d not in gone}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passage, footer = line(24), line(6)
+    items = [(k, f"{line(9)} {k} apples {line(6)}") for k in range(4)]
+    docs, labels = [], []
+    for k in range(90):
+        parts = [line(rng.randint(6, 18)) for _ in range(rng.randint(1, 4))]
+        toxic = k % 6 == 0
+        if toxic:
+            parts.append("moron stupid " + line(3) + " idiot")
+        if k % 5 == 1:
+            parts.append(passage)
+        if k % 3 == 1:
+            parts.append(footer)
+        if k % 15 == 2:
+            parts.append(f"so {rng.choice(items)[1]} indeed")
+        docs.append((k, "\n".join(parts)))
+        if k < 60:
+            labels.append((k, 1, int(toxic)))
+    docs += [(100 + k, docs[k][1]) for k in range(1, 12)] + [(120 + k, docs[k][1] + ".") for k in range(13, 18)] + [(140, None), (141, ""), (142, "")]
+    spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), toxicity.grades_of(spark.read.parquet(str(tmp_path / "labels.parquet"))), sample=8192)
+    want = pipeline_brute(docs, items, model)
+    got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 50 < len(want) < 80 and not any(k in got for k in range(0, 90, 6))
