@@ -186,9 +186,12 @@ def exact_counts(docs: DataFrame, possible: np.ndarray, least: int) -> DataFrame
             )
 
     packed = columns(docs).mapInArrow(count, "lang binary, term binary, df long, sources array<binary>, ns array<long>").repartition("lang", "term")
-    sums = packed.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, b: a + b)).alias("all")).where((F.col("df") >= least) | (F.col("term") == F.lit(b""))).drop("df")
-    each = packed.select("lang", "term", F.explode(F.arrays_zip("sources", "ns")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"))
-    return each.join(sums, ["lang", "term"]).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "all")
+    each = packed.select("lang", "term", "df", F.posexplode(F.arrays_zip("sources", "ns")).alias("at", "x"))
+    # a row's documents count once, with its first source
+    each = each.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"), F.sum(F.when(F.col("at") == 0, F.col("df"))).alias("df"))
+    whole = Window.partitionBy("lang", "term")
+    told = each.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("all"), F.sum("df").over(whole).alias("df"))
+    return told.where((F.col("df") >= least) | (F.col("term") == F.lit(b""))).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "all")
 
 
 def share(count: str, total: str, kept: str) -> Column:

@@ -8,6 +8,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,10 @@ from sluice.llm.shared import cut, partitions
 
 MANIFEST = "_manifest.json"
 TEMPORARY = "_temporary"
+#: Files that get their names at a time when a write commits.
+MOVES = 16
+#: Bytes of payloads that a shard is meant to get, at most, where the number of shards isn't given.
+SHARD = 1 << 28
 #: Compressed bytes after which a shard goes on in a new file.
 ROLL = 64 << 20
 LEVEL = 4
@@ -105,11 +110,12 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str]):
         self.path, self.roll, self.date = options["path"], int(options.get("roll", ROLL)), options.get("date", "1970-01-01T00:00:00Z")
+        self.drafts = f"{TEMPORARY}-{uuid.uuid4().hex}"  # of this write alone
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, top = fs.FileSystem.from_uri(self.path)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        store.create_dir(f"{top}/{TEMPORARY}")
+        store.create_dir(f"{top}/{self.drafts}")
         done: list[tuple[str, str, int, int, str]] = []
         out, told = None, {}
 
@@ -128,7 +134,7 @@ class WarcWriter(DataSourceArrowWriter):
                 data = page_record(page, url, payload, digest, told.get(page, {}).get(digest), self.date)
                 if out is None:
                     name = f"part-{shard:05d}-{len(done):05d}.warc.gz"
-                    temporary, count, size, check = f"{TEMPORARY}/{attempt}-{name}", 0, 0, hashlib.sha256()
+                    temporary, count, size, check = f"{self.drafts}/{attempt}-{name}", 0, 0, hashlib.sha256()
                     out = store.open_output_stream(f"{top}/{temporary}", compression=None)
                     info = record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": self.date, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
                     out.write(info)
@@ -150,13 +156,13 @@ class WarcWriter(DataSourceArrowWriter):
         if store.get_file_info(f"{top}/{MANIFEST}").type == fs.FileType.File:
             raise FileExistsError(f"{self.path} has an archive already; write to a path of its own")
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: f[1])
-        for temporary, name, *_ in files:
-            store.move(f"{top}/{temporary}", f"{top}/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda f: store.move(f"{top}/{f[0]}", f"{top}/{f[1]}"), files))
         with store.open_output_stream(f"{top}/{MANIFEST}.tmp", compression=None) as out:
             out.write(json.dumps([{"name": name, "records": n, "bytes": size, "sha256": check} for _, name, n, size, check in files]).encode())
         store.move(f"{top}/{MANIFEST}.tmp", f"{top}/{MANIFEST}")
-        if store.get_file_info(f"{top}/{TEMPORARY}").type == fs.FileType.Directory:
-            store.delete_dir(f"{top}/{TEMPORARY}")
+        if store.get_file_info(f"{top}/{self.drafts}").type == fs.FileType.Directory:
+            store.delete_dir(f"{top}/{self.drafts}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, top = fs.FileSystem.from_uri(self.path)
@@ -261,7 +267,8 @@ def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll:
     manifest.
 
     Payloads are shuffled once, by ranges of page_id; the digests of equal ones are joined without them, and rows with a
-    null page_id are dealt by digest. The table is read twice: for sizes and digests, and for the payloads. Files are
+    null page_id are dealt by digest. There are as many shards as shuffle partitions, or more so that each gets about
+    SHARD bytes. The table is read twice: for sizes and digests, and for the payloads. Files are
     the same bytes for the same rows and ``shards``. A path that holds an archive is refused, so none is ever replaced.
     """
     spark = pages.sparkSession
@@ -277,7 +284,9 @@ def write_archives(pages: DataFrame, path: str, shards: int | None = None, roll:
     both = rows.select("page_id", "url", "html", "payload_digest", F.lit(None).cast("long").alias("refers_to"), none.alias("known_digest")).union(
         revisits.select("page_id", none, none, none, "refers_to", "payload_digest")
     )
-    ends = range_ends(sized, shards or partitions(spark))
+    if not shards:
+        shards = max(partitions(spark), -(-(sized.agg(F.sum("size").alias("n")).first().n or 0) // SHARD))
+    ends = range_ends(sized, shards)
 
     @F.pandas_udf("int")
     def shard(page_id: pd.Series, spot: pd.Series) -> pd.Series:
