@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from sluice.llm.queries import table, vocabulary
 from sluice.llm.shared import fresh_path
+from sluice.storage import files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage gives. Each stage's rows are written and read again; they go once the next ones are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            store, folder = files(spark, before)
+            store.delete(folder, True)
+        before = path
     return docs
