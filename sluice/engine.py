@@ -224,9 +224,11 @@ class Engine:
             cap = results.row_cap(max_rows, target.max_rows)
             if exact_total and not dialect.ordered(sql):
                 seen = Observation()
-                rows = self._keep(results.head(results.normalized(whole), cap, seen))
-                rows.count()
-                first, total = results.first_of(rows, cap), seen.get["n"]
+                heads = results.head(results.normalized(whole), cap, seen).persist()
+                heads.count()
+                first, total = self._keep(results.first_of(heads, cap)), seen.get["n"]
+                first.count()
+                heads.unpersist()  # only the first rows of all stay
             else:
                 first = self._keep(results.capped(results.normalized(whole), cap))
                 total = first.count()
