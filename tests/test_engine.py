@@ -139,6 +139,8 @@ def test_spellings_leave_literals_alone(engine):
     row = engine.query("dev-main", "SELECT 'SELECT TOP 1 x + LEN(' + 'CROSS APPLY (' AS t, DATE'2024-01-31' + 1 AS d, DATEDIFF(year, '2023-12-31', '2024-01-01') AS y, DATEDIFF(week, DATE'2024-01-06', DATE'2024-01-07') AS w").first()
     more = engine.query("dev-main", "SELECT 1 + '2' AS a, 7/2 AS b, -7/2 AS c, 7/2. AS d, 'x' + 'y' AS e, '1' + '2' AS f, c_custkey + '1' AS g, c_custkey / 2 AS h, c_name + N'!' AS i FROM customer WHERE c_custkey = 5").first()
     assert (more.a, more.b, more.c, float(more.d), more.e, more.f, more.g, more.h, more.i) == (3, 3, -3, 3.5, "xy", "12", 6, 2, "Customer#000000005!")
+    given = engine.query("dev-main", "SELECT @n / 2 AS a, @x / 2 AS b, @t + '1' AS c, c_custkey / @n AS d FROM customer WHERE c_custkey = 9", {"n": 7, "x": 7.0, "t": "5"}).first()
+    assert (given.a, given.b, given.c, given.d) == (3, 3.5, "51", 1)
     assert (row.t, str(row.d), row.y, row.w) == ("SELECT TOP 1 x + LEN(CROSS APPLY (", "2024-02-01", 1, 1)
 
 
