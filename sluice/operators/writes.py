@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sluice import storage
 from sluice.operators import changes
 from sluice.operators.changes import ACTION, OLD, STAYS, Change, Clause, Keep
-from sluice.operators.results import PLACE, quoted
+from sluice.operators.results import PLACE
 from sluice.plans.guard import GuardError
 
 #: Where a version's rows are, and the rows that a statement touched, in the folder of its run.
