@@ -222,3 +222,12 @@ def test_one_writer_takes_a_place(spark, tmp_path):
     with ThreadPoolExecutor(8) as pool:
         took = list(pool.map(lambda k: storage.take_place(spark, f"{tmp_path}/log/1.json", str(k)), range(16)))
     assert sum(took) == 1 and (tmp_path / "log/1.json").read_text() == str(took.index(True)) and storage.places(spark, f"{tmp_path}/log") == ["1.json"]
+
+
+def test_recursion_has_no_limit_of_rows(spark):
+    """Spark stops a recursive CTE at 1,000,000 rows unless told otherwise: that many come with larger tables."""
+    known = registry.from_records([queries.record("dev-main", "dev")])
+    e = Engine(spark, known, {"dev-main": {"big": spark.range(400_000)}}, env={"DB_MAIN": "x"})
+    found = e.query("dev-main", "WITH t(k, n) AS (SELECT id, 0 FROM big UNION ALL SELECT k, n + 1 FROM t WHERE n < 2) SELECT n, count(*) AS c FROM t GROUP BY n")
+    assert sorted(map(tuple, found.collect())) == [(0, 400_000), (1, 400_000), (2, 400_000)]
+    e.close()
