@@ -181,3 +181,18 @@ def test_sessions_on_a_stream(spark, tmp_path):
     assert {("e", "E", 1, False), ("f", "F", 1, True), ("a", "A", 2, False), ("f", "F", 2, True)} <= ended
     assert not any(s == "b" and not alive for s, _, _, alive in ended) and not any(s == "c" for s, *_ in ended)
     assert ("e", "E2", 1, False) in ended
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_intervals_in_a_hot_bin_are_tiled(spark, monkeypatch, keyed):
+    """Points of a bin travel as blocks of a few, and tiles of a bin meet in tasks of their own, each pair once."""
+    monkeypatch.setattr(range_join, "HELD", 4)
+    monkeypatch.setattr(range_join, "TILE", 8)
+    points = [(k, k % 2, 1000 + k // 3 if k % 5 else 1003) for k in range(200)]
+    held = [(k, k % 2, a := 990 + k % 40, a + [1, 3, 30, 64, 0][k % 5]) for k in range(60)]
+    p, i = spark.createDataFrame(points, "p int, g int, at long"), spark.createDataFrame(held, "i int, g int, start long, end long")
+    p = p.withColumn("held", F.create_map(F.lit("k"), "p"))  # what can't be hashed travels too
+    found = range_join.interval_join(p, i if keyed else i.drop("g"), "at", "start", "end", ["g"] if keyed else [])
+    want = sorted((a, b) for a, g, t in points for b, h, s, e in held if s <= t < e and (not keyed or g == h))
+    assert sorted((r.p, r.i) for r in found.where("held['k'] = p").collect()) == want and len(want) > 1000
+    assert "inline(__points" in plan(found) and "__row" in plan(found)
