@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def last_seen(events: DataFrame, key: str = "user_id", at: str = "ts") -> DataFrame:
@@ -30,51 +31,47 @@ def windows(events: DataFrame, ttl_seconds: int, late: str = "1 hour", key: str
     return grouped.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
 
 
-class Ttl(StatefulProcessor):
-    """One session's state on a stream: a value, when it was last set or touched, how often, and when it ends."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", "value string, last_seen long, n_touches long, ends_at long")
-
-    def _row(self, session: Any, value: str | None, last_seen: int, n: int, ends_at: int | None, alive: bool) -> dict[str, Any]:
-        stamp = lambda ms: None if ms is None else pd.Timestamp(ms, unit="us")
-        return {"session": session, "value": value, "last_seen": stamp(last_seen), "n_touches": n, "ends_at": stamp(ends_at), "alive": alive}
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(rows, ignore_index=True).sort_values("at_us", kind="stable")
-        now = tuple(self.held.get()) if self.held.exists() else None
-        was = now
-        for op, at, value, ttl in zip(asked["op"], asked["at_us"], asked["value"], asked["ttl_ms"]):
-            if now and now[3] is not None and now[3] <= at:
-                now = None  # it ended before
-            end = None if ttl == 0 else int(at) + 1000 * int(ttl)
-            if op == "set":
-                now = (value, int(at), (now[2] if now else 0) + 1, end)
-            elif op == "touch" and now:
-                now = (now[0], max(now[1], int(at)), now[2] + 1, end)
-            elif op == "delete":
-                now = None
-        if was and was[3] is not None and (now is None or now[3] != was[3]):
-            self.handle.deleteTimer(was[3] // 1000)
-        if now is None:
-            self.held.clear()
-            if was:
-                yield pd.DataFrame([self._row(key[0], was[0], was[1], was[2], was[3], False)])
-            return
-        self.held.update(now)
-        if now[3] is not None:
-            self.handle.registerTimer(now[3] // 1000)
-        yield pd.DataFrame([self._row(key[0], *now, True)])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = tuple(self.held.get()) if self.held.exists() else None
-        if now and now[3] is not None and now[3] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.held.clear()
-            yield pd.DataFrame([self._row(key[0], *now, False)])
-
-    def close(self) -> None:
-        pass
+#: What is said of a session, with times in microseconds.
+SAYS = "session string, value string, last_seen long, n_touches long, ends_at long, alive boolean"
+
+
+def followed(key: tuple[Any, ...], rows: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One session's state on a stream: a value, when it was last set or touched, how often, and when it ends.
+
+    Commands come and what is said goes as one column of JSON: each column of a session's own frame costs far more than
+    its rows. State comes and goes with the rows of many sessions at once."""
+    said = lambda held, alive: pd.DataFrame({"said": [json.dumps({"session": key[0], "value": held[0], "last_seen": held[1], "n_touches": held[2], "ends_at": held[3], "alive": alive})]})
+    now = was = state.getOption
+    if state.hasTimedOut:
+        state.remove()
+        yield said(was, False)
+        return
+    asked = sorted((json.loads(c) for part in rows for c in part["command"]), key=lambda c: c["at"])
+    for c in asked:
+        op, at, value, ttl = c["op"], c["at"], c.get("value"), c["ttl"]
+        if now and now[3] is not None and now[3] <= at:
+            now = None  # it ended before
+        end = None if ttl == 0 else at + 1000 * ttl
+        if op == "set":
+            now = (value, at, (now[2] if now else 0) + 1, end)
+        elif op == "touch" and now:
+            now = (now[0], max(now[1], at), now[2] + 1, end)
+        elif op == "delete":
+            now = None
+    if now is None:
+        if was:
+            state.remove()
+            yield said(was, False)
+        return
+    yield said(now, True)
+    if now[3] is not None and now[3] // 1000 <= state.getCurrentWatermarkMs():
+        if was:
+            state.remove()
+        yield said(now, False)
+        return
+    state.update(now)
+    if now[3] is not None:
+        state.setTimeoutTimestamp(max(1, now[3] // 1000 - 1))  # the watermark has to be past it
 
 
 def ttl_stream(commands: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -83,13 +80,17 @@ def ttl_stream(commands: DataFrame, late: str = "0 seconds") -> DataFrame:
 
     op: ``set`` gives a session a value and a time to live (0: for good), ``touch`` a new time to live if it is alive,
     ``delete`` ends it. A row comes for each session of a batch, and one with alive false when the watermark (the latest
-    ``at`` less ``late``) passes its end. Each session's state is a few bytes in the state store, which needs
-    spark.sql.streaming.stateStore.providerClass to be RocksDB's; a restart from the checkpoint goes on with it. Commands
-    with a null session, time or op are left out, others than these three do nothing; a null ttl counts as 0.
+    ``at`` less ``late``) passes its end. Each session's state is a few bytes in the state store, of which a batch looks
+    through the ends (with RocksDB's provider it isn't in memory as a whole); a restart from the checkpoint goes on with
+    it, but not from one of the transformWithState that did this before. Commands with a null session, time or op are
+    left out, others than these three do nothing; a null ttl counts as 0.
     """
     asked = commands.where("session is not null and at is not null and op is not null").withWatermark("at", late)
-    asked = asked.select("session", "at", F.unix_micros("at").alias("at_us"), "op", "value", F.coalesce("ttl_ms", F.lit(0)).cast("long").alias("ttl_ms"))
-    return asked.groupBy("session").transformWithStateInPandas(Ttl(), "session string, value string, last_seen timestamp, n_touches long, ends_at timestamp, alive boolean", "Append", "EventTime")
+    command = F.struct(F.unix_micros("at").alias("at"), "op", "value", F.coalesce("ttl_ms", F.lit(0)).cast("long").alias("ttl"))
+    told = asked.select("session", "at", F.to_json(command).alias("command")).groupBy("session")
+    told = told.applyInPandasWithState(followed, "said string", "value string, last_seen long, n_touches long, ends_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    told = told.select(F.from_json("said", SAYS).alias("said")).select("said.*")
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("last_seen", "ends_at")})
 
 
 class SessionStore:

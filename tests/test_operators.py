@@ -196,3 +196,19 @@ def test_intervals_in_a_hot_bin_are_tiled(spark, monkeypatch, keyed):
     want = sorted((a, b) for a, g, t in points for b, h, s, e in held if s <= t < e and (not keyed or g == h))
     assert sorted((r.p, r.i) for r in found.where("held['k'] = p").collect()) == want and len(want) > 1000
     assert "inline(__points" in plan(found) and "__row" in plan(found)
+
+
+def test_sessions_travel_in_one_column(spark, tmp_path):
+    """Python gets a session's commands as one column beside key and time, with any text in them, and state along with them."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    odd = 'a "quote",\n\\ and é\U0001f600'
+    schema = "session string, at timestamp, op string, value string, ttl_ms long"
+    own.createDataFrame([("s", t(3), "touch", None, 2_000), ("s", t(1), "set", odd, 9_000), (odd, t(2), "set", None, 0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = sessions.ttl_stream(own.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    text = stream._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in text and "TransformWithState" not in text
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(180)
+    rows = {tuple(r) for r in own.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {("s", odd, t(3), 2, t(5), True), (odd, None, t(2), 1, None, True)}
