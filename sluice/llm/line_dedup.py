@@ -16,18 +16,25 @@ ANY = "<*>"
 VARIABLE = r"(?<!\S)(?=\S*(?:[0-9@]|://))\S+"
 
 
-#: What a line holds if its words aren't all of fixed form with one space between.
-ODD = r"[0-9@:\t\x0B\f\r]|^ | $|  "
 #: Lines whose places are looked up together.
 BLOCK = 256
 #: Rows of a few numbers each that are sent to every task, at most; beyond it both sides of a join are shuffled.
 BROADCAST = 1_000_000
 
 
+def tidied(line: Column, words: Column | None = None) -> Column:
+    """The words of a line with one space between; with words, those, which have the line's own space between."""
+    spaced = line.startswith(" ") | line.endswith(" ")
+    for odd in ("  ", "\t", "\v", "\f", "\r"):
+        spaced = spaced | line.contains(odd)
+    words = line if words is None else words
+    return F.when(spaced, F.btrim(F.regexp_replace(words, r"\s+", " "))).otherwise(words)
+
+
 def plain(line: Column) -> Column:
-    """The words of a line with one space between, and ANY for those that are variable by their form."""
-    tidy = F.btrim(F.regexp_replace(F.regexp_replace(line, VARIABLE, ANY), r"\s+", " "))
-    return F.when(line.rlike(ODD), tidy).otherwise(line)
+    """The words of a line with one space between, and ANY for those that are variable by their form. Regular expressions
+    run where plainer tests leave them something to do."""
+    return tidied(line, F.when(line.rlike("[0-9@]") | line.contains("://"), F.regexp_replace(line, VARIABLE, ANY)).otherwise(line))
 
 
 def joined_to(lines: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -44,13 +51,13 @@ def parsed(docs: DataFrame, depth: int, *more: str | Column, passage: int | None
     the words as they are, for lines of so many words or more."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     if passage:
-        tidy = F.when(F.col("line").rlike(ODD), F.btrim(F.regexp_replace("line", r"\s+", " "))).otherwise(F.col("line"))
         # a line of so many words has so many characters at least
-        tidy = F.when(F.octet_length("line") >= 2 * passage - 1, tidy)
+        tidy = F.when(F.octet_length("line") >= 2 * passage - 1, tidied(F.col("line")))
         long = F.octet_length("tidy") - F.octet_length(F.replace("tidy", F.lit(" "))) + 1 >= passage
         lines = lines.withColumn("tidy", tidy).withColumn("own", F.when(long, F.struct(F.xxhash64("tidy").alias("one"), F.xxhash64(F.lit("two"), "tidy").alias("two")))).drop("tidy")
         more = (*more, "own")
-    lines = lines.withColumn("line", plain(F.col("line"))).where("line <> ''")
+    # blank lines are told by the text as it is: a test of plain() would have it worked out twice
+    lines = lines.where(F.btrim("line", F.lit(" \t\v\f\r")) != "").withColumn("line", plain(F.col("line")))
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     return lines.select("doc_id", "at", F.xxhash64(count, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), *more)
 

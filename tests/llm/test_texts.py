@@ -637,3 +637,15 @@ def test_two_folds_and_one_that_died(spark, tmp_path, monkeypatch):
     assert set(ledger.state().collect()) == before and set(ledger.totals().collect()) == sums
     assert ledger.commit("more", spark.createDataFrame([(k, "v", "upsert", "c", "en", 1) for k in range(1500)], CHANGE))
     assert {r.source: r.n_docs for r in ledger.totals().collect()} == {"c": 1500}
+
+
+def test_plain_lines_by_plainer_tests(spark):
+    """The words of a line as one regular expression for each rule gives them, and lines worked out once."""
+    lines = ["", " ", "\t", "\r", "a b", " a", "a ", "a  b", "a\tb", "a\x0bb", "a\fb\r", "x1 y", "see http://a b", "a: b", "a:// \t b@c", "1", " 1 ", "\u2028", "a \u2028", "\u00a0", "é 2  é", "://", "a :", "0\r"]
+    want = {k: re.sub(r"[ \t\x0b\f\r]+", " ", re.sub(r"(?<![^ \t\x0b\f\r])(?=[^ \t\x0b\f\r]*(?:[0-9@]|://))[^ \t\x0b\f\r]+", "<*>", line)).strip(" ") for k, line in enumerate(lines)}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.p for r in df.select("doc_id", line_dedup.plain(F.col("text")).alias("p")).collect()} == want
+    found = line_dedup.parsed(df, 3, "line", passage=20)
+    assert {r.doc_id: r.line for r in found.collect()} == {k: v for k, v in want.items() if v}
+    steps = [step for step in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "<*>" in step]
+    assert len(steps) == 1 and "Filter" not in steps[0].split("[")[0]
