@@ -198,6 +198,20 @@ def test_intervals_in_a_hot_bin_are_tiled(spark, monkeypatch, keyed):
     assert "inline(__points" in plan(found) and "__row" in plan(found)
 
 
+def test_intervals_are_written_in_little_space(spark, tmp_path):
+    """Rows come block by block, so that their columns repeat; points go to the bins of several lengths once they are packed."""
+    p = spark.range(20_000).select("id", (F.col("id") * 7919 % 20_000).alias("at"))
+    i = spark.range(150).select(F.col("id").alias("i"), (F.col("id") % 3).alias("start"), (F.when(F.col("id") < 2, 500).otherwise(20_000) + F.col("id") % 5).alias("end"))
+    found = range_join.interval_join(p, i, "at", "start", "end").select("id", "i")
+    found.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    want = p.join(i, (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("id", "i")
+    sums = [F.count("*"), F.expr("bit_xor(xxhash64(id, i))"), F.sum(F.hash("id", "i").cast("long"))]
+    assert rows.agg(*sums).first() == want.agg(*sums).first()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * rows.count()
+    assert not re.search(r"Exchange hashpartitioning\([^\n]*__slice", plan(found.agg(F.count("id"))))
+
+
 def test_sessions_travel_in_one_column(spark, tmp_path):
     """Python gets a session's commands as one column beside key and time, with any text in them, and state along with them."""
     own = spark.newSession()
